@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def model_path(name: str) -> str:
+    """Where a public tokenizer's file is on this machine; the package is installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it; one of our own only where it names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, pii, quality, simhash, substrings, warc
-from .common import LOWER, UPPER, table
+from . import decontaminate, media, pieces, pii, quality, simhash, substrings, warc
+from .common import LOWER, UPPER, model_path, table
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text; ids_sha256 is of the ids, comma-joined."""
+    model = pieces.Pieces.load(model_path("piece_bpe_32k.model"))
+    out = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents"), model), model)
+    return out.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -51,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op5_pieces": op5_pieces,
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
