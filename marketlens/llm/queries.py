@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, pieces, pii, quality, simhash, substrings, warc
+from . import decontaminate, media, pieces, pii, quality, simhash, substrings, urls, warc
 from .common import LOWER, UPPER, model_path, table
 
 
@@ -34,6 +34,15 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled bad if the document that its path numbers is of no quality."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.expr("try_cast(regexp_extract(url, '://[^?#]*/([0-9]+)', 1) AS bigint)")
+    marks = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("bad"))
+    labels = pages.select("page_id", number.alias("doc_id")).join(marks, "doc_id").select("page_id", "bad")
+    return urls.judged(pages, labels).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,7 +54,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
+    counts = [F.expr(f"cast(size(filter(base, x -> x.k = {k})) AS bigint) AS n_{pii.KINDS[k]}") for k in range(4)]
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
@@ -59,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_pieces": op5_pieces,
+    "op6_urls": op6_urls,
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_pii": op9_pii,
