@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, pieces, pii, quality, simhash, substrings, urls, warc
+from . import decontaminate, media, pieces, pii, quality, simhash, substrings, tokens, urls, warc
 from .common import LOWER, UPPER, model_path, table
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_back(tokens.stored(table(spark, sf_dir, "documents"), model_path("byte_bpe_50k.json")))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(table(spark, sf_dir, "documents")).drop("hash")
 
@@ -64,6 +68,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tokens": op1_tokens,
     "op2_media": op2_media,
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
