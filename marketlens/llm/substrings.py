@@ -8,7 +8,8 @@ then parsed greedily into factors, the longest runs of words in which phrase aft
 straddle the boundary of two factors are looked up as any other, so a factor made of two references isn't missed. What
 factors cover is the duplicate text.
 
-Which anchors repeat reaches the tasks as a Bloom filter of fixed size (FILTER_BITS), so what is broadcast doesn't grow
+Documents whose whole text an earlier one has are one factor each, and are told by hashes of the texts; they are left out
+of the index. Which anchors repeat reaches the tasks as a Bloom filter of fixed size (FILTER_BITS), so what is broadcast doesn't grow
 with the corpus. Its false positives cost lookups, never results.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from .common import blocks, written
 WINDOW = 20
 ANCHOR = 8
 FILTER_BITS = 1 << 27
+#: Places for the keys of whole copies, which need no parsing.
+SLOTS = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,22 +66,42 @@ def _texts(part: pa.RecordBatch, at: int) -> list[list[bytes]]:
     return [x.encode().split() if x else [] for x in part.column(at).to_pylist()]
 
 
-def repeated_anchors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """anchor: the hashes that occur at two places or more."""
+def repeated_anchors(docs: DataFrame, skip, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """anchor: the hashes that occur at two places or more. docs: key, text; skip: a broadcast table of keys left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, 0):
+            for part in blocks(batch, 1):
                 found = []
-                for words in _texts(part, 0):
-                    if len(words) >= window:
+                for out, words in zip(_holds(skip.value, part.column(0)), _texts(part, 1), strict=True):
+                    if len(words) >= window and not out:
                         phrases, at = _anchors(_word_hashes(words), window, anchor)
                         found.append(phrases[np.unique(at)])
                 if found:
                     own, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
-    return docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    return docs.select("key", "text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """key: the rows of docs (key, doc_id, text) whose whole text a row of smaller id has too."""
+    sums = written(docs.select("key", "doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), F.octet_length("text").alias("n")))
+    first = sums.groupBy("a", "b", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return written(sums.join(first, ["a", "b", "n"]).where("doc_id > first").select("key"))
+
+
+def _slots(keys: DataFrame, slots: int) -> np.ndarray:
+    """A table of at most `slots` of the keys, each at the place its low bits name. A key that finds its place taken is left out, which costs time only."""
+    got = keys.groupBy(F.expr(f"key & {slots - 1}L").alias("slot")).agg(F.max("key").alias("key")).toArrow()
+    out = np.zeros(slots, np.int64)
+    out[got.column("slot").to_numpy()] = got.column("key").to_numpy()
+    return out
+
+
+def _holds(table: np.ndarray, keys: pa.Array) -> list[bool]:
+    own = keys.to_numpy(zero_copy_only=False)
+    return ((table[own & (len(table) - 1)] == own) & (own != 0)).tolist()
 
 
 def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -114,16 +138,18 @@ def factored(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits:
     columns of docs are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text", F.xxhash64("text").alias("version"))
-    held = spark.sparkContext.broadcast(_filter(repeated_anchors(docs, window, anchor), bits))
+    docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    whole = copies(docs)
+    skip = spark.sparkContext.broadcast(_slots(whole, SLOTS))
+    held = spark.sparkContext.broadcast(_filter(repeated_anchors(docs, skip, window, anchor), bits))
 
     def lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each phrase to look up, at its first place in its document: two hashes and the place; later places are negative (~place)."""
         for batch in batches:
-            for part in blocks(batch, 1):
-                ids, versions, h1, h2, places = [], [], [], [], []
-                for doc, version, words in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), _texts(part, 1), strict=True):
-                    if len(words) < window:
+            for part in blocks(batch, 2):
+                keys, ids, h1, h2, places = [], [], [], [], []
+                for key, doc, out, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _holds(skip.value, part.column(0)), _texts(part, 2), strict=True):
+                    if len(words) < window or out:
                         continue
                     hashes = _word_hashes(words)
                     phrases, at = _anchors(hashes, window, anchor)
@@ -134,36 +160,49 @@ def factored(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits:
                     two = _rolled(hashes, window, np.uint64(0xD6E8FEB86659FD93))[own] >> np.uint64(33)
                     later = np.ones(len(own), bool)
                     later[np.unique(one, return_index=True)[1]] = False
+                    keys.append(np.full(len(own), key, np.int64))
                     ids.append(np.full(len(own), doc, np.int64))
-                    versions.append(np.full(len(own), version, np.int64))
                     h1.append(one.view(np.int64))
                     h2.append(two.astype(np.int32))
                     places.append(np.where(later, ~own, own).astype(np.int32))
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, versions, h1, h2, places)], names=["doc_id", "version", "h1", "h2", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, h1, h2, places)], names=["key", "doc_id", "h1", "h2", "place"])
 
-    phrases = written(docs.mapInArrow(lookups, "doc_id long, version long, h1 long, h2 int, place int"))
-    first = phrases.where("place >= 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    across = phrases.where("place >= 0").join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "version", "place")
+    phrases = written(docs.select("key", "doc_id", "text").mapInArrow(lookups, "key long, doc_id long, h1 long, h2 int, place int"))
+    first = phrases.where("place >= 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
+    across = phrases.where("place >= 0").join(first, ["h1", "h2"]).where("doc_id > first").select("key", "place")
     # A phrase that stood earlier in its document needs no lookup.
-    within = phrases.where("place < 0").selectExpr("doc_id", "version", "~place AS place")
-    runs = across.union(within).groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    within = phrases.where("place < 0").selectExpr("key", "~place AS place")
+    # A copy is one factor from end to end.
+    runs = across.union(within).union(whole.selectExpr("key", "-1 AS place")).groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in blocks(batch, 2):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([squeeze((t or "").encode()) for t in part.column(2).to_pylist()], pa.binary())], names=["key", "doc_id", "packed"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for part in blocks(batch, 1):
+            for part in blocks(batch, 1, 1 << 20):
                 out = []
-                for doc, words, places in zip(part.column(0).to_pylist(), _texts(part, 1), part.column(2).to_pylist(), strict=True):
+                for doc, data, places in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    words = open_(data).split()
                     edge = np.zeros(len(words) + 1, np.int64)
                     own = np.array(places or [], np.int64)
-                    own = own[own + window <= len(words)]
+                    if len(words) >= window and (own < 0).any():
+                        edge[0] = 1
+                    own = own[own >= 0]
                     np.add.at(edge, own, 1)
                     np.add.at(edge, own + window, -1)
                     n, kept = _kept(words, np.cumsum(edge[:-1]) > 0)
                     out.append((doc, len(words), n, kept.decode()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    parsed = docs.join(runs, ["doc_id", "version"], "left").select("doc_id", "text", "places").mapInArrow(parse, "doc_id long, n_words long, n_removed long, kept string")
+    # Texts travel compressed.
+    sent = docs.select("key", "doc_id", "text").mapInArrow(packed, "key long, doc_id long, packed binary")
+    parsed = sent.join(runs, "key", "left").select("doc_id", "packed", "places").mapInArrow(parse, "doc_id long, n_words long, n_removed long, kept string")
     return parsed.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
 
 
