@@ -1,3 +1,3 @@
 """Queries: operators bound to tables, each with the SQL it must agree with."""
 
-from . import funds_q, panel_q, pit_q  # noqa: F401
+from . import events_q, funds_q, panel_q, pit_q, reshape_q  # noqa: F401
