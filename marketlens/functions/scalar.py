@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Query parameters that only track where a visitor came from.
 TRACKING = r"^(utm_[a-z]+|fbclid|gclid|ref|igshid|mc_cid|mc_eid)$"
@@ -44,7 +45,7 @@ def content_hash(*cols: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.trim(c.cast("string"))), F.lit("~")) for c in cols]), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 

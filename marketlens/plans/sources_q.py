@@ -82,7 +82,7 @@ def _(spark, sf):
 
 @query(
     "coverage_report",
-    "SELECT 'events' AS source, least(count(*), 5000) AS rows, least(count(DISTINCT CAST(ts AS DATE)), 20) AS days, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day, NULL AS missing FROM events UNION ALL SELECT 'orders', least(count(*), 10000000), least(count(DISTINCT CAST(o_orderdate AS DATE)), 10), min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), 'too few rows' FROM orders",
+    "SELECT 'events' AS source, least(count(*), 5000) AS rows, least(count(DISTINCT CAST(ts AS DATE)), 20) AS days, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day, CASE WHEN count(*) < 5000 THEN 'too few rows' WHEN count(DISTINCT CAST(ts AS DATE)) < 20 THEN 'too few days' END AS missing FROM events UNION ALL SELECT 'orders', least(count(*), 10000000), least(count(DISTINCT CAST(o_orderdate AS DATE)), 10), min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)), 'too few rows' FROM orders",
 )
 def _(spark, sf):
     return scan.coverage_report({"events": (t(spark, sf, "events"), "ts"), "orders": (t(spark, sf, "orders"), "o_orderdate")}, {"events": (5000, 20), "orders": (10_000_000, 10)})
