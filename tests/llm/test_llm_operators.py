@@ -1,0 +1,329 @@
+"""Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from marketlens.llm import decontaminate, media, pieces, pii, quality, simhash, substrings, tokens, urls, warc
+from marketlens.llm.common import model_path, written
+
+WORDS = [a + b for a in ("ka", "lo", "mi", "ren", "su", "tor") for b in ("bel", "dan", "fi", "go", "hur", "n")]
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def frame(spark, rows):
+    """Documents with columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], "doc_id long, text string, key string, n int, version string").repartition(3)
+
+
+ODD = [(100, None), (101, ""), (102, "   \n"), (103, "a"), (104, "tab\tand  spaces \n\n ends "), (105, "ünïcode ▁ ﬀ 漢字 🙂 <|endoftext|> \x00 x"), (106, "word" * 5000), (107, prose(9, 20000)), (108, prose(1, 50)), (108, prose(1, 50)), (None, "an id is missing here")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = [(k, prose(k, 60 + k)) for k in range(30)]
+    base += [(40 + k, prose(k, 60 + k)) for k in range(5)]  # copies
+    base += [(50 + k, prose(k, 60 + k) + " " + prose(77, 30)) for k in range(5)]  # a shared passage
+    return base + ODD
+
+
+def test_tokens_round_trip(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = model_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    store = tokens.stored(frame(spark, docs), path)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_back(store).collect())
+    ids = {}
+    for d, t in docs:
+        ids.setdefault(d, []).append(library.encode(t or "", add_special_tokens=False).ids + [2])
+    start = 0
+    for (at, d, n, crc), want in zip(got, sorted(ids, key=lambda d: (d is not None, d or 0)) and [d for d in sorted(ids, key=lambda d: (d is not None, d or 0)) for _ in ids[d]], strict=True):
+        assert (at, d) == (start, want)
+        assert (n, crc) in [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ids[d]]
+        start += n
+    whole = {(r.doc_id, bytes(r.ids)) for r in tokens.reconstructed(store).collect()}
+    assert whole == {(d, np.array(x, "<u2").tobytes()) for d, xs in ids.items() for x in xs}
+    digests = [r.digest for r in store.chunks.select("digest").collect()]
+    assert len(digests) == len(set(map(bytes, digests)))
+
+
+def test_equal_passages_share_chunks(spark):
+    passage = prose(5, 3000)
+    store = tokens.stored(frame(spark, [(1, passage), (2, "Before it. " + passage), (3, passage + " After it.")]), model_path("byte_bpe_50k.json"))
+    used = [bytes(d) for r in store.recipes.collect() for d in r.digests]
+    assert len(set(used)) < 0.5 * len(used)
+
+
+def test_a_damaged_store_is_noticed(spark):
+    store = tokens.stored(frame(spark, [(1, prose(1, 500))]), model_path("byte_bpe_50k.json"))
+    bad = tokens.Store(store.chunks.withColumn("data", F.concat("data", F.unhex(F.lit("0000")))), store.recipes)
+    with pytest.raises(Exception, match="differs"):
+        tokens.read_back(bad).collect()
+
+
+def test_crc_of_joined_parts():
+    parts = [b"", b"a", b"some bytes", bytes(5000)]
+    for a in parts:
+        for b in parts:
+            moved = tokens._shifted(np.array([zlib.crc32(a)], np.uint32), np.array([len(b)]))
+            assert int(moved[0]) ^ zlib.crc32(b) == zlib.crc32(a + b)
+
+
+def test_media(spark, docs):
+    got = media.media(frame(spark, docs)).collect()
+    want = sorted((d is not None, d or 0, *media.payload(t)) for d, t in docs)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == [(a, d, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])) for a, d, n, p in want]
+    assert all(len(r.feature) == 16 for r in got)
+    png = media.encode(media.payload("text")[1])
+    with pytest.raises(ValueError):
+        media.decode(png[:40] + b"x" + png[41:])
+    with pytest.raises(ValueError):
+        media.decode(png[:-12])
+
+
+def test_all_png_filters_are_undone():
+    r = np.random.default_rng(1)
+    rows = r.integers(0, 256, (6, 12)).astype(np.uint8)
+    kinds = np.array([0, 1, 2, 3, 4, 4], np.uint8)
+    out = np.zeros_like(rows)
+    for y in range(6):
+        for x in range(12):
+            a, b = int(rows[y, x - 3]) if x >= 3 else 0, int(rows[y - 1, x]) if y else 0
+            c = int(rows[y - 1, x - 3]) if y and x >= 3 else 0
+            p = a + b - c
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            guess = (0, a, b, (a + b) // 2, paeth)[kinds[y]]
+            out[y, x] = (int(rows[y, x]) - guess) % 256
+    assert (media._unfilter(kinds, out, 3) == rows).all()
+
+
+def test_quality_learns_and_scores_anything(spark):
+    good = [(k, prose(k, 50).capitalize() + ".") for k in range(200)]
+    bad = [(k, " ".join([random.Random(k).choice(WORDS).upper() + "!!"] * 40)) for k in range(200, 300)]
+    labels = spark.createDataFrame([(k, int(k < 200), "z") for k in range(300)] + [(3, 1, "z"), (None, 1, "z"), (7, None, "z")], "doc_id long, quality int, text string")
+    df = frame(spark, good + bad)
+    model = quality.train(df, labels)
+    got = {r.doc_id: r.score for r in quality.scored(df, model).collect()}
+    held = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert all((got[k] >= 0.5) == (k < 200) for k in held) and model.pairs
+    assert quality.train(df, labels) and {r.score for r in quality.scored(df, quality.train(df, labels)).collect()} == set(got.values())
+    odd = quality.scored(frame(spark, ODD), model)
+    assert odd.count() == len(ODD) and odd.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+    none = quality.train(df, labels.limit(0))
+    assert {r.score for r in quality.scored(df, none).collect()} == {0.5}
+
+
+def brute_components(fps):
+    parent = {k: k for k in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 3:
+                parent[root(a)] = root(b)
+    return root
+
+
+def test_simhash_links_all_within_three_bits(spark):
+    r = random.Random(3)
+    base = [r.getrandbits(64) for _ in range(400)]
+    near = [x ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 4))) for x in base for _ in range(3)]
+    fps = sorted({*base, *near, 0, 1, (1 << 64) - 1})
+    df = spark.createDataFrame([(x - (1 << 64) if x >= 1 << 63 else x,) for x in fps], "fp long")
+    root = brute_components(fps)
+    for shard, sample in ((16, 200), (512, 65536)):
+        found = {n.node % (1 << 64): n.root % (1 << 64) for n in simhash.components(simhash.links(df, shard, sample)).collect()}
+        for x in fps:
+            for y in fps[:60]:
+                assert (found.get(x, x) == found.get(y, y)) == (root(x) == root(y))
+
+
+def test_simhash_documents(spark, docs):
+    def fingerprint(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        if not w:
+            return 0
+        import xxhash
+
+        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    own = [(d, fingerprint(t)) for d, t in docs]
+    root = brute_components({f for _, f in own})
+    least = {}
+    for d, f in own:
+        if d is not None:
+            least[root(f)] = min(d, least.get(root(f), d))
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(frame(spark, docs)).collect()), key=str)
+    assert got == sorted(((d is not None, d or 0, f, least.get(root(f))) for d, f in own), key=str)
+    kept = [r.doc_id for r in simhash.one_of_each(frame(spark, docs), 3).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == set(least.values())
+
+
+def test_pieces(spark, docs):
+    model = pieces.Pieces.load(model_path("piece_bpe_32k.model"))
+    table = {s: (k, x) for s, k, x in model.rows}
+
+    def best(unit):
+        paths = [(0.0, [])]
+        for e in range(1, len(unit) + 1):
+            found = [(paths[s][0] + table[unit[s:e]][1], -s, [*paths[s][1], table[unit[s:e]][0]]) for s in range(e) if unit[s:e] in table]
+            if unit[e - 1] not in table:
+                found.append((paths[e - 1][0] - 1e8, 1 - e, [*paths[e - 1][1], *(model.byte_ids[b] for b in unit[e - 1].encode())]))
+            paths.append(max(found, key=lambda x: x[:2])[::2])
+        return paths[-1][1]
+
+    got = pieces.decoded(pieces.encoded(frame(spark, docs), model, head=40), model).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.decoded == (r.text or "")
+        assert "".join(pieces.units(r.text, model.cut)) == (" " + r.text if r.text else "")
+        if len(r.text or "") < 2000:
+            assert r.ids == [i for u in pieces.units(r.text, model.cut) for i in best(u)]
+
+
+def test_rules_and_hosts(spark):
+    cases = [
+        ("http://Sub.Example.ORG/es/1", "sub.example.org", "/es/1", "example.org/es/", "block"),
+        ("http://example.org/en/12?q", "example.org", "/en/12", "example.org/en/1", "block"),
+        ("http://notexample.org/es/", "notexample.org", "/es/", "org/", "allow"),
+        ("http://a.com/de/x", "a.com", "/de/x", "com/de/", "block"),
+        ("http://a.com/fr/x#y", "a.com", "/fr/x", "com/fr/", "allow"),
+        ("http://a.org", "a.org", "", None, "allow"),
+        ("a.org/x", "", "", None, "allow"),
+        (None, "", "", None, "allow"),
+        ("", "", "", None, "allow"),
+        ("x://http://b.net/?a", "http:", "//b.net/", None, "allow"),
+    ]
+    pages = spark.createDataFrame([(k, c[0], "h", 3) for k, c in enumerate(cases)], "page_id long, url string, html string, parts int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judged(pages).collect()}
+    assert got == {k: c[1:] for k, c in enumerate(cases)}
+
+
+def test_templates_generalise_merge_and_reject(spark):
+    rows = [(k, f"http://h.net/{'spam' if k % 2 else ('news', 'blog')[k // 2 % 2]}/{k}") for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 400)] + [(None, 1)], "page_id long, bad int")
+    got = urls.judged(pages, labels)
+    by = {(r.template, r.verdict) for r in got.select("template", "verdict").distinct().collect()}
+    assert ("/spam/*", "block") in by and {v for t, v in by if t != "/spam/*"} == {"allow"}
+    assert got.count() == 400
+    assert urls.judged(pages.limit(0), labels).count() == 0
+
+
+def test_warc(spark):
+    rows = [(5, "http://a", "same"), (3, "http://b", "same"), (9, None, None), (2, "http://c\r\nX: y", ""), (7, "u", "ünï" * 9), (None, "u", "same"), (11, "u", "big" * 200000)]
+    pages = spark.createDataFrame([(*r, 1, "q") for r in rows], "page_id long, url string, html string, low int, key string").repartition(2)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    first = {"same": 3, "": 2}
+    for k, _, h in rows:
+        data = (h or "").encode()
+        ref = first.get(h or "")
+        assert got[k] == (len(data), warc.digest(data), "response" if ref in (None, k) else "revisit", None if ref == k else ref)
+    assert {r.record_type for r in warc.round_trip(pages.where("page_id IS NOT NULL"), least=10).collect()} == {"response"}
+    held = written(warc.archived(pages))
+    bundles = {r.name: r.data for r in held.where("data IS NOT NULL").collect()}
+    for r in held.where("data IS NULL").collect():
+        assert warc.fetch(bundles[r.name], r.frame, r.place)[0]["WARC-Record-ID"] == f"<urn:page:{'' if r.page_id is None else r.page_id}>"
+    import io
+
+    import zstandard
+
+    for b in bundles.values():  # any reader of multi-frame files reads a bundle
+        assert zstandard.ZstdDecompressor().stream_reader(io.BytesIO(b), read_across_frames=True).read().startswith(b"WARC/1.1")
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_decontamination(spark, docs):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    cut = lambda t: word.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+    items = [(1, prose(1, 60)), (2, prose(77, 30)), (3, "Kabel LODAN"), (4, "a"), (5, None), (6, "..."), (2, prose(77, 30)), (10, prose(3, 25)), (None, "x y")]
+    bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, w string")
+    rows = [*docs, (300, (prose(77, 30) + " ") * 40), (301, "A.  kabel-lodan,x Y")]
+    want = []
+    for d, t in rows:
+        w, hit, its = cut(t), set(), set()
+        for i, x in items:
+            iw = cut(x)
+            for k in range(max(len(iw) - 10, 0) + 1 if iw else 0):
+                win = iw[k : k + 10]
+                for at in range(len(w) - len(win) + 1):
+                    if w[at : at + len(win)] == win:
+                        hit |= set(range(at, at + len(win)))
+                        its |= {str(i)} if i is not None else set()
+        want.append((str(d), len(w), len(hit), sorted(its)))
+    for most in (100_000, 25):
+        got = decontaminate.contamination(frame(spark, rows), bench, max_shingles=most).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in got) == sorted(want)
+    assert decontaminate.contamination(frame(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+PII = "Mail a.b+c@d-e.co.uk_x@y.z, 1.2.3.4 and 1.2.3.256 or 001.02.003.0255 5.6.7.8.9.10.11.12; 4111 1111-1111 1111 4111111111111112 +1 (988) 555-2485 +12 3. ünï +49-30-1234567"
+
+
+def base(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        g = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(g) <= 19 and sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(g[::-1])) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_pii(spark, docs):
+    rows = [*docs, (400, PII), (401, PII * 50), (402, "1" * 30000), (403, "a." * 9000 + "@b.c"), (404, "x@" + "a." * 9000 + "b"), (405, "+" * 2000 + "1 2 3" * 500)]
+    rows += [(500 + k, f"{prose(k, 8)} password={hashlib.md5(str(k).encode()).hexdigest()} then token = \"{hashlib.sha1(str(k).encode()).hexdigest()}\" end") for k in range(30)]
+    got = pii.find(frame(spark, rows)).collect()
+    key = lambda r: (str(r[0]), r[1])
+    have = sorted(((r.doc_id, [(s.s, s.k, s.e) for s in r.base]) for r in got), key=lambda r: (str(r[0]), str(r[1])))
+    assert have == sorted(((d, base(t or "")) for d, t in rows), key=lambda r: (str(r[0]), str(r[1]))) and key
+    for r in got:
+        assert [tuple(s) for s in r.spans if s.k < 4] == [tuple(s) for s in r.base]
+        if r.doc_id is not None and r.doc_id >= 500:
+            assert sum(s.kind == "secret" for s in r.spans) == 2
+        if r.doc_id is not None and r.doc_id < 60:
+            assert not r.spans
+    text = {r.doc_id: r.t for r in pii.find(frame(spark, rows)).select("doc_id", pii.redacted(F.col("text"), F.col("spans")).alias("t")).where("doc_id >= 400").collect()}
+    assert "988" not in text[400] and "<phone>" in text[400] and not base(text[401])
+    assert pii.find(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_substrings(spark, docs):
+    passage = prose(77, 30)
+    rows = [*docs, (600, passage + " mid " + passage), (601, (passage + " ") * 4), (602, prose(1, 19)), (603, prose(1, 61)[5:])]
+    one = [(d, t) for d, t in rows if d not in (None, 108)]
+    want = substrings.reference([(-1, "an id is missing here"), *one, (108, prose(1, 50))])
+    for bits in (1 << 20, 64):  # a filter that holds everything changes nothing
+        got = substrings.factored(frame(spark, rows), bits=bits).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) == want[-1 if r.doc_id is None else r.doc_id]
+    assert substrings.factored(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [(1, "x")]).limit(0)
+    path = model_path("byte_bpe_50k.json")
+    model = pieces.Pieces.load(model_path("piece_bpe_32k.model"))
+    assert tokens.read_back(tokens.stored(none, path)).count() == 0
+    assert media.media(none).count() == 0
+    assert quality.scored(none, quality.Model()).count() == 0
+    assert simhash.near_duplicates(none).count() == 0
+    assert pieces.encoded(none, model).count() == 0
