@@ -33,7 +33,7 @@ def _r(df, *cols, n=9):
     return df
 
 
-@query("weighted_proxy", f"WITH {_H}, {_R} SELECT fund, round(sum(weight * r) / sum(weight) FILTER (r IS NOT NULL), 9) AS proxy, round(sum(weight) FILTER (r IS NOT NULL) / sum(weight), 9) AS coverage FROM hold LEFT JOIN ret USING (constituent) GROUP BY 1")
+@query("weighted_proxy", f"WITH {_H}, {_R} SELECT fund, round(sum(weight * r) / sum(weight) FILTER (r IS NOT NULL), 9) AS proxy, round(coalesce(sum(weight) FILTER (r IS NOT NULL), 0) / sum(weight), 9) AS coverage FROM hold LEFT JOIN ret USING (constituent) GROUP BY 1")
 def _(spark, sf):
     return _r(U.weighted_proxy(_hold(spark, sf), _ret(spark, sf)), "proxy", "coverage")
 
@@ -47,7 +47,7 @@ def _(spark, sf):
     "fund_decomposition",
     f"""WITH {_H}, {_R}, c AS (SELECT fund, constituent, weight, r, weight * r AS c, row_number() OVER (PARTITION BY fund ORDER BY abs(weight * r) DESC NULLS LAST, constituent) AS k FROM hold LEFT JOIN ret USING (constituent))
     SELECT fund, round(sum(c), 9) AS contribution, round(sum(abs(c)) FILTER (k <= 1) / sum(abs(c)), 9) AS top1, round(sum(abs(c)) FILTER (k <= 3) / sum(abs(c)), 9) AS top3, count(*) FILTER (r > 0) AS advancers, count(*) FILTER (r < 0) AS decliners,
-    round(sum(weight) FILTER (r IS NOT NULL) / sum(weight), 9) AS coverage FROM c GROUP BY 1""",
+    round(coalesce(sum(weight) FILTER (r IS NOT NULL), 0) / sum(weight), 9) AS coverage FROM c GROUP BY 1""",
 )
 def _(spark, sf):
     return _r(U.fund_decomposition(_hold(spark, sf), _ret(spark, sf)), "contribution", "top1", "top3", "coverage")
