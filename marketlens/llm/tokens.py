@@ -10,65 +10,87 @@ checked against its digest, and every document's root against its recipe.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, written
 
-ROLL = 16
+ROLL = 8
 #: One place in 2**CUT_BITS is a cut, on average; a chunk has MOST ids at most.
 CUT_BITS, MOST = 8, 4096
 END_ID = 2
-#: Distinct words whose ids a Python worker keeps; others are encoded again when they recur.
-KEPT_WORDS = 300_000
+#: Distinct words, and parts of words, whose ids a Python worker keeps; others are encoded again when they recur.
+KEPT_WORDS, KEPT_PARTS = 500_000, 800_000
 
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
-#: White space that a pre-tokenizer may join with what stands beside it.
-_JOINED = re.compile(r"[^\S \n]| [ \n]")
+#: White space that a pre-tokenizer may join with what stands beside it; and NUL, at which words are cut.
+_JOINED = ["  ", " \n", "\0", *(c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n")]
+
+
+# The byte-level pre-tokenizer's pattern, and its letters for the bytes 0 to 255.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class Encoder:
-    """Encodes texts as the tokenizers library does, word by word: byte-level pre-tokenizers cut before each single space, so words that recur need no new encoding."""
+    """Encodes texts with the tokenizers library's model of a byte-level BPE file.
+
+    Byte-level pre-tokenizers cut before each single space, and a word into parts by a fixed pattern; the model encodes
+    each part by itself. So words and parts that recur need no new encoding. Texts in which white space meets other
+    white space are encoded as a whole.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.end = np.array([end_id], "<u2").tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            found = self.library.model.tokenize(part.encode().decode("latin-1").translate(_LETTERS))
+            ids = array("H", [t.id for t in found]).tobytes()
+            if len(self.parts) < KEPT_PARTS:
+                self.parts[part] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        inner = word[1:-1]
+        if inner.isalpha() and word[0] == " ":  # most words: letters, perhaps with a mark at the end
+            if word[-1].isalpha():
+                return self._part(word)
+            if word[-1] in ".,":
+                return self._part(word[:-1]) + self._part(word[-1])
+        return b"".join(map(self._part, _PARTS.findall(word)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, its end id included."""
-        words: list[list[str] | None] = []
-        new: dict[str, bytes] = {}
-        whole = []
-        for text in texts:
-            if not text or _JOINED.search(text):
-                words.append(None)
-                whole.append(text or "")
-                continue
-            first, *others = text.split(" ")
-            own = [first, *(" " + w for w in others)]
-            words.append(own)
-            new.update((w, b"") for w in own if w not in self.known)
-        fresh = list(new)
-        new = dict(zip(fresh, self._encode(fresh), strict=True))
-        if len(self.known) < KEPT_WORDS:
-            self.known.update(new)
-        direct = iter(self._encode(whole))
-        known = self.known
-        return [(next(direct) if own is None else b"".join([known[w] if w in known else new[w] for w in own])) + self.end for own in words]
+        cut = [None if not t or any(c in t for c in _JOINED) else t.replace(" ", "\0 ").split("\0") for t in texts]
+        known = self.words
+        new = {w: self._word(w) for w in set().union(*filter(None, cut)).difference(known)}
+        known.update(new)
+        out = []
+        for text, words in zip(texts, cut, strict=True):
+            ids = np.array(self.library.encode(text or "", add_special_tokens=False).ids, "<u2").tobytes() if words is None else b"".join(map(known.__getitem__, words))
+            out.append(ids + self.end)
+        if len(known) > KEPT_WORDS:
+            for w in new:
+                del known[w]
+        return out
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -166,15 +188,31 @@ def stored(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
         names = ["doc_id", "version", "n_tokens", "digests", "sizes", "root", "datas"]
         for batch in batches:
             for part in blocks(batch, 1):
-                rows = []
-                for doc, version, data in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), own.encode(part.column(1).to_pylist()), strict=True):
-                    ids = np.frombuffer(data, "<u2")
-                    ends = cuts(ids).tolist()
-                    datas = [data[2 * a : 2 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-                    digests = [digest(x) for x in datas]
-                    rows.append((doc, version, len(ids), digests, [len(x) // 2 for x in datas], merkle_root(digests), datas))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+                docs_ids = own.encode(part.column(1).to_pylist())
+                joined = memoryview(b"".join(docs_ids))
+                n_tokens, ends, counts, at = [], [], [], 0
+                for data in docs_ids:
+                    found = cuts(np.frombuffer(data, "<u2"))
+                    ends.append(2 * found + at)
+                    at += len(data)
+                    counts.append(len(found))
+                    n_tokens.append(len(data) // 2)
+                offsets = np.concatenate([[0], *ends]).astype(np.int32)
+                places = offsets.tolist()
+                digests = [digest(joined[a:b]) for a, b in pairwise(places)]
+                first = [0, *accumulate(counts)]
+                roots = [merkle_root(digests[a:b]) for a, b in pairwise(first)]
+                lists = pa.array(first, pa.int32())
+                columns = [
+                    part.column(0),
+                    part.column(2),
+                    pa.array(n_tokens, pa.int64()),
+                    pa.ListArray.from_arrays(lists, pa.array(digests, pa.binary())),
+                    pa.ListArray.from_arrays(lists, pa.array(np.diff(offsets) // 2, pa.int32())),
+                    pa.array(roots, pa.binary()),
+                    pa.ListArray.from_arrays(lists, pa.BinaryArray.from_buffers(pa.binary(), len(digests), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     cut = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(run, "doc_id long, version long, n_tokens long, digests array<binary>, sizes array<int>, root binary, datas array<binary>")
     cut = written(cut)
@@ -217,23 +255,20 @@ def read_back(store: Store) -> DataFrame:
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            found = batch.column(5).to_pylist()
-            lists = [[(x["n"], x["crc"], x["digest"]) for x in f] for f in found]
-            flat_crc = np.array([c for x in lists for _, c, _ in x], np.int64)
-            after = np.array([4 * a for x in lists for a in (np.cumsum([n for n, _, _ in x][::-1])[::-1] - [n for n, _, _ in x]).tolist()], np.int64)
-            moved = _shifted(flat_crc.astype(np.uint32), after)
-            at = 0
-            for x, n, digests, root in zip(lists, batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                own = [d for _, _, d in x]
-                if own != digests or merkle_root(own) != root or sum(k for k, _, _ in x) != n:
-                    raise ValueError("a document differs from its recipe")
-                out.append(int(np.bitwise_xor.reduce(moved[at : at + len(x)])))
-                at += len(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            _, n, crc = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in batch.column(5).flatten().flatten())
+            lengths = batch.column(5).value_lengths().to_numpy(zero_copy_only=False)
+            upto, total = np.cumsum(lengths), np.concatenate(([0], np.cumsum(n)))
+            moved = _shifted(crc.astype(np.uint32), 4 * (np.repeat(total[upto], lengths) - total[1:]))
+            found = total[upto] - total[upto - lengths]
+            digests = batch.column(3).to_pylist()
+            same = all(len(d) == k and merkle_root(d) == root for d, k, root in zip(digests, lengths.tolist(), batch.column(4).to_pylist(), strict=True))
+            if not same or (found != batch.column(2).to_numpy()).any():
+                raise ValueError("a document differs from its recipe")
+            crcs = np.bitwise_xor.reduceat(moved, upto - lengths).astype(np.int64) if len(moved) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     known = store.chunks.select("digest", "data").mapInArrow(sums, "digest binary, n int, crc long")
     pieces = store.recipes.select("nth", F.posexplode("digests").alias("k", "digest"))
-    met = pieces.join(known, "digest").groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("k", "n", "crc", "digest"))).alias("found"))
+    met = pieces.join(known, "digest").groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("k", "n", "crc"))).alias("found"))
     whole = store.recipes.join(met, "nth").select("doc_id", "start", "n_tokens", "digests", "root", "found")
     return whole.mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
