@@ -1,7 +1,8 @@
 """Encoding texts to the pieces of a SentencePiece model, and decoding, by a relational lattice.
 
-A text, with a space put before it, is cut into units: a space with the word after it, or a line end (longer words are
-cut at UNIT code points). A unit's lattice is a table: its bounded-length substrings are exploded and equi-joined with
+A text, with a space put before it, is cut into units: a space with the run of letters, or of other marks, after it, or
+a line end (longer runs are cut at UNIT code points). No piece of the model may cross from letters to others, or words
+are left whole, so cuts never cost a better path. A unit's lattice is a table: its bounded-length substrings are exploded and equi-joined with
 the piece table; the edges, grouped by unit, are folded by Spark's aggregate() from left to right, keeping the best
 path to each place (Viterbi: the largest sum of piece scores; of equal ones, the one whose last piece is longest).
 Characters without a piece become byte pieces. Each distinct unit is worked on once.
@@ -14,29 +15,33 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, written
 
 UNIT = 64
-HEAD = 300_000
+HEAD = 250_000
 #: Units that a task keeps count of, and those that it hands on.
-TASK_UNITS, TASK_HEAD = 400_000, 100_000
+TASK_UNITS, TASK_HEAD = 300_000, 100_000
 #: The score of a character without a piece: below that of any path over pieces.
 NO_PIECE = -1e8
 
-_CUT = re.compile(rf" ?[^ \n]{{1,{UNIT - 1}}}| |\n")
+_WORDS = re.compile(rf" ?[^ \n]{{1,{UNIT - 1}}}| |\n")
+_RUNS = re.compile(rf" ?[^\W\d_]{{1,{UNIT - 1}}}| ?(?:[\d_]|[^\w \n]){{1,{UNIT - 1}}}| |\n")
+_CROSSED = re.compile(r"[^\W\d_](?=[\W\d_])|[\W\d_](?=[^\W\d_])")
 _SPACE = "▁"
 
 
-def units(text: str | None) -> list[str]:
+def units(text: str | None, cut: re.Pattern = _RUNS) -> list[str]:
     """The units of a text; joined, they are the text with a space before it. An empty or null text has none."""
-    return _CUT.findall(" " + text) if text else []
+    return cut.findall(" " + text) if text else []
 
 
 @dataclass
@@ -47,6 +52,11 @@ class Pieces:
     byte_ids: list[int]
     surfaces: list[bytes]
 
+    @property
+    def cut(self) -> re.Pattern:
+        """How units are cut: into runs of letters and of others if no piece crosses between them."""
+        return _WORDS if any(_CROSSED.search(s.lstrip(" ")) for s, *_ in self.rows) else _RUNS
+
     @classmethod
     def load(cls, path: str) -> Pieces:
         import sentencepiece
@@ -102,7 +112,7 @@ def lattice(found: DataFrame, pieces: Pieces) -> DataFrame:
     return grouped.withColumn("best", F.expr(best)).withColumn("path", F.expr(path)).select("unit", F.expr(ids).alias("ids"))
 
 
-def frequent(docs: DataFrame, head: int) -> DataFrame:
+def frequent(docs: DataFrame, head: int, cut: re.Pattern = _RUNS) -> DataFrame:
     """unit: some head or fewer of the most frequent ones, by the tasks' counts. Which ones they are changes no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +120,7 @@ def frequent(docs: DataFrame, head: int) -> DataFrame:
         for batch in batches:
             for part in blocks(batch, 0):
                 for text in part.column(0).to_pylist():
-                    counts.update(units(text))
+                    counts.update(units(text, cut))
                 if len(counts) > TASK_UNITS:
                     counts = Counter(dict(counts.most_common(TASK_HEAD)))
         top = counts.most_common(TASK_HEAD)
@@ -129,44 +139,69 @@ def frequent(docs: DataFrame, head: int) -> DataFrame:
     return counted.where(step >= least).select("unit") if least is not None else counted.where("false").select("unit")
 
 
-def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD) -> DataFrame:
-    """docs' doc_id and text, with ids (array of int) and n_tokens.
+def _unpacked(lists: pa.ListArray) -> list[dict[str, bytes]]:
+    """A column of lists of (unit, ids) as a dictionary for each row, with ids as bytes."""
+    names, ids = lists.flatten().flatten()
+    keys, data = names.to_pylist(), ids.flatten().to_numpy().astype("<i4").tobytes()
+    ends = [0, *ids.value_lengths().to_numpy().cumsum().tolist()]
+    out, at = [], 0
+    for n in lists.value_lengths().fill_null(0).to_pylist():
+        out.append({keys[k]: data[4 * ends[k] : 4 * ends[k + 1]] for k in range(at, at + n)})
+        at += n
+    return out
+
+
+def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = False) -> DataFrame:
+    """docs' doc_id and text, with ids (array of int) and n_tokens; with decode, also what the ids decode to, as decoded().
 
     A null or empty text has no pieces. Every row, repeated ones too, is encoded; a null id stays null. Decoded ids are
     the text, whatever its characters. An empty table gives none. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
-    top = lattice(frequent(docs, head), pieces).toArrow()
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    cut = pieces.cut
+    top = lattice(frequent(docs, head, cut), pieces).toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column("unit").to_pylist(), (pa.array(x, pa.int32()).to_numpy().tobytes() for x in top.column("ids").to_pylist()), strict=True)))
+    surfaces = spark.sparkContext.broadcast(pieces.surfaces if decode else [])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, 1):
-                rows = [(d, v, u) for d, t, v in zip(*(c.to_pylist() for c in part.columns), strict=True) for u in set(units(t)) if u not in known.value]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "version", "unit"])
+                rows = [(k, u) for t, k in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True) for u in set(units(t, cut)).difference(known.value)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string()))], names=["key", "unit"])
 
-    rest = written(docs.mapInArrow(others, "doc_id long, version long, unit string"))
-    found = rest.join(lattice(rest, pieces), "unit").groupBy("doc_id", "version").agg(F.collect_set(F.struct("unit", "ids")).alias("rest"))
-    # Null-safe on the id; version is null with the text only, and then there is nothing to look up.
-    held = docs.alias("d").join(found.alias("f"), F.col("d.version").eqNullSafe(F.col("f.version")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left").select("d.doc_id", "d.text", "f.rest")
+    rest = written(docs.mapInArrow(others, "key long, unit string"))
+    found = rest.join(lattice(rest, pieces), "unit").groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias("rest"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in blocks(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([None if t is None else squeeze(t.encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "key", "packed"])
+
+    # Texts travel compressed.
+    held = docs.mapInArrow(packed, "doc_id long, key long, packed binary").join(found, "key", "left").select("doc_id", "packed", "rest")
+    names = ["doc_id", "text", "ids", "n_tokens", *(["decoded"] if decode else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for part in blocks(batch, 1, 1 << 20):
-                ids = []
-                for text, more in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    own = {x["unit"]: pa.array(x["ids"], pa.int32()).to_numpy().tobytes() for x in more or ()}
-                    table = known.value
-                    ids.append(b"".join([table[u] if u in table else own[u] for u in units(text)]))
+            for part in blocks(batch, 1, 256 << 10):
+                texts = [None if x is None else open_(x).decode() for x in part.column(1).to_pylist()]
+                table, strings = known.value, surfaces.value
+                ids = [b"".join([table[u] if u in table else own[u] for u in units(text, cut)]) for text, own in zip(texts, _unpacked(part.column(2)), strict=True)]
                 flat = pa.Array.from_buffers(pa.int32(), sum(map(len, ids)) // 4, [None, pa.py_buffer(b"".join(ids))])
-                ends = [0]
-                for x in ids:
-                    ends.append(ends[-1] + len(x) // 4)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "text", "ids", "n_tokens"])
+                lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(len(x) // 4 for x in ids)], pa.int32()), flat)
+                columns = [part.column(0), pa.array(texts, pa.string()), lists, pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if decode:
+                    columns.append(pa.array([_text(memoryview(x).cast("i"), strings) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return held.mapInArrow(run, "doc_id long, text string, ids array<int>, n_tokens long" + ", decoded string" * decode)
+
 
-    return held.mapInArrow(run, "doc_id long, text string, ids array<int>, n_tokens long")
+def _text(ids: Iterable[int], surfaces: list[bytes]) -> str:
+    return b"".join([surfaces[i] for i in ids])[1:].decode(errors="replace")
 
 
 def decoded(df: DataFrame, pieces: Pieces) -> DataFrame:
@@ -179,7 +214,7 @@ def decoded(df: DataFrame, pieces: Pieces) -> DataFrame:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 table = held.value
-                texts = [b"".join([table[i] for i in ids or ()])[1:].decode(errors="replace") for ids in part.column(at).to_pylist()]
+                texts = [_text(ids or (), table) for ids in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
     return df.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "decoded string"]))

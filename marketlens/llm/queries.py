@@ -34,7 +34,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text; ids_sha256 is of the ids, comma-joined."""
     model = pieces.Pieces.load(model_path("piece_bpe_32k.model"))
-    out = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents"), model), model)
+    out = pieces.encoded(table(spark, sf_dir, "documents"), model, decode=True)
     return out.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
