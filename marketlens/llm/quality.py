@@ -78,7 +78,7 @@ def features(text: str | None) -> list[float]:
         text.count("!") / n,
         text.count("|") / n,
         low / n,
-        sum(map(str.istitle, words[:2000])) / min(n, 2000),
+        sum(map(str.istitle, words)) / n,
         len(_MARKED.findall(text)) / n,
         n / (stops + 1),
     ]

@@ -124,6 +124,12 @@ def test_quality_learns_and_scores_anything(spark):
     assert {r.score for r in quality.scored(df, none).collect()} == {0.5}
 
 
+def test_quality_features_take_whole_texts():
+    plain, titled = ["kabel"] * 3000, ["Kabel"] * 1000
+    at = quality.FEATURES.index("capitalised")
+    assert quality.features(" ".join(plain + titled))[at] == quality.features(" ".join(titled + plain))[at] == 0.25
+
+
 def brute_components(fps):
     parent = {k: k for k in fps}
 
