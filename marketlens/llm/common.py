@@ -16,6 +16,8 @@ LOWER = UPPER.lower()
 
 #: Text handled at once inside a Python task; bounds its memory whatever the length of the rows' batch.
 BLOCK_BYTES = 4 << 20
+#: Ids that are broadcast, at most; beyond that a join shuffles.
+BROADCAST = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with uid, a key of each row, written once so that it stays."""
+    return written(docs.withColumn("uid", F.monotonically_increasing_id()))
+
+
+def of_ids(own: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """own's rows with (left_semi) or without (left_anti) a uid in ids."""
+    ids = written(ids.select("uid").distinct())
+    return own.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "uid", how)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does that for ASCII texts, which it handles much faster than translate()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

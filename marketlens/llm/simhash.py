@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, written
+from .common import blocks, keyed, written
 
 RADIUS = 3
 #: Fingerprints on which the trees are fitted, at most.
@@ -32,19 +32,25 @@ SHARD = 512
 _HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """Majority bits of the XXH64 (seed 42) of all word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: str | None, size: int) -> list[int]:
+    """The XXH64 (seed 42) of all word shingles, repeats included; of fewer words, of all as one. Words are lower-cased (ASCII)."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return []
     if len(words) < size:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], 42) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(b" ".join(words), 42)]
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], 42) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """Majority bits of the hashes of all word shingles, repeats included; 0 without words."""
+    hashes = shingle_hashes(text, size)
+    if not hashes:
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[k : k + (1 << 16)], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -189,10 +195,21 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links) for each row of docs.
 
+    Shingles of three words are the operator's: fingerprints within RADIUS are linked. Shingles of five words are those of
+    the near-duplicate stages: rows are linked that share 0.8 of them (see similar), whatever their fingerprints.
+
     A null or empty text has fingerprint 0 and is linked as any other. Rows that share an id each get a row. A null id
     stays null and is never a component's id unless no other is there. An empty table gives none. Other columns of
     docs are ignored.
     """
+    if size == 5:
+        from . import similar
+
+        own = keyed(docs.select("doc_id", "text"))
+        rooted = written(similar.groups(own).join(own.select("uid", "doc_id"), "uid"))
+        lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        fps = fingerprints(own.select(F.col("uid").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "uid")
+        return rooted.join(lowest, "root").join(fps, "uid").select("doc_id", "fp", "component_id")
     own = written(fingerprints(docs, size))
     least = written(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
     joined = components(links(least.select("fp")))

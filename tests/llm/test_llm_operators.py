@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontaminate, media, pieces, pii, quality, simhash, substrings, tokens, urls, warc
+from marketlens.llm import decontaminate, media, pieces, pii, quality, similar, simhash, substrings, tokens, urls, warc
 from marketlens.llm.common import model_path, written
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ren", "su", "tor") for b in ("bel", "dan", "fi", "go", "hur", "n")]
@@ -181,6 +181,57 @@ def test_simhash_documents(spark, docs):
     assert len(kept) == len(set(kept)) and set(kept) == set(least.values())
 
 
+def test_parities_never_exceed_the_difference():
+    r = np.random.default_rng(1)
+    for n in (1, 3, 100, 250, 256, 257, 3000):
+        for share in (1.0, 0.9, 0.5):
+            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate((a[: int(n * share)], r.integers(0, 1 << 63, n // 5).astype(np.uint64))))
+            assert similar.apart(similar.wide_parity(a), similar.wide_parity(b)) <= len(np.setxor1d(a, b))
+
+
+def test_stage_links_all_that_share_four_fifths(spark):
+    """Edits of a few words and lines, chains, subsets, a large group of near copies and a passage that all share."""
+    import corpus_pipeline
+
+    rows, r = [], random.Random(5)
+    for k in range(25):
+        words = prose(1000 + k, 120).split()
+        rows.append(words)
+        for _ in range(4):
+            near = list(words)
+            for _ in range(r.randint(0, 4)):
+                near[r.randrange(len(near))] = r.choice(WORDS) + "x"
+            rows += [near, near[: r.randint(90, 120)], [*prose(77, 30).split(), *near]]
+    hub = prose(2000, 150).split()
+    for k in range(120):
+        near = list(hub)
+        for _ in range(3):
+            near[r.randrange(len(near))] = f"edit{k}"
+        rows.append(near)
+    rows += [["a", "b"], ["A", "b"], ["a", "c"], [], []]
+    texts = [" ".join(w) for w in rows]
+    cut = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for b in range(len(rows)):
+        for a in range(b):
+            if cut[a] == cut[b] or 5 * len(cut[a] & cut[b]) >= 4 * len(cut[a] | cut[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, 5).collect()}
+    assert got == {k: root(k) for k in range(len(rows))}
+    kept = [x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
+    assert sorted(kept) == sorted({root(k) for k in range(len(rows))})
+    assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").count() == 0
+
+
 def test_pieces(spark, docs):
     model = pieces.Pieces.load(model_path("piece_bpe_32k.model"))
     table = {s: (k, x) for s, k, x in model.rows}
