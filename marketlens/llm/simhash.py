@@ -221,7 +221,10 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component; of rows that share it, the least text's one."""
+    """The rows of docs with the smallest doc_id of their component; of rows that share it, the least text's one.
+
+    Ids stand for rows here: rows without an id go. similar.one_of_each, which the pipeline uses, goes by row.
+    """
     keep = near_duplicates(docs, size).where("doc_id = component_id").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     return docs.join(keep, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth").select(docs.columns)

@@ -30,3 +30,16 @@ def test_stages_take_effect(spark, sf):
             text = {r.doc_id: r.text for r in docs.collect()}
             assert all(r.text == text[r.doc_id] and r.n_tokens == len(r.ids) for r in out.collect())
         docs = out
+
+
+def test_stages_go_by_row(spark, tmp_path):
+    """Rows without an id, and different texts under one id, stay or go each by its own text."""
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    rows = [(None, words("a", 40)), (None, words("b", 40)), (1, words("c", 40)), (1, words("d", 40)), (2, words("c", 40)), (None, words("c", 40)), (None, words("a", 40))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    key = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=str)
+    kept = pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert key(kept) == sorted([(None, words("a", 40)), (None, words("b", 40)), (1, words("c", 40)), (1, words("d", 40))], key=str)
+    spark.createDataFrame([(1, words("b", 12)), (2, words("d", 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()
+    assert key(clean) == sorted([r for r in rows if r[1] not in (words("b", 40), words("d", 40))], key=str)
