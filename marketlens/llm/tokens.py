@@ -10,15 +10,16 @@ checked against its digest, and every document's root against its recipe.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,69 +29,84 @@ ROLL = 8
 #: One place in 2**CUT_BITS is a cut, on average; a chunk has MOST ids at most.
 CUT_BITS, MOST = 8, 4096
 END_ID = 2
-#: Distinct words, and parts of words, whose ids a Python worker keeps; others are encoded again when they recur.
-KEPT_WORDS, KEPT_PARTS = 500_000, 800_000
+#: Distinct pieces of text whose ids a Python worker keeps; others are encoded again when they recur.
+KEPT = 800_000
+#: Text that is encoded at once.
+ENCODED_BYTES = 8 << 20
 
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
-#: White space that a pre-tokenizer may join with what stands beside it; and NUL, at which words are cut.
-_JOINED = ["  ", " \n", "\0", *(c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n")]
-
-
-# The byte-level pre-tokenizer's pattern, and its letters for the bytes 0 to 255.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_LETTERS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+# White space by any definition, for two kinds of patterns.
+_WS = r"\p{Z}\s\x0b\x1c-\x1f\x{85}"
+#: A space beside other white space, or a NUL: texts that hold one are cut by _GAP.
+_ODD = rf"[{_WS}] | [{_WS}]|\x00"
+_GAP = re.compile(r"(?<=\S)(?= \S)")
+#: Line ends between other characters, of which the last stands alone, and letters before a mark other than the apostrophe.
+_LINES = rf"([^{_WS}])(\n*)(\n)([^{_WS}])"
+_MARKS = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library's model of a byte-level BPE file.
+    """Encodes texts with the tokenizers library and a byte-level BPE file, each distinct piece of text once.
 
-    Byte-level pre-tokenizers cut before each single space, and a word into parts by a fixed pattern; the model encodes
-    each part by itself. So words and parts that recur need no new encoding. Texts in which white space meets other
-    white space are encoded as a whole.
+    Byte-level pre-tokenizers always cut before a single space that stands between two other characters, around line ends
+    between other characters, and between a letter and most marks. So texts are cut there, and the pieces encoded by the
+    library; all else stays inside a piece. A text that holds one of the file's added tokens goes to the library whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.end = np.array([end_id], "<u2").tobytes()
-
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            found = self.library.model.tokenize(part.encode().decode("latin-1").translate(_LETTERS))
-            ids = array("H", [t.id for t in found]).tobytes()
-            if len(self.parts) < KEPT_PARTS:
-                self.parts[part] = ids
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        inner = word[1:-1]
-        if inner.isalpha() and word[0] == " ":  # most words: letters, perhaps with a mark at the end
-            if word[-1].isalpha():
-                return self._part(word)
-            if word[-1] in ".,":
-                return self._part(word[:-1]) + self._part(word[-1])
-        return b"".join(map(self._part, _PARTS.findall(word)))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, its end id included."""
-        cut = [None if not t or any(c in t for c in _JOINED) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        known = self.words
-        new = {w: self._word(w) for w in set().union(*filter(None, cut)).difference(known)}
-        known.update(new)
-        out = []
-        for text, words in zip(texts, cut, strict=True):
-            ids = np.array(self.library.encode(text or "", add_special_tokens=False).ids, "<u2").tobytes() if words is None else b"".join(map(known.__getitem__, words))
-            out.append(ids + self.end)
-        if len(known) > KEPT_WORDS:
-            for w in new:
-                del known[w]
-        return out
+        if self.library.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are kept as 16-bit numbers")
+        self.added = sorted({t.content for t in self.library.get_added_tokens_decoder().values()})
+        self.known = pa.array([], pa.string())
+        self.ids = pa.array([], pa.list_(pa.uint16()))
+        self.end = end_id
+
+    def _encoded(self, pieces: list[str]) -> pa.ListArray:
+        found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
+        return _lists([array("H", x.ids) for x in found])
+
+    def _joined(self, pieces: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """ids, and how many of each text, for texts as lists of their pieces."""
+        flat = pieces.flatten()
+        ends = pieces.offsets.to_numpy()[1:] - pieces.offsets[0].as_py()
+        at, ids = pc.index_in(flat, value_set=self.known), self.ids
+        if at.null_count:
+            new = flat.filter(pc.is_null(at)).unique()
+            ids = pa.concat_arrays([ids, self._encoded(new.to_pylist())])
+            at = pc.coalesce(at, pc.add(pc.index_in(flat, value_set=new), pa.scalar(len(self.known), pa.int32())))
+            if len(ids) <= KEPT:
+                self.known, self.ids = pa.concat_arrays([self.known, new]), ids
+        sizes = ids.value_lengths().to_numpy()[at.to_numpy()]
+        upto = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[ends]
+        return ids.take(at).flatten().to_numpy(), np.diff(upto, prepend=0)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by its end id, and how many each has with it. Null is empty."""
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) & ~whole
+        marked = texts.filter(pa.array(~odd & ~whole))
+        for pattern, by in ((_LINES, r"\1\0\2\0\3\0\4"), (_MARKS, r"\1\0\2")):
+            marked = pc.replace_substring_regex(marked, pattern, by.replace(r"\0", "\0"))
+        flat, sizes = self._joined(pc.split_pattern(pc.replace_substring(marked, " ", "\0 "), "\0"))
+        if odd.any() or whole.any():
+            more, n = self._joined(pa.array([_GAP.split(t) for t in texts.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string())))
+            rest = self._encoded(texts.filter(pa.array(whole)).to_pylist())
+            both = np.concatenate((sizes, n, rest.value_lengths().to_numpy()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(both))), pa.int32()), pa.array(np.concatenate((flat, more, rest.flatten().to_numpy()))))
+            order = np.argsort(np.concatenate((np.flatnonzero(~odd & ~whole), np.flatnonzero(odd), np.flatnonzero(whole))))
+            flat, sizes = lists.take(pa.array(order)).flatten().to_numpy(), both[order]
+        return np.insert(flat, np.cumsum(sizes), self.end), sizes + 1
+
+
+def _lists(rows: list[array]) -> pa.ListArray:
+    ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.uint16)))
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -106,15 +122,20 @@ def _encoder(path: str, end_id: int) -> Encoder:
     return _encoders[path, end_id]
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Where the chunks of ids end. A place is a cut if the low bits of a rolling hash of the ROLL ids before it are 0; stretches without one are cut every MOST ids."""
-    if len(ids) <= ROLL:
-        return np.array([len(ids)])
+def cuts(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where the chunks of documents end, whose ids (sizes of each, at least one) stand one after another.
+
+    A document's end is a cut. So is a place in it if the low bits of a rolling hash of the ROLL ids before it are 0;
+    stretches without one are cut every MOST ids.
+    """
     gear, h = _GEAR[ids], np.zeros(len(ids), np.uint64)
-    for k in range(ROLL):
+    for k in range(min(ROLL, len(ids))):
         h[k:] += gear[: len(ids) - k] << np.uint64(k)
-    places = np.flatnonzero((h[ROLL - 1 : -1] >> np.uint64(20)) & np.uint64((1 << CUT_BITS) - 1) == 0) + ROLL
-    ends = np.append(places, len(ids))
+    last = np.cumsum(sizes)
+    places = np.flatnonzero((h >> np.uint64(20)) & np.uint64((1 << CUT_BITS) - 1) == 0) + 1
+    doc = np.searchsorted(last, places - 1, side="right")
+    places = places[(places - (last - sizes)[doc] >= ROLL) & (places < last[doc])]
+    ends = np.sort(np.concatenate((places, last)))
     starts = np.concatenate(([0], ends[:-1]))
     long = np.flatnonzero(ends - starts > MOST)
     if len(long):
@@ -187,26 +208,20 @@ def stored(docs: DataFrame, path: str, end_id: int = END_ID) -> Store:
         own = _encoder(path, end_id)
         names = ["doc_id", "version", "n_tokens", "digests", "sizes", "root", "datas"]
         for batch in batches:
-            for part in blocks(batch, 1):
-                docs_ids = own.encode(part.column(1).to_pylist())
-                joined = memoryview(b"".join(docs_ids))
-                n_tokens, ends, counts, at = [], [], [], 0
-                for data in docs_ids:
-                    found = cuts(np.frombuffer(data, "<u2"))
-                    ends.append(2 * found + at)
-                    at += len(data)
-                    counts.append(len(found))
-                    n_tokens.append(len(data) // 2)
-                offsets = np.concatenate([[0], *ends]).astype(np.int32)
+            for part in blocks(batch, 1, ENCODED_BYTES):
+                ids, sizes = own.encode(part.column(1))
+                ends, last = cuts(ids, sizes), np.cumsum(sizes)
+                joined = memoryview(ids.astype("<u2").tobytes())
+                offsets = np.concatenate(([0], 2 * ends)).astype(np.int32)
                 places = offsets.tolist()
                 digests = [digest(joined[a:b]) for a, b in pairwise(places)]
-                first = [0, *accumulate(counts)]
+                first = [0, *np.searchsorted(ends, last, side="right").tolist()]
                 roots = [merkle_root(digests[a:b]) for a, b in pairwise(first)]
                 lists = pa.array(first, pa.int32())
                 columns = [
                     part.column(0),
                     part.column(2),
-                    pa.array(n_tokens, pa.int64()),
+                    pa.array(sizes.astype(np.int64)),
                     pa.ListArray.from_arrays(lists, pa.array(digests, pa.binary())),
                     pa.ListArray.from_arrays(lists, pa.array(np.diff(offsets) // 2, pa.int32())),
                     pa.array(roots, pa.binary()),

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,12 +37,30 @@ def docs(spark):
     return base + ODD
 
 
+def test_encoder_is_the_library():
+    """Random texts of white space, letters, marks and added tokens, also where few pieces are kept."""
+    from tokenizers import Tokenizer
+
+    path, r = model_path("byte_bpe_50k.json"), random.Random(3)
+    library = Tokenizer.from_file(path)
+    alphabet = [*" \t\n\r\x00\x1c\x85\xa0\u3000\u200b aAbz09.,'!?-$sé漢🙂ß\u0301", "<|endoftext|>", "  ", " \n", "\n\n", "'re", " the", " 12"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(5000)] + [None, "", " ", "  ", "a ", " a"]
+    for kept in (tokens.KEPT, 100):
+        own = tokens.Encoder(path)
+        keep, tokens.KEPT = tokens.KEPT, kept
+        for at in range(0, len(texts), 700):
+            part = texts[at : at + 700]
+            ids, sizes = own.encode(pa.array(part, pa.string()))
+            for text, found in zip(part, np.split(ids, np.cumsum(sizes)), strict=False):
+                assert found.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        tokens.KEPT = keep
+
+
 def test_tokens_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     path = model_path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     store = tokens.stored(frame(spark, docs), path)
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_back(store).collect())
     ids = {}
