@@ -1,47 +1,77 @@
 """Encoding texts to the pieces of a SentencePiece model, and decoding, by a relational lattice.
 
-A text, with a space put before it, is cut into units: a space with the run of letters, or of other marks, after it, or
-a line end (longer runs are cut at UNIT code points). No piece of the model may cross from letters to others, or words
-are left whole, so cuts never cost a better path. A unit's lattice is a table: its bounded-length substrings are exploded and equi-joined with
-the piece table; the edges, grouped by unit, are folded by Spark's aggregate() from left to right, keeping the best
-path to each place (Viterbi: the largest sum of piece scores; of equal ones, the one whose last piece is longest).
-Characters without a piece become byte pieces. Each distinct unit is worked on once.
+A text, with a space put before it, is cut into units: the spaces before a run of letters or of other marks, with that
+run, or a line end. They are cut only where no piece of the model crosses, whatever a unit's length, so the best path of
+a text is that of its units, joined. A unit's lattice is a table: its bounded-length substrings are exploded and
+equi-joined with the piece table; the edges, grouped by unit, are folded by Spark's aggregate() from left to right,
+keeping the best path to each place (Viterbi: the largest sum of piece scores; of equal ones, the one whose last piece
+is longest). Characters without a piece become byte pieces. Each distinct unit is worked on once.
 
 The HEAD most frequent units, a bounded table, reach the documents by broadcast, so no key of the joins is hot; the
-others are joined with the documents that hold them.
+others are joined with the documents that hold them, by a number that stands for the unit in its document.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, written
 
-UNIT = 64
-HEAD = 250_000
+HEAD = 1_000_000
+#: Units of more code points go by a digest, never in the head; their substrings are taken from windows of so many.
+SHORT = 64
 #: Units that a task keeps count of, and those that it hands on.
-TASK_UNITS, TASK_HEAD = 300_000, 100_000
-#: The score of a character without a piece: below that of any path over pieces.
+TASK_UNITS, TASK_HEAD = 600_000, 150_000
+#: Text that is cut into units at once.
+CUT_BYTES = 8 << 20
+#: The score of a character without a piece: below that of any path over the model's ordinary pieces.
 NO_PIECE = -1e8
 
-_WORDS = re.compile(rf" ?[^ \n]{{1,{UNIT - 1}}}| |\n")
-_RUNS = re.compile(rf" ?[^\W\d_]{{1,{UNIT - 1}}}| ?(?:[\d_]|[^\w \n]){{1,{UNIT - 1}}}| |\n")
-_CROSSED = re.compile(r"[^\W\d_](?=[\W\d_])|[\W\d_](?=[^\W\d_])")
+
+class Cut(NamedTuple):
+    """How texts are cut: a pattern of units, and the same as replacements that put a NUL at each cut."""
+
+    pattern: regex.Pattern
+    marks: tuple[tuple[str, str], ...]
+
+
+_SPACES = (r"([^ ])( )", "\\1\0\\2")
+_WORDS = Cut(regex.compile(r" *[^ \n]+| +|\n"), (_SPACES,))
+_RUNS = Cut(regex.compile(r" *\p{L}+| *[^\p{L} \n]+| +|\n"), (_SPACES, (r"(\p{L})([^\p{L} \n\x00])", "\\1\0\\2"), (r"([^\p{L} \n\x00])(\p{L})", "\\1\0\\2")))
+_CROSSED = regex.compile(r"\p{L}(?=\P{L})|\P{L}(?=\p{L})")
 _SPACE = "▁"
 
 
-def units(text: str | None, cut: re.Pattern = _RUNS) -> list[str]:
+def units(text: str | None, cut: Cut = _RUNS) -> list[str]:
     """The units of a text; joined, they are the text with a space before it. An empty or null text has none."""
-    return cut.findall(" " + text) if text else []
+    return cut.pattern.findall(" " + text) if text else []
+
+
+def _cut(texts: pa.Array, cut: Cut) -> pa.ListArray:
+    """units() of each text, and empty strings, which stand for nothing."""
+    texts = pc.fill_null(texts, "")
+    marked = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise("", texts, " "))
+    for pattern, by in cut.marks:
+        marked = pc.replace_substring_regex(marked, pattern, by)
+    lists = pc.split_pattern(pc.replace_substring(marked, "\n", "\0\n\0"), "\0")
+    nul = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+    if nul.any():  # NUL marks the cuts, so texts that hold one are cut one by one
+        own = pa.array([units(t, cut) for t in texts.filter(pa.array(nul)).to_pylist()], pa.list_(pa.string()))
+        places = np.arange(len(texts))
+        places[nul] = len(texts) + np.arange(len(own))
+        lists = pa.concat_arrays([lists, own]).take(pa.array(places))
+    return lists
 
 
 @dataclass
@@ -53,9 +83,12 @@ class Pieces:
     surfaces: list[bytes]
 
     @property
-    def cut(self) -> re.Pattern:
-        """How units are cut: into runs of letters and of others if no piece crosses between them."""
-        return _WORDS if any(_CROSSED.search(s.lstrip(" ")) for s, *_ in self.rows) else _RUNS
+    def cut(self) -> Cut:
+        """How units are cut: into runs of letters and of others if no piece crosses between them. A piece that holds a space after another character, or a line end beside one, isn't supported."""
+        bare = [s.lstrip(" ") for s, *_ in self.rows]
+        if any(" " in x or ("\n" in x and len(s) > 1) for x, (s, *_) in zip(bare, self.rows, strict=True)):
+            raise ValueError("a piece crosses from one word to the next")
+        return _WORDS if any(map(_CROSSED.search, bare)) else _RUNS
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -79,52 +112,52 @@ class Pieces:
 
 
 def lattice(found: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit, ids (array of int) for the distinct units of found."""
-    longest = max((len(s) for s, *_ in pieces.rows if " " not in s[1:]), default=1)
+    """name, ids (array of int) for the distinct names of found (name, long): the unit is long, or the name itself if that is null."""
+    longest = max((len(s) for s, *_ in pieces.rows), default=1)
     table = F.broadcast(pieces.table(found.sparkSession))  # a model's pieces: tens of thousands of rows
-    edges = (
-        found.select("unit")
-        .distinct()
-        .select(
-            "unit",
-            F.expr(
-                f"""explode(flatten(transform(sequence(0, char_length(unit) - 1), s ->
-                transform(sequence(1, least({longest}, char_length(unit) - s)), n -> named_struct('s', s, 'n', n, 'surface', substr(unit, s + 1, n))))))"""
-            ).alias("x"),
-        )
-        .select("unit", "x.s", "x.n", "x.surface")
-        .join(table, "surface", "left")
-        .where("id IS NOT NULL OR n = 1")
-        .select("unit", F.struct((F.col("s") + F.col("n")).alias("e"), "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(NO_PIECE)).alias("score")).alias("edge"))
-    )
-    grouped = edges.groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    # best[k]: score, start and id of the last piece of the best path to place k. Edges come by their end, so what they start from is done.
-    best = """aggregate(edges, array(named_struct('score', 0D, 's', 0, 'id', -2)),
-        (a, x) -> IF(size(a) <= x.e,
-            array_append(a, named_struct('score', a[x.s].score + x.score, 's', x.s, 'id', x.id)),
-            IF(a[x.s].score + x.score > a[x.e].score,
-                array_append(slice(a, 1, x.e), named_struct('score', a[x.s].score + x.score, 's', x.s, 'id', x.id)), a)))"""
-    path = """aggregate(sequence(char_length(unit), 1, -1), named_struct('at', char_length(unit), 'out', cast(array() AS array<struct<id: int, e: int>>)),
-        (a, k) -> IF(a.at = k, named_struct('at', best[k].s, 'out', array_append(a.out, named_struct('id', best[k].id, 'e', k))), a), a -> reverse(a.out))"""
+    # Substrings are taken from windows, and rows carry the name only, so that a long unit costs in proportion to its length.
+    unit = found.groupBy("name").agg(F.coalesce(F.max("long"), "name").alias("unit"))
+    windows = unit.withColumn("w", F.explode(F.expr(f"sequence(0, char_length(unit) - 1, {SHORT})"))).select("name", "w", F.expr(f"substr(unit, w + 1, {SHORT + longest})").alias("x"))
+    starts = windows.withColumn("s", F.explode(F.expr(f"sequence(0, least({SHORT}, char_length(x)) - 1)")))
+    # Places between a window's first SHORT and its end belong to the next one, which begins there.
+    substrings = starts.withColumn("n", F.explode(F.expr(f"sequence(1, least({longest}, char_length(x) - s))"))).select("name", (F.col("w") + F.col("s")).alias("s"), "n", F.expr("substr(x, s + 1, n)").alias("surface"))
+    edge = F.struct((F.col("s") + F.col("n")).alias("e"), "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(NO_PIECE)).alias("score"), F.when(F.col("id").isNull(), F.col("surface")).alias("b"))
+    edges = substrings.join(table, "surface", "left").where("id IS NOT NULL OR n = 1").select("name", edge.alias("edge"))
+    grouped = edges.groupBy("name").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    # done[k]: the last piece of the best path to place k; the other fields are of place e, whose edges come next to one
+    # another. Edges come by their end, so what they start from is done.
+    last = "struct<score: double, s: int, id: int, b: string>"
+    put = "array_append(a.done, named_struct('score', a.score, 's', a.s, 'id', a.id, 'b', a.b))"
+    step = "IF(x.s = a.e, a.score, a.done[x.s].score) + x.score"
+    best = f"""aggregate(edges, named_struct('done', cast(array() AS array<{last}>), 'e', 0, 'score', 0D, 's', 0, 'id', -2, 'b', cast(NULL AS string)),
+        (a, x) -> IF(x.e > a.e, named_struct('done', {put}, 'e', x.e, 'score', {step}, 's', x.s, 'id', x.id, 'b', x.b),
+            IF({step} > a.score, named_struct('done', a.done, 'e', a.e, 'score', {step}, 's', x.s, 'id', x.id, 'b', x.b), a)),
+        a -> {put})"""
+    path = f"""aggregate(sequence(size(best) - 1, 1, -1), named_struct('at', size(best) - 1, 'out', cast(array() AS array<{last}>)),
+        (a, k) -> IF(a.at = k, named_struct('at', best[k].s, 'out', array_append(a.out, best[k])), a), a -> reverse(a.out))"""
     held = ",".join(map(str, pieces.byte_ids))
     ids = f"""flatten(transform(path, p -> IF(p.id >= 0, array(p.id),
-        transform(sequence(1, octet_length(substr(unit, p.e, 1))), j -> element_at(array({held}), cast(conv(substr(hex(substr(unit, p.e, 1)), 2 * j - 1, 2), 16, 10) AS int) + 1)))))"""
-    return grouped.withColumn("best", F.expr(best)).withColumn("path", F.expr(path)).select("unit", F.expr(ids).alias("ids"))
+        transform(sequence(1, octet_length(p.b)), j -> element_at(array({held}), cast(conv(substr(hex(p.b), 2 * j - 1, 2), 16, 10) AS int) + 1)))))"""
+    return grouped.withColumn("best", F.expr(best)).withColumn("path", F.expr(path)).select("name", F.expr(ids).alias("ids"))
 
 
-def frequent(docs: DataFrame, head: int, cut: re.Pattern = _RUNS) -> DataFrame:
-    """unit: some head or fewer of the most frequent ones, by the tasks' counts. Which ones they are changes no result."""
+def frequent(docs: DataFrame, head: int, cut: Cut = _RUNS) -> DataFrame:
+    """unit: some head or fewer of the most frequent short ones, by the tasks' counts. Which ones they are changes no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        held = pa.table({"unit": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+
+        def top(k: int) -> pa.Table:
+            return held if len(held) <= k else held.take(pc.select_k_unstable(held, k, [("n", "descending")]))
+
         for batch in batches:
-            for part in blocks(batch, 0):
-                for text in part.column(0).to_pylist():
-                    counts.update(units(text, cut))
-                if len(counts) > TASK_UNITS:
-                    counts = Counter(dict(counts.most_common(TASK_HEAD)))
-        top = counts.most_common(TASK_HEAD)
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["unit", "n"])
+            for part in blocks(batch, 0, CUT_BYTES):
+                counts = pc.value_counts(_cut(part.column(0), cut).flatten())
+                more = pa.table({"unit": counts.field(0), "n": counts.field(1)})
+                length = pc.utf8_length(more["unit"])
+                held = pa.concat_tables([held, more.filter(pc.and_(pc.greater(length, 0), pc.less_equal(length, SHORT)))]).group_by("unit").aggregate([("n", "sum")]).rename_columns(["unit", "n"])
+                held = top(TASK_HEAD) if len(held) > TASK_UNITS else held
+        yield from top(TASK_HEAD).to_batches()
 
     counted = written(docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
     # The least count of which there are at most head units: from the numbers of units by count, in powers of 1.1.
@@ -139,16 +172,29 @@ def frequent(docs: DataFrame, head: int, cut: re.Pattern = _RUNS) -> DataFrame:
     return counted.where(step >= least).select("unit") if least is not None else counted.where("false").select("unit")
 
 
-def _unpacked(lists: pa.ListArray) -> list[dict[str, bytes]]:
-    """A column of lists of (unit, ids) as a dictionary for each row, with ids as bytes."""
-    names, ids = lists.flatten().flatten()
-    keys, data = names.to_pylist(), ids.flatten().to_numpy().astype("<i4").tobytes()
-    ends = [0, *ids.value_lengths().to_numpy().cumsum().tolist()]
-    out, at = [], 0
-    for n in lists.value_lengths().fill_null(0).to_pylist():
-        out.append({keys[k]: data[4 * ends[k] : 4 * ends[k + 1]] for k in range(at, at + n)})
-        at += n
-    return out
+class _Split:
+    """A block of texts in units: which are known (their places), and numbers for the others, by their first place in each text."""
+
+    def __init__(self, texts: pa.Array, cut: Cut, known: pa.Array):
+        lists = _cut(texts, cut)
+        flat = lists.flatten()
+        self.ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        at = pc.index_in(flat, value_set=known)
+        self.unknown = pc.is_null(at).to_numpy(zero_copy_only=False)
+        self.places = pc.fill_null(at, 0).to_numpy()
+        coded = flat.filter(pa.array(self.unknown)).dictionary_encode()
+        row = np.searchsorted(self.ends, np.flatnonzero(self.unknown), side="right")
+        both = row * max(len(coded.dictionary), 1) + coded.indices.to_numpy().astype(np.int64)
+        _, first, inverse = np.unique(both, return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        #: For each unit of a text that isn't known: its text's row and its number there, from 0.
+        self.rows = row[first[order]]
+        self.counts = np.bincount(self.rows, minlength=len(lists))
+        base = np.concatenate(([0], np.cumsum(self.counts)))
+        self.numbers = np.arange(len(order)) - base[self.rows]
+        self.units = coded.dictionary.take(coded.indices.take(pa.array(first[order])))
+        #: For each place that isn't known, which of them it is.
+        self.which = np.argsort(order)[inverse]
 
 
 def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = False) -> DataFrame:
@@ -160,46 +206,77 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     cut = pieces.cut
-    top = lattice(frequent(docs, head, cut), pieces).toArrow()
-    known = spark.sparkContext.broadcast(dict(zip(top.column("unit").to_pylist(), (pa.array(x, pa.int32()).to_numpy().tobytes() for x in top.column("ids").to_pylist()), strict=True)))
-    surfaces = spark.sparkContext.broadcast(pieces.surfaces if decode else [])
+    top = lattice(frequent(docs, head, cut).select(F.col("unit").alias("name"), F.lit(None).cast("string").alias("long")), pieces).toArrow().combine_chunks()
+    # The empty string, which stands for nothing, is known as well.
+    names = pa.concat_arrays([pa.array([""]), *top.column("name").cast(pa.string()).chunks])
+    found = pa.concat_arrays([pa.array([[]], pa.list_(pa.int32())), *(_plain(x) for x in top.column("ids").chunks)])
+    known = spark.sparkContext.broadcast((names, found, pa.array(pieces.surfaces, pa.binary()) if decode else None))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, 1):
-                rows = [(k, u) for t, k in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True) for u in set(units(t, cut)).difference(known.value)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string()))], names=["key", "unit"])
-
-    rest = written(docs.mapInArrow(others, "key long, unit string"))
-    found = rest.join(lattice(rest, pieces), "unit").groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias("rest"))
+            for part in blocks(batch, 0, CUT_BYTES):
+                own = _Split(part.column(0), cut, known.value[0])
+                name, long = own.units, pa.nulls(len(own.units), pa.string())
+                over = pc.greater(pc.utf8_length(name), SHORT)
+                if pc.any(over).as_py():
+                    long = pc.if_else(over, name, None)
+                    digests = [None if x is None else "\n" + hashlib.blake2b(x.encode(), digest_size=16).hexdigest() for x in long.to_pylist()]
+                    name = pc.coalesce(pa.array(digests, pa.string()), name)
+                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(own.rows)), pa.array(own.numbers, pa.int32()), name, long], names=["key", "k", "name", "long"])
+
+    # Both sides of the join come from one exchange by name.
+    rest = docs.select("text", "key").mapInArrow(others, "key long, k int, name string, long string").repartition("name")
+    paths = lattice(rest.groupBy("name").agg(F.max("long").alias("long"), F.min("key"), F.min("k")).select("name", "long"), pieces)
+    told = rest.join(paths, "name").groupBy("key").agg(F.collect_set(F.struct("k", "ids")).alias("rest"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             for part in blocks(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([None if t is None else squeeze(t.encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "key", "packed"])
 
     # Texts travel compressed.
-    held = docs.mapInArrow(packed, "doc_id long, key long, packed binary").join(found, "key", "left").select("doc_id", "packed", "rest")
-    names = ["doc_id", "text", "ids", "n_tokens", *(["decoded"] if decode else [])]
+    held = docs.mapInArrow(packed, "doc_id long, key long, packed binary").join(told, "key", "left").select("doc_id", "packed", "rest")
+    columns = ["doc_id", "text", "ids", "n_tokens", *(["decoded"] if decode else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
+        units_known, ids_known, surfaces = known.value
         for batch in batches:
-            for part in blocks(batch, 1, 256 << 10):
-                texts = [None if x is None else open_(x).decode() for x in part.column(1).to_pylist()]
-                table, strings = known.value, surfaces.value
-                ids = [b"".join([table[u] if u in table else own[u] for u in units(text, cut)]) for text, own in zip(texts, _unpacked(part.column(2)), strict=True)]
-                flat = pa.Array.from_buffers(pa.int32(), sum(map(len, ids)) // 4, [None, pa.py_buffer(b"".join(ids))])
-                lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(len(x) // 4 for x in ids)], pa.int32()), flat)
-                columns = [part.column(0), pa.array(texts, pa.string()), lists, pa.array([len(x) // 4 for x in ids], pa.int64())]
-                if decode:
-                    columns.append(pa.array([_text(memoryview(x).cast("i"), strings) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            for part in blocks(batch, 1, CUT_BYTES // 4):
+                texts = pa.array([None if x is None else open_(x).decode() for x in part.column(1).to_pylist()], pa.string())
+                own = _Split(texts, cut, units_known)
+                counts = pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy()
+                if (counts != own.counts).any():
+                    raise ValueError("a text lacks the paths of some of its units")
+                k, ids = part.column(2).flatten().flatten()
+                order = np.lexsort((k.to_numpy(), np.repeat(np.arange(len(counts)), counts)))
+                table = pa.concat_arrays([ids_known, _plain(ids).take(pa.array(order))])
+                places = own.places.astype(np.int64)
+                places[own.unknown] = len(ids_known) + own.which
+                sizes = table.value_lengths().to_numpy()[places]
+                ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[np.concatenate(([0], own.ends))]
+                flat = table.take(pa.array(places)).flatten()
+                out = [part.column(0), texts, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(np.diff(ends))]
+                yield pa.RecordBatch.from_arrays([*out, *([_joined(flat, ends, surfaces)] if decode else [])], names=columns)
 
     return held.mapInArrow(run, "doc_id long, text string, ids array<int>, n_tokens long" + ", decoded string" * decode)
 
 
+def _plain(lists: pa.Array) -> pa.ListArray:
+    """Lists of 32-bit ids whose elements and offsets are of plain kinds."""
+    sizes = lists.value_lengths().to_numpy()
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), lists.flatten().cast(pa.int32()))
+
+
+def _joined(flat: pa.Array, ends: np.ndarray, surfaces: pa.Array) -> pa.Array:
+    """What ids decode to, text by text: their surfaces, joined, without the space put before."""
+    strings = surfaces.take(flat)
+    places = np.concatenate(([0], np.cumsum(pc.binary_length(strings).to_numpy(), dtype=np.int64)))[ends]
+    whole = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(places.astype(np.int32)), strings.buffers()[2]])
+    return pc.binary_slice(whole, 1).cast(pa.string())
+
+
 def _text(ids: Iterable[int], surfaces: list[bytes]) -> str:
     return b"".join([surfaces[i] for i in ids])[1:].decode(errors="replace")
 

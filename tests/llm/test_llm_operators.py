@@ -252,25 +252,34 @@ def test_stage_links_all_that_share_four_fifths(spark):
 
 
 def test_pieces(spark, docs):
+    """The best path over the whole text, whatever its units; few or all units known."""
     model = pieces.Pieces.load(model_path("piece_bpe_32k.model"))
     table = {s: (k, x) for s, k, x in model.rows}
 
-    def best(unit):
+    def best(text):
         paths = [(0.0, [])]
-        for e in range(1, len(unit) + 1):
-            found = [(paths[s][0] + table[unit[s:e]][1], -s, [*paths[s][1], table[unit[s:e]][0]]) for s in range(e) if unit[s:e] in table]
-            if unit[e - 1] not in table:
-                found.append((paths[e - 1][0] - 1e8, 1 - e, [*paths[e - 1][1], *(model.byte_ids[b] for b in unit[e - 1].encode())]))
+        for e in range(1, len(text) + 1):
+            found = [(paths[s][0] + table[text[s:e]][1], -s, (paths[s][1], table[text[s:e]][0])) for s in range(max(0, e - 16), e) if text[s:e] in table]
+            if text[e - 1] not in table:
+                found.append((paths[e - 1][0] - 1e8, 1 - e, (paths[e - 1][1], *(model.byte_ids[b] for b in text[e - 1].encode()))))
             paths.append(max(found, key=lambda x: x[:2])[::2])
-        return paths[-1][1]
-
-    got = pieces.decoded(pieces.encoded(frame(spark, docs), model, head=40), model).collect()
-    assert len(got) == len(docs)
-    for r in got:
-        assert r.decoded == (r.text or "")
-        assert "".join(pieces.units(r.text, model.cut)) == (" " + r.text if r.text else "")
-        if len(r.text or "") < 2000:
-            assert r.ids == [i for u in pieces.units(r.text, model.cut) for i in best(u)]
+        ids, at = [], paths[-1][1]
+        while at:
+            at, *own = at
+            ids += reversed(own)
+        return ids[::-1]
+
+    spaces = [(200, "a" + " " * 8 + "b\n\n   c" + " " * 21), (201, "    "), (202, "x1y2,, z\x00\x00 w   3.5"), (203, "kabel" * 30 + "\n" + "9" * 100), (204, "\n"), (205, " a")]
+    docs = [*docs, *spaces]
+    for head in (40, 100_000):
+        got = pieces.decoded(pieces.encoded(frame(spark, docs), model, head=head), model).collect()
+        assert len(got) == len(docs)
+        for r in got:
+            assert r.decoded == (r.text or "")
+            assert "".join(pieces.units(r.text, model.cut)) == (" " + r.text if r.text else "")
+            assert r.ids == (best(" " + r.text) if r.text else [])
+    same = pieces.encoded(frame(spark, docs), model, head=40, decode=True)
+    assert all(r.decoded == (r.text or "") and r.n_tokens == len(r.ids) for r in same.collect())
 
 
 def test_rules_and_hosts(spark):
