@@ -273,8 +273,8 @@ def _joined(flat: pa.Array, ends: np.ndarray, surfaces: pa.Array) -> pa.Array:
     """What ids decode to, text by text: their surfaces, joined, without the space put before."""
     strings = surfaces.take(flat)
     places = np.concatenate(([0], np.cumsum(pc.binary_length(strings).to_numpy(), dtype=np.int64)))[ends]
-    whole = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(places.astype(np.int32)), strings.buffers()[2]])
-    return pc.binary_slice(whole, 1).cast(pa.string())
+    whole = pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(places.astype(np.int32)), strings.buffers()[2]])
+    return pc.utf8_slice_codeunits(whole, 1)
 
 
 def _text(ids: Iterable[int], surfaces: list[bytes]) -> str:
