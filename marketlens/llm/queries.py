@@ -64,7 +64,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.factored(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

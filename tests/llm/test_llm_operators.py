@@ -394,13 +394,25 @@ def test_substrings(spark, docs):
     passage = prose(77, 30)
     rows = [*docs, (600, passage + " mid " + passage), (601, (passage + " ") * 4), (602, prose(1, 19)), (603, prose(1, 61)[5:])]
     one = [(d, t) for d, t in rows if d not in (None, 108)]
+    text = {d: t or "" for d, t in rows}
     want = substrings.reference([(-1, "an id is missing here"), *one, (108, prose(1, 50))])
     for bits in (1 << 20, 64):  # a filter that holds everything changes nothing
         got = substrings.factored(frame(spark, rows), bits=bits).collect()
         assert len(got) == len(rows)
         for r in got:
             assert (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) == want[-1 if r.doc_id is None else r.doc_id]
+            own, covered = text[r.doc_id].encode().split(), set()
+            for f in r.factors:  # each factor is its source's words, and its source comes earlier
+                assert f.length >= 20 and own[f.start : f.start + f.length] == text[f.source].encode().split()[f.source_start : f.source_start + f.length]
+                assert (f.source or -1, f.source_start) < (r.doc_id or -1, f.start) and not set(range(f.start, f.start + f.length)) <= covered
+                covered |= set(range(f.start, f.start + f.length))
+            assert len(covered) == r.n_removed
     assert substrings.factored(frame(spark, rows).limit(0)).count() == 0
+    # A factor is extended as far as its source goes, and one that straddles two sources is found at their boundary.
+    a, b = prose(501, 60), prose(502, 60)
+    parts = [(1, a), (2, b), (3, " ".join(a.split()[-12:] + b.split()[:12])), (4, a + " " + b + " " + prose(503, 25))]
+    got = {r.doc_id: r.factors for r in substrings.factored(frame(spark, parts)).collect()}
+    assert [tuple(f) for f in got[4]] == [(0, 60, 1, 0), (48, 24, 3, 0), (60, 60, 2, 0)] and got[3] == []
 
 
 def test_empty_tables(spark):
