@@ -58,7 +58,7 @@ def slice_clock(bars: DataFrame, day: date, start: str, end: str, day_col: str =
 
 def clock_return(bars: DataFrame, day: date, start: str, end: str, key: str = "symbol", day_col: str = "trade_date", ts: str = "ts") -> DataFrame:
     """Log of the last close over the first open in a clock window, and the volume, per symbol."""
-    return slice_clock(bars, day, start, end, day_col, ts).groupBy(key).agg(F.log(F.max_by("close", ts) / F.min_by("open", ts)).alias("clock_return"), F.sum("volume").alias("volume"))
+    return slice_clock(bars, day, start, end, day_col, ts).groupBy(key).agg(F.log(F.try_divide(F.max_by("close", ts), F.min_by("open", ts))).alias("clock_return"), F.sum("volume").alias("volume"))
 
 
 def slice_requested_window(bars: DataFrame, start: datetime, end: datetime, minutes: int, key: str = "symbol", ts: str = "ts") -> DataFrame:
@@ -71,7 +71,7 @@ def gap_return(bars: DataFrame, key: str = "symbol", ts: str = "ts") -> DataFram
     """Per day: log of the first open over the previous day's last close."""
     day = bars.groupBy(key, F.to_date(ts).alias("trade_date")).agg(F.min_by("open", ts).alias("day_open"), F.max_by("close", ts).alias("day_close"))
     prev = F.lag("day_close").over(Window.partitionBy(key).orderBy("trade_date"))
-    return day.withColumn("prev_close", prev).withColumn("gap", F.log(F.col("day_open") / F.col("prev_close")))
+    return day.withColumn("prev_close", prev).withColumn("gap", F.log(F.try_divide("day_open", "prev_close")))
 
 
 def window_return(bars: DataFrame, windows: DataFrame, key: str = "symbol", ts: str = "ts") -> DataFrame:
@@ -79,7 +79,7 @@ def window_return(bars: DataFrame, windows: DataFrame, key: str = "symbol", ts:
     day = F.to_date("w_start")
     spans = windows.select("window_id", "w_start", "w_end", day.alias("_d"))
     inside = bars.withColumn("_d", F.to_date(ts)).join(spans, "_d").where((F.col(ts) >= F.col("w_start")) & (F.col(ts) < F.col("w_end")))
-    found = inside.groupBy(key, "window_id").agg(F.log(F.max_by("close", ts) / F.min_by("open", ts)).alias("window_return"), F.count("*").alias("n_bars"))
+    found = inside.groupBy(key, "window_id").agg(F.log(F.try_divide(F.max_by("close", ts), F.min_by("open", ts))).alias("window_return"), F.count("*").alias("n_bars"))
     grid = bars.withColumn("_d", F.to_date(ts)).select(key, "_d").distinct().join(spans, "_d").select(key, "window_id")
     return grid.join(found, [key, "window_id"], "left").withColumn("n_bars", F.coalesce("n_bars", F.lit(0).cast("long")))
 
@@ -108,7 +108,7 @@ def path_returns(bars: DataFrame, units: Sequence[str] | Sequence[int], key: str
     own = bars.where(F.col(key).isin(list(units)))
     common = own.groupBy(ts).agg(F.countDistinct(key).alias("_n")).where(F.col("_n") == len(set(units))).select(ts)
     prev = F.lag("close").over(Window.partitionBy(key).orderBy(ts))
-    return own.join(common, ts, "left_semi").withColumn("path_return", F.log(F.col("close") / F.coalesce(prev, F.col("open"))))
+    return own.join(common, ts, "left_semi").withColumn("path_return", F.log(F.try_divide("close", F.coalesce(prev, F.col("open")))))
 
 
 def slot_differences(slots: DataFrame, key: Sequence[str], slot: str, value: str) -> DataFrame:

@@ -11,6 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: P(a Poisson(1) count is below k) for k from 1.
+POISSON = np.cumsum(np.exp(-1) / np.concatenate(([1.0], np.cumprod(np.arange(1.0, 7.0))))).tolist()
+#: Names that rank_with_ties() ranks, at most.
+MAX_NAMES = 100_000
+
+
+def _key(key: Sequence[str]) -> Column:
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in key])
+
+
+def _drawn(rows: DataFrame, draws: int, seed: int, per: int) -> DataFrame:
+    """rows (with _key) for each draw _p, with _x: the 32 / per hex digits of MD5(seed|block|_key) that belong to the draw; per draws share a block. Any engine has this hash."""
+    block = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // per)))).withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "_b", "_key")))
+    each = block.withColumn("_p", F.explode(F.expr(f"sequence(_b * {per} + 1, least(_b * {per} + {per}, {draws}))")))
+    return each.withColumn("_x", F.expr(f"substr(_h, ((_p - 1) % {per}) * {32 // per} + 1, {32 // per})")).drop("_b", "_h")
+
+
 def event_panel(panel: DataFrame, events: DataFrame, event_type: str | None, day: date, key: str = "symbol", order: str = "trade_date", type_col: str = "event_type", *, today: bool = False) -> DataFrame:
     """Panel rows on days, before day (or on it), on which their entity has an event of the type."""
     e = events if event_type is None else events.where(F.col(type_col) == event_type)
@@ -38,12 +55,12 @@ def stratified_permutation(panel: DataFrame, label: str, y: str, stratum: str, k
     Only rows of strata with both labels count. A draw orders each stratum's rows by a hash and labels the first ones, as
     many as are labelled. Rows are few columns wide; draws are blown up, then reduced to a sum per draw at once.
     """
-    ok = panel.where(F.col(label).isNotNull() & F.col(y).isNotNull()).select(*by, stratum, F.col(label).cast("int").alias("_d"), F.col(y).cast("double").alias("_y"), F.xxhash64(*key).alias("_key"))
+    ok = panel.where(F.col(label).isNotNull() & F.col(y).isNotNull()).select(*by, stratum, F.col(label).cast("int").alias("_d"), F.col(y).cast("double").alias("_y"), _key(key).alias("_key"))
     n = ok.groupBy(*by, stratum).agg(F.sum("_d").alias("_k"), F.count("*").alias("_n")).where("_k > 0 AND _k < _n")
     rows = ok.join(n, [*by, stratum])
     real = rows.groupBy(*by).agg(F.sum("_d").alias("n_treated"), F.count("*").alias("n"), (F.avg(F.when(F.col("_d") == 1, F.col("_y"))) - F.avg(F.when(F.col("_d") == 0, F.col("_y")))).alias("effect"))
-    drawn = rows.withColumn("_p", F.explode(F.sequence(F.lit(1), F.lit(perms))))
-    nth = F.row_number().over(Window.partitionBy(*by, "_p", stratum).orderBy(F.xxhash64(F.lit(seed), "_p", "_key"), "_key"))
+    drawn = _drawn(rows, perms, seed, 4)
+    nth = F.row_number().over(Window.partitionBy(*by, "_p", stratum).orderBy("_x", "_key"))
     one = drawn.withColumn("_x", nth <= F.col("_k")).groupBy(*by, "_p").agg((F.avg(F.when(F.col("_x"), F.col("_y"))) - F.avg(F.when(~F.col("_x"), F.col("_y")))).alias("_e"))
     p = one.join(real.select(*by, "effect"), list(by)).groupBy(*by).agg(((F.count_if(F.abs("_e") >= F.abs("effect") - 1e-12) + 1) / (F.lit(perms) + 1)).alias("p_value"))
     return real.join(p, list(by), "left")
@@ -63,6 +80,23 @@ def interaction_effect(panel: DataFrame, d: str, c: str, y: str, by: Sequence[st
     return panel.where(F.col(y).isNotNull()).groupBy(*by).agg((cell(1, 1) - cell(1, 0) - cell(0, 1) + cell(0, 0)).alias("interaction"), F.count("*").alias("n"))
 
 
+def running(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """df with the running sum of value by order (distinct values): sums within ranges of it, and those of the ranges before. No row meets all others."""
+    ranged = df.repartitionByRange(order).withColumn("_range", F.spark_partition_id())
+    cut = ranged.groupBy("_range").agg(F.min(order).alias("_low"), F.sum(value).alias("_sum"))
+    # One row for each range. Ranges are named by their bounds, so it doesn't matter if they are cut anew.
+    rows = sorted((r._low, r._sum) for r in cut.collect() if r._low is not None)
+    bounds, upto = [r[0] for r in rows], np.concatenate(([0.0], np.cumsum([float(r[1] or 0) for r in rows])))[:-1].tolist()
+    if not bounds:
+        return df.withColumn(name, F.lit(0.0))
+    kind = df.schema[order].dataType
+    at = F.size(F.filter(F.lit(bounds).cast(f"array<{kind.simpleString()}>"), lambda b: b <= F.col(order)))
+    own = df.withColumn("_range", at)
+    w = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    base = F.element_at(F.lit(upto), F.col("_range"))
+    return own.withColumn(name, F.sum(value).over(w) + base).drop("_range")
+
+
 def condition_today(panel: DataFrame, today: DataFrame, conditions: Sequence[str], cut: float = 0.8, key: str = "symbol") -> DataFrame:
     """Each condition of each key today: the share of the panel's values at or below it, and whether it reaches the cut.
 
@@ -73,7 +107,7 @@ def condition_today(panel: DataFrame, today: DataFrame, conditions: Sequence[str
         both = panel.select(F.lit(None).cast("string").alias("_k"), F.col(c).cast("double").alias("_v")).where("_v IS NOT NULL").unionByName(today.select(F.col(key).cast("string").alias("_k"), F.col(c).cast("double").alias("_v")).where("_v IS NOT NULL"))
         counts = both.groupBy("_v").agg(F.count_if(F.col("_k").isNull()).alias("_n"))  # a row for each value
         total = counts.agg(F.sum("_n").alias("_t"))
-        below = counts.withColumn("_b", F.sum("_n").over(Window.orderBy("_v"))).join(F.broadcast(total)).select("_v", (F.col("_b") / F.col("_t")).alias("pct"))
+        below = running(counts, "_v", "_n", "_b").join(F.broadcast(total)).select("_v", (F.col("_b") / F.col("_t")).alias("pct"))
         one = today.select(key, F.lit(c).alias("condition"), F.col(c).cast("double").alias("_v")).join(below, "_v").drop("_v")
         out = one if out is None else out.unionByName(one)
     return out.withColumn("active", F.col("pct") >= cut)
@@ -81,10 +115,10 @@ def condition_today(panel: DataFrame, today: DataFrame, conditions: Sequence[str
 
 def sign_flip(pairs: DataFrame, diff: str, key: Sequence[str], perms: int, seed: int, by: Sequence[str]) -> DataFrame:
     """Per group: mean of paired differences, and its two-sided p under flipping pairs' signs (by hash)."""
-    ok = pairs.where(F.col(diff).isNotNull()).select(*by, F.col(diff).alias("_y"), F.xxhash64(*key).alias("_key"))
+    ok = pairs.where(F.col(diff).isNotNull()).select(*by, F.col(diff).alias("_y"), _key(key).alias("_key"))
     real = ok.groupBy(*by).agg(F.avg("_y").alias("att"), F.count("*").alias("n_pairs"))
-    flip = F.when(F.pmod(F.xxhash64(F.lit(seed), "_p", "_key"), F.lit(2)) == 0, F.col("_y")).otherwise(-F.col("_y"))
-    one = ok.withColumn("_p", F.explode(F.sequence(F.lit(1), F.lit(perms)))).groupBy(*by, "_p").agg(F.avg(flip).alias("_e"))
+    flip = F.when(F.col("_x") < "8", F.col("_y")).otherwise(-F.col("_y"))
+    one = _drawn(ok, perms, seed, 32).groupBy(*by, "_p").agg(F.avg(flip).alias("_e"))
     p = one.join(real, list(by)).groupBy(*by).agg(((F.count_if(F.abs("_e") >= F.abs("att") - 1e-12) + 1) / (F.lit(perms) + 1)).alias("p_value"))
     return real.join(p, list(by))
 
@@ -128,21 +162,27 @@ def moderator_panel(pairs: DataFrame, moderators: Sequence[str], max_missing: fl
     for m in kept:
         counts = out.groupBy(m).agg(F.count("*").alias("_n"))
         total = counts.agg(F.sum("_n").alias("_t"))
-        ranks = counts.withColumn("_b", F.sum("_n").over(Window.orderBy(m)) - F.col("_n")).join(F.broadcast(total)).select(m, (F.col("_b") / F.nullif(F.col("_t") - 1, F.lit(0))).alias(f"{m}_pct"))
+        ranks = running(counts, m, "_n", "_b").withColumn("_b", F.col("_b") - F.col("_n")).join(F.broadcast(total)).select(m, (F.col("_b") / F.nullif(F.col("_t") - 1, F.lit(0))).alias(f"{m}_pct"))
         out = out.join(ranks, m)
     return out, [f"{m}: {rates[m]:.0%} missing" for m in moderators if m not in kept]
 
 
 def rank_with_ties(draws: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
-    """Names by mean, with 95 % intervals of their draws; a name whose interval overlaps that of the first of the current rank shares it."""
+    """Names by mean, with 95 % intervals of their draws; a name whose interval overlaps that of the first of the current rank shares it.
+
+    Which name begins a rank follows from the one before, so names are walked in order: a bounded list (their number is
+    checked), however many draws there are.
+    """
     g = draws.groupBy(name).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
-    whole = g.agg(F.array_sort(F.collect_list(F.struct((-F.col("mean")).alias("o"), F.col(name).alias("name"), "mean", "low", "high"))).alias("l"))  # a row for each name
-    ranked = F.expr(
-        """aggregate(l, named_struct('r', 0, 'low', cast(NULL AS double), 'out', cast(array() AS array<struct<name: string, rank: int>>)),
-        (a, x) -> IF(a.low IS NOT NULL AND x.high >= a.low, named_struct('r', a.r, 'low', a.low, 'out', array_append(a.out, named_struct('name', cast(x.name AS string), 'rank', a.r))),
-            named_struct('r', size(a.out) + 1, 'low', x.low, 'out', array_append(a.out, named_struct('name', cast(x.name AS string), 'rank', size(a.out) + 1))))).out"""
-    )
-    return whole.select(F.explode(ranked).alias("x")).select("x.*").join(g.withColumnRenamed(name, "name"), "name")
+    rows = g.orderBy(F.desc("mean"), name).limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} names")
+    out, rank, low = [], 0, None
+    for k, r in enumerate(rows, 1):
+        if low is None or r.high < low:
+            rank, low = k, r.low
+        out.append((str(r[name]), rank, r.mean, r.low, r.high))
+    return draws.sparkSession.createDataFrame(out, "name string, rank int, mean double, low double, high double")
 
 
 def stability_split(panel: DataFrame, exposure: str, y: str, order: str = "trade_date", by: Sequence[str] = ("event_type",)) -> DataFrame:
@@ -222,18 +262,13 @@ def spike_alignment(returns: DataFrame, counts: DataFrame, q: float = 0.8, extre
 
 def bootstrap_diff(daily: DataFrame, a: str, b: str, draws: int = 1000, seed: int = 7, key: str = "trade_date") -> DataFrame:
     """One row: mean of a - b, and its two-sided p by a Poisson bootstrap: each draw weighs days by hashes turned into Poisson(1) counts."""
-    ok = daily.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(a) - F.col(b)).alias("_d"), F.xxhash64(key).alias("_key"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "_p", "_key"), F.lit(1_000_000)) / 1_000_000
-    steps, total, term = [], 0.0, float(np.exp(-1))
-    for k in range(1, 8):
-        total += term
-        steps.append(total)
-        term /= k
+    ok = daily.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(a) - F.col(b)).alias("_d"), _key([key]).alias("_key"))
+    u = F.conv("_x", 16, 10).cast("double") / 2**32
     weight: Column = F.lit(0)
-    for s in steps:
+    for s in POISSON:
         weight = weight + F.when(u >= s, 1).otherwise(0)
     real = ok.agg(F.avg("_d").alias("diff"), F.count("*").alias("n"))
-    one = ok.withColumn("_p", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight).groupBy("_p").agg((F.sum(F.col("_w") * F.col("_d")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
+    one = _drawn(ok, draws, seed, 4).withColumn("_w", weight).groupBy("_p").agg((F.sum(F.col("_w") * F.col("_d")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
     j = one.join(F.broadcast(real))  # one row
     return j.groupBy("diff", "n").agg(F.least(F.lit(1.0), 2 * (F.least(F.count_if(F.col("_m") <= 0), F.count_if(F.col("_m") >= 0)) + 1) / (F.lit(draws) + 1)).alias("p_value"))
 

@@ -12,14 +12,14 @@ from marketlens.registry import query
 from .bindings import RETURNS, SECTORS, returns, sectors, t
 
 # arguments of orders: one supplier, part and customer for each line
-_ARGS = """args AS (SELECT l_orderkey AS event_id, 'supplier' AS role, l_suppkey AS entity_id, CAST(l_shipdate AS DATE) AS link_date FROM lineitem WHERE l_orderkey % 10 = 0
-UNION ALL SELECT l_orderkey, 'part', 100000 + l_partkey % 50, CAST(l_shipdate AS DATE) FROM lineitem WHERE l_orderkey % 10 = 0)"""
+_ARGS = """args AS (SELECT l_orderkey AS event_id, 'supplier' AS role, l_suppkey AS entity_id, CAST(l_shipdate AS DATE) AS link_date FROM lineitem
+UNION ALL SELECT l_orderkey, 'part', 100000 + l_partkey % 50, CAST(l_shipdate AS DATE) FROM lineitem)"""
 _EDGES = f"""{_ARGS}, edges AS (SELECT DISTINCT a.entity_id AS src, b.entity_id AS dst, 'SUPPLY_CHAIN' AS link_type, a.link_date FROM args a JOIN args b USING (event_id) WHERE a.role = 'supplier' AND b.role = 'part'
 UNION SELECT DISTINCT a.entity_id, b.entity_id, 'PARTNERSHIP', a.link_date FROM args a JOIN args b USING (event_id) WHERE a.role = 'supplier' AND b.role = 'supplier' AND a.entity_id <> b.entity_id)"""
 
 
 def _args(spark, sf):
-    li = t(spark, sf, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("event_id"), F.to_date("l_shipdate").alias("link_date"), "l_suppkey", (F.lit(100000) + F.col("l_partkey") % 50).alias("part"))
+    li = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.to_date("l_shipdate").alias("link_date"), "l_suppkey", (F.lit(100000) + F.col("l_partkey") % 50).alias("part"))
     return li.select("event_id", F.lit("supplier").alias("role"), F.col("l_suppkey").alias("entity_id"), "link_date").unionByName(li.select("event_id", F.lit("part").alias("role"), F.col("part").alias("entity_id"), "link_date"))
 
 
@@ -37,11 +37,11 @@ def _(spark, sf):
     return V.union_distinct_pairs(_edges(spark, sf))
 
 
-_PAIRS = "pairs AS (SELECT DISTINCT s_suppkey AS x, o_orderkey % 97 AS y, CAST(o_orderdate AS DATE) AS d FROM supplier JOIN orders ON o_orderkey % 97 = (s_suppkey + 1) % 97 WHERE o_orderkey < 4000)"
+_PAIRS = "pairs AS (SELECT DISTINCT s_suppkey AS x, o_orderkey % 97 AS y, CAST(o_orderdate AS DATE) AS d FROM supplier JOIN orders ON o_orderkey % 97 = (s_suppkey + 1) % 97)"
 
 
 def _pairs(spark, sf):
-    s, o = t(spark, sf, "supplier"), t(spark, sf, "orders").where("o_orderkey < 4000")
+    s, o = t(spark, sf, "supplier"), t(spark, sf, "orders")
     return s.join(o, F.col("o_orderkey") % 97 == (F.col("s_suppkey") + 1) % 97).select(F.col("s_suppkey").alias("x"), (F.col("o_orderkey") % 97).alias("y"), F.to_date("o_orderdate").alias("d")).distinct()
 
 
@@ -55,11 +55,11 @@ def _(spark, sf):
     return V.same_attribute_flag(_pairs(spark, sf), t(spark, sf, "supplier"), "s_nationkey", key="s_suppkey")
 
 
-_TREATED = "tre AS (SELECT l_suppkey AS entity_id, CAST(l_shipdate AS DATE) AS d, l_returnflag AS event_type FROM lineitem WHERE l_orderkey % 5 = 0)"
+_TREATED = "tre AS (SELECT l_suppkey AS entity_id, CAST(l_shipdate AS DATE) AS d, l_returnflag AS event_type FROM lineitem)"
 
 
 def _treated(spark, sf):
-    return t(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_suppkey").alias("entity_id"), F.to_date("l_shipdate").alias("d"), F.col("l_returnflag").alias("event_type"))
+    return t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("entity_id"), F.to_date("l_shipdate").alias("d"), F.col("l_returnflag").alias("event_type"))
 
 
 @query(
@@ -221,11 +221,11 @@ def _(spark, sf):
 
 @query(
     "member_news",
-    f"""WITH c AS (SELECT c_nationkey AS fund, c_custkey AS constituent, row_number() OVER (PARTITION BY c_nationkey ORDER BY abs(c_acctbal) DESC, c_custkey) AS rank FROM customer WHERE c_custkey < 150 QUALIFY rank <= 3),
+    f"""WITH c AS (SELECT c_nationkey AS fund, c_custkey AS constituent, row_number() OVER (PARTITION BY c_nationkey ORDER BY abs(c_acctbal) DESC, c_custkey) AS rank FROM customer QUALIFY rank <= 3),
     n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events QUALIFY nth <= 2) SELECT fund, constituent, CAST(rank AS INT) AS rank, event_id, CAST(nth AS INT) AS nth FROM c JOIN n ON user_id = constituent""",
 )
 def _(spark, sf):
-    c = t(spark, sf, "customer").where("c_custkey < 150").select(F.col("c_nationkey").alias("fund"), F.col("c_custkey").alias("constituent"), F.col("c_acctbal").alias("contribution"))
+    c = t(spark, sf, "customer").select(F.col("c_nationkey").alias("fund"), F.col("c_custkey").alias("constituent"), F.col("c_acctbal").alias("contribution"))
     return V.member_news(c, _threads(spark, sf).select("entity_id", "event_id", "ts"), 3, 2).select("fund", "constituent", "rank", "event_id", "nth")
 
 
@@ -271,13 +271,13 @@ def _(spark, sf):
 
 @query(
     "tolerance_match",
-    """WITH m AS (SELECT o_orderkey AS measure_id, o_custkey AS issuer, o_totalprice AS amount, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 20 = 0), f AS (SELECT o_orderkey AS fact_id, o_custkey AS issuer, o_totalprice * 1.05 AS a, CAST(o_orderdate AS DATE) + 3 AS fd FROM orders WHERE o_orderkey % 3 > 0),
+    """WITH m AS (SELECT o_orderkey AS measure_id, o_custkey AS issuer, o_totalprice AS amount, CAST(o_orderdate AS DATE) AS d FROM orders), f AS (SELECT o_orderkey AS fact_id, o_custkey AS issuer, o_totalprice * 1.05 AS a, CAST(o_orderdate AS DATE) + 3 AS fd FROM orders WHERE o_orderkey % 3 > 0),
     k AS (SELECT measure_id, count(DISTINCT fact_id) AS n, min(fact_id) AS f FROM m JOIN f USING (issuer) WHERE abs(amount - a) <= 0.08 * abs(a) AND abs(d - fd) <= 7 GROUP BY 1)
     SELECT measure_id, CASE WHEN n IS NULL THEN 'UNMATCHED' WHEN n = 1 THEN 'MATCHED' ELSE 'AMBIGUOUS' END AS status, CASE WHEN n = 1 THEN f END AS fact_id FROM m LEFT JOIN k USING (measure_id)""",
 )
 def _(spark, sf):
     o = t(spark, sf, "orders")
-    m = o.where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("measure_id"), F.col("o_custkey").alias("issuer"), F.col("o_totalprice").alias("amount"), F.to_date("o_orderdate").alias("d"))
+    m = o.select(F.col("o_orderkey").alias("measure_id"), F.col("o_custkey").alias("issuer"), F.col("o_totalprice").alias("amount"), F.to_date("o_orderdate").alias("d"))
     f = o.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("fact_id"), F.col("o_custkey").alias("issuer"), (F.col("o_totalprice") * 1.05).alias("amount"), F.date_add(F.to_date("o_orderdate"), 3).alias("d"))
     return V.tolerance_match(m, f, "issuer").select("measure_id", "status", "fact_id")
 
@@ -364,9 +364,9 @@ def _(spark, sf):
     return V.event_slot_menu(t(spark, sf, "events").withColumn("bucket", F.col("user_id") % 7), ["props", "bucket"], 5, 3)
 
 
-@query("title_duplicates", "SELECT lang, lower(trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g'))) AS norm_title, count(DISTINCT doc_id) AS n_ids, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1, 2 HAVING n_ids > 1")
+@query("title_duplicates", "SELECT lang, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm_title, count(DISTINCT doc_id) AS n_ids, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1, 2 HAVING n_ids > 1")
 def _(spark, sf):
-    return V.title_duplicates(t(spark, sf, "documents").withColumn("title", F.substring("text", 1, 40)), "lang", "title", "doc_id")
+    return V.title_duplicates(t(spark, sf, "documents").withColumn("title", F.col("text")), "lang", "title", "doc_id")
 
 
 _FUN = "tr AS (SELECT DISTINCT user_id, user_id % 2 AS lane FROM events WHERE event_type = 'view' AND CAST(ts AS DATE) = DATE '2024-01-10'), a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND CAST(ts AS DATE) = DATE '2024-01-11'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND CAST(ts AS DATE) <= DATE '2024-01-13')"

@@ -205,23 +205,23 @@ def _(spark, sf):
 
 @query(
     "window_coverage",
-    f"""WITH {BARS}, u AS (SELECT c_custkey AS symbol, c_acctbal + 1000 AS weight FROM customer WHERE c_custkey < 150),
+    f"""WITH {BARS}, u AS (SELECT c_custkey AS symbol, c_acctbal + 1000 AS weight FROM customer),
     n AS (SELECT u.symbol, weight, count(DISTINCT date_trunc('minute', ts)) AS n FROM u LEFT JOIN bars b ON b.symbol = u.symbol AND ts >= TIMESTAMP '2024-01-20 12:00:00' AND ts < TIMESTAMP '2024-01-20 12:02:00' GROUP BY 1, 2)
     SELECT count(*) * 2 AS expected, CAST(sum(n) AS BIGINT) AS observed, count(*) FILTER (n >= 2) AS complete_units, min(n / 2.0) AS min_coverage, round(coalesce(sum(weight) FILTER (n >= 2), 0) / sum(weight), 9) AS weight_coverage FROM n""",
 )
 def _(spark, sf):
-    u = t(spark, sf, "customer").where("c_custkey < 150").select(F.col("c_custkey").alias("symbol"), (F.col("c_acctbal") + 1000).alias("weight"))
+    u = t(spark, sf, "customer").select(F.col("c_custkey").alias("symbol"), (F.col("c_acctbal") + 1000).alias("weight"))
     return B.window_coverage(bars(spark, sf), u, dt.datetime(2024, 1, 20, 12, 0), dt.datetime(2024, 1, 20, 12, 2)).withColumn("weight_coverage", F.round("weight_coverage", 9))
 
 
 @query(
     "path_returns",
-    f"""WITH {BARS}, own AS (SELECT l_partkey % 5 AS unit, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS ts, min(l_extendedprice) AS open, max(l_extendedprice) AS close FROM lineitem WHERE l_partkey < 200 GROUP BY ALL),
+    f"""WITH {BARS}, own AS (SELECT l_partkey % 5 AS unit, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS ts, min(l_extendedprice) AS open, max(l_extendedprice) AS close FROM lineitem GROUP BY ALL),
     k AS (SELECT ts FROM own WHERE unit IN (0, 1, 2) GROUP BY 1 HAVING count(DISTINCT unit) = 3)
     SELECT unit, ts, round(ln(close / coalesce(lag(close) OVER (PARTITION BY unit ORDER BY ts), open)), 9) AS path_return FROM own WHERE unit IN (0, 1, 2) AND ts IN (SELECT ts FROM k)""",
 )
 def _(spark, sf):
-    own = t(spark, sf, "lineitem").where("l_partkey < 200").groupBy((F.col("l_partkey") % 5).alias("unit"), F.date_trunc("month", "l_shipdate").alias("ts")).agg(F.min("l_extendedprice").alias("open"), F.max("l_extendedprice").alias("close"))
+    own = t(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 5).alias("unit"), F.date_trunc("month", "l_shipdate").alias("ts")).agg(F.min("l_extendedprice").alias("open"), F.max("l_extendedprice").alias("close"))
     return B.path_returns(own, [0, 1, 2], key="unit").select("unit", "ts", F.round("path_return", 9).alias("path_return"))
 
 

@@ -57,11 +57,18 @@ def _(spark, sf):
 _STRAT = "lab AS (SELECT *, CASE WHEN symbol % 3 = 0 THEN 1 ELSE 0 END AS d FROM pan0 WHERE ar IS NOT NULL), st AS (SELECT event_type, trade_date FROM lab GROUP BY ALL HAVING sum(d) > 0 AND sum(d) < count(*))"
 
 
-@query("stratified_permutation", f"WITH {RETURNS}, {_E}, {_PAN}, {_STRAT} SELECT event_type, CAST(sum(d) AS BIGINT) AS n_treated, count(*) AS n, round(avg(ar) FILTER (d = 1) - avg(ar) FILTER (d = 0), 6) AS effect, true AS p_ok FROM lab JOIN st USING (event_type, trade_date) GROUP BY 1")
+@query(
+    "stratified_permutation",
+    f"""WITH {RETURNS}, {_E}, {_PAN}, {_STRAT}, r AS (SELECT event_type, trade_date, d, ar, concat_ws('|', symbol, trade_date) AS k, sum(d) OVER (PARTITION BY event_type, trade_date) AS m FROM lab JOIN st USING (event_type, trade_date)),
+    x AS (SELECT event_type, p, ar, row_number() OVER (PARTITION BY event_type, p, trade_date ORDER BY substr(md5(concat_ws('|', 7, (p - 1) // 4, k)), (p - 1) % 4 * 8 + 1, 8), k) <= m AS hi FROM r, range(1, 51) q(p)),
+    e AS (SELECT event_type, p, avg(ar) FILTER (hi) - avg(ar) FILTER (NOT hi) AS e FROM x GROUP BY 1, 2),
+    o AS (SELECT event_type, CAST(sum(d) AS BIGINT) AS n_treated, count(*) AS n, avg(ar) FILTER (d = 1) - avg(ar) FILTER (d = 0) AS effect FROM r GROUP BY 1)
+    SELECT event_type, any_value(n_treated) AS n_treated, any_value(n) AS n, round(any_value(effect), 6) AS effect, round((count(*) FILTER (abs(e) >= abs(effect) - 1e-12) + 1) / 51, 9) AS p_value FROM o JOIN e USING (event_type) GROUP BY 1""",
+)
 def _(spark, sf):
     p = _typed(spark, sf).withColumn("d", (F.col("symbol") % 3 == 0).cast("int"))
     out = S.stratified_permutation(p, "d", "ar", "trade_date", ["symbol", "trade_date"], perms=50)
-    return _r(out, "effect").select("event_type", "n_treated", "n", "effect", F.col("p_value").between(1 / 51, 1).alias("p_ok"))
+    return _r(_r(out, "effect"), "p_value", n=9).select("event_type", "n_treated", "n", "effect", "p_value")
 
 
 @query("edge_verdict", "WITH x AS (SELECT event_type, count(*) AS n, CASE WHEN count(*) % 3 > 0 THEN (count(*) % 7) / 50.0 END AS p FROM events GROUP BY 1), m AS (SELECT greatest(count(*) FILTER (n >= 100 AND p IS NOT NULL), 1) AS m FROM x) SELECT event_type, n, CASE WHEN n < 100 OR p IS NULL THEN 'UNMEASURABLE' WHEN p <= 0.05 / m THEN 'HOLDS' ELSE 'FAILS' END AS verdict FROM x, m")
@@ -86,10 +93,17 @@ def _(spark, sf):
     return _r(S.condition_today(r.where(F.col("trade_date") < F.lit(DAY)), r.where(F.col("trade_date") == F.lit(DAY)), ["close"]), "pct")
 
 
-@query("matched_att", f"WITH {MATCH} SELECT sector, round(avg(t_r - c_r), 6) AS att, count(*) AS n_pairs, true AS p_ok FROM matched WHERE t_r IS NOT NULL AND c_r IS NOT NULL GROUP BY 1")
+def flips(pairs: str, by: str, perms: int) -> str:
+    """SQL: att, n_pairs and p_value of sign_flip() for pairs (by, diff, k), as table flipped."""
+    return f"""fe AS (SELECT {by}, p, avg(CASE WHEN substr(md5(concat_ws('|', 7, (p - 1) // 32, k)), (p - 1) % 32 + 1, 1) < '8' THEN diff ELSE -diff END) AS e FROM {pairs}, range(1, {perms + 1}) q(p) WHERE diff IS NOT NULL GROUP BY ALL),
+    fa AS (SELECT {by}, avg(diff) AS att, count(*) AS n_pairs FROM {pairs} WHERE diff IS NOT NULL GROUP BY ALL),
+    flipped AS (SELECT {by}, round(any_value(att), 6) AS att, any_value(n_pairs) AS n_pairs, round((count(*) FILTER (abs(e) >= abs(att) - 1e-12) + 1) / {perms + 1}, 9) AS p_value FROM fa JOIN fe USING ({by}) GROUP BY ALL)"""
+
+
+@query("matched_att", f"WITH {MATCH}, pr AS (SELECT sector, t_r - c_r AS diff, concat_ws('|', t_symbol, c_symbol, trade_date) AS k FROM matched), {flips('pr', 'sector', 50)} SELECT sector, att, n_pairs, p_value FROM flipped")
 def _(spark, sf):
     out = S.matched_att(matched(spark, sf), ["ln_size", "close"], ["t_symbol", "c_symbol", "trade_date"], perms=50)
-    return _r(out, "att").select("sector", "att", "n_pairs", F.col("p_value").between(1 / 51, 1).alias("p_ok"))
+    return _r(_r(out, "att"), "p_value", n=9).select("sector", "att", "n_pairs", "p_value")
 
 
 _D0 = "x AS (SELECT r.trade_date, market_mean AS r, ln(sum(volume)) AS ln_vol, avg(close) AS trend FROM returns r JOIN market USING (trade_date) WHERE market_mean IS NOT NULL GROUP BY 1, 2), hit AS (SELECT CAST(ts AS DATE) AS d FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) % 3 = 0)"
@@ -150,9 +164,9 @@ def _(spark, sf):
     return S.identification_route(o).select("o_orderkey", "route")
 
 
-@query("return_correlation", f"WITH {RETURNS}, o AS (SELECT symbol, trade_date, r FROM returns WHERE r IS NOT NULL AND symbol < 60) SELECT a.symbol AS a, b.symbol AS b, round(corr(a.r, b.r), 4) AS rho, count(*) AS n FROM o a JOIN o b USING (trade_date) WHERE a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 20")
+@query("return_correlation", f"WITH {RETURNS}, o AS (SELECT symbol, trade_date, r FROM returns WHERE r IS NOT NULL) SELECT a.symbol AS a, b.symbol AS b, round(corr(a.r, b.r), 4) AS rho, count(*) AS n FROM o a JOIN o b USING (trade_date) WHERE a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 20")
 def _(spark, sf):
-    return _r(S.return_correlation(P.daily_returns(prices(spark, sf)).where("symbol < 60"), 20), "rho", n=4)
+    return _r(S.return_correlation(P.daily_returns(prices(spark, sf)), 20), "rho", n=4)
 
 
 @query(
@@ -195,24 +209,47 @@ def _(spark, sf):
     return _r(S.spike_alignment(_loo(spark, sf).select("symbol", "trade_date", F.round("idio", 9).alias("idio")).where("idio IS NOT NULL"), k), "spike_extreme", "spike_ordinary")
 
 
-@query("bootstrap_diff", f"WITH {RETURNS}, d AS (SELECT trade_date, avg(r) FILTER (symbol % 2 = 0) - avg(r) FILTER (symbol % 2 = 1) AS d FROM returns GROUP BY 1) SELECT round(avg(d), 6) AS diff, count(d) AS n, true AS p_ok FROM d")
+_POISSON = " + ".join(f"CASE WHEN u >= {x!r} THEN 1 ELSE 0 END" for x in S.POISSON)
+
+
+@query(
+    "bootstrap_diff",
+    f"""WITH {RETURNS}, d AS (SELECT trade_date, avg(r) FILTER (symbol % 2 = 0) - avg(r) FILTER (symbol % 2 = 1) AS d FROM returns GROUP BY 1), o AS (SELECT avg(d) AS diff, count(d) AS n FROM d),
+    b AS (SELECT p, d, ('0x' || substr(md5(concat_ws('|', 7, (p - 1) // 4, trade_date)), (p - 1) % 4 * 8 + 1, 8))::BIGINT / 4294967296.0 AS u FROM d, range(1, 201) q(p) WHERE d IS NOT NULL),
+    m AS (SELECT p, sum(w * d) / nullif(sum(w), 0) AS m FROM (SELECT p, d, {_POISSON} AS w FROM b) GROUP BY 1)
+    SELECT round(any_value(diff), 6) AS diff, any_value(n) AS n, round(least(1.0, 2 * (least(count(*) FILTER (m <= 0), count(*) FILTER (m >= 0)) + 1) / 201), 9) AS p_value FROM m, o""",
+)
 def _(spark, sf):
     d = returns(spark, sf).groupBy("trade_date").agg(F.avg(F.when(F.col("symbol") % 2 == 0, F.col("r"))).alias("a"), F.avg(F.when(F.col("symbol") % 2 == 1, F.col("r"))).alias("b"))
-    return _r(S.bootstrap_diff(d, "a", "b", 200), "diff").select("diff", "n", F.col("p_value").between(0, 1).alias("p_ok"))
+    return _r(_r(S.bootstrap_diff(d, "a", "b", 200), "diff"), "p_value", n=9)
 
 
-@query("rank_with_ties")
+@query(
+    "rank_with_ties",
+    """WITH RECURSIVE g AS (SELECT event_type AS name, avg(value) AS mean, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY mean DESC, name) AS k FROM g),
+    w AS (SELECT k, name, 1 AS rank, low AS head FROM o WHERE k = 1 UNION ALL SELECT o.k, o.name, CAST(CASE WHEN o.high >= w.head THEN w.rank ELSE o.k END AS INT), CASE WHEN o.high >= w.head THEN w.head ELSE o.low END FROM w JOIN o ON o.k = w.k + 1)
+    SELECT name, rank, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM w JOIN o USING (k, name)""",
+)
 def _(spark, sf):
-    return S.rank_with_ties(t(spark, sf, "events").select(F.col("event_type").alias("name"), "value")).select("name", "rank", F.round("mean", 6).alias("mean"), "low", "high")
+    return S.rank_with_ties(t(spark, sf, "events").select(F.col("event_type").alias("name"), "value")).select("name", "rank", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
-@query("multi_att")
+@query(
+    "multi_att",
+    f"""WITH {MATCH}, z AS (SELECT t_r - c_r AS y, CASE WHEN t_symbol % 2 = 0 THEN 1 ELSE 0 END AS a, CASE WHEN tr.close < 50 THEN 1 ELSE 0 END AS b FROM matched m JOIN tr ON tr.symbol = t_symbol AND tr.trade_date = m.trade_date),
+    s AS (SELECT count(*) AS n, sum(a) AS aa, sum(b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS by_ FROM z WHERE y IS NOT NULL)
+    SELECT 'even' AS flag, round((bb * ay - ab * by_) / (aa * bb - ab * ab), 6) AS att, n FROM s UNION ALL SELECT 'low', round((aa * by_ - ab * ay) / (aa * bb - ab * ab), 6), n FROM s""",
+)
 def _(spark, sf):
     m = matched(spark, sf).withColumn("diff", F.col("t_r") - F.col("c_r")).withColumn("even", (F.col("t_symbol") % 2 == 0).cast("int")).withColumn("low", (F.col("t_close") < 50).cast("int"))
     return S.multi_att(m, ["even", "low"], "diff").withColumn("att", F.round("att", 6))
 
 
-@query("moderator_panel")
+@query(
+    "moderator_panel",
+    f"""WITH {MATCH}, v AS (SELECT t_symbol, c_symbol, m.trade_date, tr.close AS t_close, tr.ln_size AS t_ln_size FROM matched m JOIN tr ON tr.symbol = t_symbol AND tr.trade_date = m.trade_date)
+    SELECT t_symbol, c_symbol, trade_date, t_close, t_ln_size, round((rank() OVER (ORDER BY t_close) - 1) / (count(*) OVER () - 1), 6) AS t_close_pct, round((rank() OVER (ORDER BY t_ln_size) - 1) / (count(*) OVER () - 1), 6) AS t_ln_size_pct FROM v""",
+)
 def _(spark, sf):
     m = matched(spark, sf).select("t_symbol", "c_symbol", "trade_date", "t_close", "t_ln_size").withColumn("rare", F.when(F.col("t_symbol") % 3 == 0, 1.0))
     return S.moderator_panel(m, ["t_close", "t_ln_size", "rare"])[0].withColumns({c: F.round(c, 6) for c in ("t_close_pct", "t_ln_size_pct")}).drop("rare")
@@ -235,7 +272,7 @@ def _(spark, sf):
 
 @query("correlation_clusters")
 def _(spark, sf):
-    v = t(spark, sf, "embeddings").where("vec_id < 200").select(F.col("vec_id").alias("symbol"), F.posexplode("embedding").alias("trade_date", "r"))
+    v = t(spark, sf, "embeddings").select(F.col("vec_id").alias("symbol"), F.posexplode("embedding").alias("trade_date", "r"))
     return S.correlation_clusters(S.return_correlation(v, 10), 4, 3)
 
 

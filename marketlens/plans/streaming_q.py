@@ -30,7 +30,7 @@ def _bars(spark, sf):
 
 @query("stream_bars", f"WITH {BARS} SELECT symbol, ts, close FROM bars")
 def _(spark, sf):
-    path = _folder(spark, _bars(spark, sf).unionByName(_bars(spark, sf).where("symbol % 10 = 0")).coalesce(1))
+    path = _folder(spark, _bars(spark, sf).unionByName(_bars(spark, sf).where("symbol % 10 = 0")))
     M.run_available(M.stream_bars(spark, f"{path}/in", _SCHEMA, "60 days"), path)
     return spark.read.schema(_SCHEMA).parquet(f"{path}/data").select("symbol", "ts", "close")
 
@@ -40,7 +40,7 @@ _TUMBLE = "SELECT symbol, time_bucket(INTERVAL 60 MINUTE, ts) AS ts, arg_min(ope
 
 @query("stream_tumbling_ohlcv", f"WITH {BARS}, w AS ({_TUMBLE} GROUP BY symbol, time_bucket(INTERVAL 60 MINUTE, ts)) SELECT * FROM w WHERE available_at <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def _(spark, sf):
-    path = _folder(spark, _bars(spark, sf).coalesce(1))
+    path = _folder(spark, _bars(spark, sf))
     stream = spark.readStream.schema(_SCHEMA).parquet(f"{path}/in")
     M.run_available(M.stream_tumbling_ohlcv(stream, 60, "10 minutes"), path)
     return spark.read.parquet(f"{path}/data")
@@ -53,14 +53,14 @@ def _(spark, sf):
 
 @query(
     "classify_units",
-    "WITH b AS (SELECT user_id AS symbol, date_trunc('day', ts) AS ts, max(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1, 2), w AS (SELECT DISTINCT ts FROM b), u AS (SELECT DISTINCT user_id AS symbol FROM events WHERE user_id < 50) SELECT w.ts, u.symbol, CASE WHEN v IS NULL THEN 'missing' WHEN u.symbol % 7 = 0 THEN 'invalid' WHEN u.symbol % 5 = 0 THEN 'no_trade' ELSE 'received' END AS status FROM w CROSS JOIN u LEFT JOIN b ON b.ts = w.ts AND b.symbol = u.symbol",
+    "WITH b AS (SELECT user_id AS symbol, date_trunc('day', ts) AS ts, max(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1, 2), w AS (SELECT DISTINCT ts FROM b), u AS (SELECT DISTINCT user_id AS symbol FROM events) SELECT w.ts, u.symbol, CASE WHEN v IS NULL THEN 'missing' WHEN u.symbol % 7 = 0 THEN 'invalid' WHEN u.symbol % 5 = 0 THEN 'no_trade' ELSE 'received' END AS status FROM w CROSS JOIN u LEFT JOIN b ON b.ts = w.ts AND b.symbol = u.symbol",
 )
 def _(spark, sf):
     e = t(spark, sf, "events")
     b = e.where("event_type = 'view'").groupBy(F.col("user_id").alias("symbol"), F.date_trunc("day", "ts").alias("ts")).agg(F.max("value").alias("v"))
     k, v = F.col("symbol"), F.col("v")
     b = b.select("symbol", "ts", v.alias("open"), F.when(k % 7 == 0, v - 1).otherwise(v).alias("high"), F.when(k % 7 == 0, v - 1).otherwise(v).alias("low"), v.alias("close"), F.when(k % 5 == 0, 0).otherwise(3).alias("volume"))
-    return M.classify_units(b, e.where("user_id < 50").select(F.col("user_id").alias("symbol")), b)
+    return M.classify_units(b, e.select(F.col("user_id").alias("symbol")), b)
 
 
 def _sessions(spark, sf):
@@ -75,7 +75,7 @@ def _(spark, sf):
 
 
 _TRIGGER = f"""WITH RECURSIVE {BARS}, p AS (SELECT symbol, arg_max(close, ts) AS base FROM bars WHERE trade_date < DATE '{DAY}' GROUP BY 1),
-o AS (SELECT symbol, trade_date AS session, ts, close, base, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY ts) AS n FROM bars JOIN p USING (symbol) WHERE trade_date >= DATE '{DAY}'),
+o AS (SELECT symbol, trade_date AS session, ts, close, base, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY ts) AS n FROM bars JOIN p USING (symbol) WHERE trade_date >= DATE '{DAY}' AND close > 0 AND base > 0),
 s AS (SELECT symbol, session, CAST(0 AS BIGINT) AS n, base, base AS anchor, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS DOUBLE) AS close, CAST(NULL AS VARCHAR) AS event FROM o WHERE n = 1
 UNION ALL SELECT o.symbol, o.session, o.n, o.base, CASE WHEN abs(o.close / o.base - 1) <= 0.01 THEN o.base WHEN abs(o.close / s.anchor - 1) >= 0.03 THEN o.close ELSE s.anchor END, o.ts, o.close,
     CASE WHEN abs(o.close / o.base - 1) <= 0.01 THEN CASE WHEN s.anchor <> o.base THEN 'REVERT' END WHEN abs(o.close / s.anchor - 1) >= 0.03 THEN 'FIRE' END
@@ -123,10 +123,10 @@ def _(spark, sf):
 
 @query(
     "overlap_poll_dedup",
-    "WITH p AS (SELECT o_orderkey // 100 AS page, o_orderkey % 70 AS item_id, o_orderpriority AS hash FROM orders WHERE o_orderkey < 2000), s AS (SELECT min(page) AS stop FROM p WHERE item_id = 13 AND page > 0) SELECT item_id, min(page) AS first_page, min(hash) AS hash, false AS truncated, CASE WHEN count(DISTINCT hash) > 1 THEN 'CONFLICT' ELSE 'OK' END AS state FROM p, (SELECT min(page) AS stop FROM p WHERE item_id = 13) WHERE page <= stop GROUP BY 1",
+    "WITH p AS (SELECT o_orderkey // 100 AS page, o_orderkey % 70 AS item_id, o_orderpriority AS hash FROM orders), s AS (SELECT min(page) AS stop FROM p WHERE item_id = 13 AND page > 0) SELECT item_id, min(page) AS first_page, min(hash) AS hash, false AS truncated, CASE WHEN count(DISTINCT hash) > 1 THEN 'CONFLICT' ELSE 'OK' END AS state FROM p, (SELECT min(page) AS stop FROM p WHERE item_id = 13) WHERE page <= stop GROUP BY 1",
 )
 def _(spark, sf):
-    p = t(spark, sf, "orders").where("o_orderkey < 2000").select(F.floor(F.col("o_orderkey") / 100).alias("page"), (F.col("o_orderkey") % 70).alias("item_id"), F.col("o_orderpriority").alias("hash"))
+    p = t(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 100).alias("page"), (F.col("o_orderkey") % 70).alias("item_id"), F.col("o_orderpriority").alias("hash"))
     return M.overlap_poll_dedup(p, p.where("item_id = 13").select("item_id").distinct())
 
 

@@ -41,10 +41,10 @@ def _(spark, sf):
     return N.membership_loss(h.where("as_of_date = DATE '1996-01-01'"), h.where("as_of_date = DATE '1997-01-01'"), ["fund", "constituent"])
 
 
-@query("newcomers", f"WITH {PRICES}, u AS (SELECT c_custkey AS symbol FROM customer WHERE c_custkey < 200), l AS (SELECT DISTINCT symbol FROM prices WHERE trade_date = DATE '{DAY}'), d AS (SELECT symbol, count(DISTINCT trade_date) AS n FROM prices GROUP BY 1) SELECT u.symbol, CASE WHEN l.symbol IS NULL THEN 'NEW' ELSE 'SHALLOW' END AS state FROM u LEFT JOIN l USING (symbol) LEFT JOIN d USING (symbol) WHERE l.symbol IS NULL OR n < 27")
+@query("newcomers", f"WITH {PRICES}, u AS (SELECT c_custkey AS symbol FROM customer), l AS (SELECT DISTINCT symbol FROM prices WHERE trade_date = DATE '{DAY}'), d AS (SELECT symbol, count(DISTINCT trade_date) AS n FROM prices GROUP BY 1) SELECT u.symbol, CASE WHEN l.symbol IS NULL THEN 'NEW' ELSE 'SHALLOW' END AS state FROM u LEFT JOIN l USING (symbol) LEFT JOIN d USING (symbol) WHERE l.symbol IS NULL OR n < 27")
 def _(spark, sf):
     p = prices(spark, sf)
-    u = t(spark, sf, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("symbol"))
+    u = t(spark, sf, "customer").select(F.col("c_custkey").alias("symbol"))
     return N.newcomers(u, p.where(F.col("trade_date") == F.lit(DAY)), p, 27)
 
 

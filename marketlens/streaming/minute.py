@@ -53,8 +53,9 @@ REVERT, FIRE = 0.01, 0.03
 
 def price_trigger(bars: DataFrame, baselines: DataFrame, revert: float = REVERT, fire: float = FIRE, key: Sequence[str] = ("session", "symbol"), ts: str = "ts") -> DataFrame:
     """Batch: each unit's windows in order. Within `revert` of the base after a move: REVERT, and the anchor is the base
-    again. Else `fire` or more away from the anchor: FIRE, and the anchor moves there. A session has a bounded number of windows."""
-    rows = bars.join(baselines, list(key)).where(F.col("base") > 0).groupBy(*key, "base").agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col("close").alias("c")))).alias("l"))
+    again. Else `fire` or more away from the anchor: FIRE, and the anchor moves there. Bars without a positive close or base
+    are no prices: they are passed over. A session has a bounded number of windows."""
+    rows = bars.where(F.col("close") > 0).join(baselines.where(F.col("base") > 0), list(key)).groupBy(*key, "base").agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col("close").alias("c")))).alias("l"))
     kind = dict(bars.dtypes)[ts]
     fold = f"""aggregate(l, named_struct('anchor', base, 'out', cast(array() AS array<struct<t: {kind}, close: double, event: string, anchor: double>>)),
         (a, x) -> IF(abs(x.c / base - 1) <= {revert}D,
@@ -64,7 +65,7 @@ def price_trigger(bars: DataFrame, baselines: DataFrame, revert: float = REVERT,
 
 
 def stream_price_trigger(bars: DataFrame, revert: float = REVERT, fire: float = FIRE, key: Sequence[str] = ("session", "symbol"), ts: str = "ts") -> DataFrame:
-    """The same on a stream of bars with their base (column base). State is the anchor and its window; windows no later than the last one seen never fire."""
+    """The same on a stream of bars with their base (column base). State is the anchor and its window; windows no later than the last one seen never fire, nor do those without a positive close or base."""
     kinds = dict(bars.dtypes)
     out = ", ".join([*(f"{k} {kinds[k]}" for k in key), f"{ts} {kinds[ts]}", "close double", "event string", "anchor double"])
 
@@ -73,7 +74,7 @@ def stream_price_trigger(bars: DataFrame, revert: float = REVERT, fire: float =
         found = []
         rows = pd.concat(list(frames)).sort_values(ts)
         for t, close, base in zip(rows[ts], rows["close"], rows["base"], strict=True):
-            if (seen is not None and t.value <= seen) or not base > 0:
+            if (seen is not None and t.value <= seen) or not (base > 0 and close > 0):
                 continue
             seen = t.value
             anchor = base if anchor is None else anchor

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions import scalar
-from marketlens.operators import bars, events, funds, panel, pit, quality, reporting, reshape, stats
+from marketlens.operators import bars, events, explain, funds, panel, pit, quality, reporting, reshape, stats
 from marketlens.sources import scan, sink
 from marketlens.streaming import minute
 
@@ -170,3 +170,70 @@ def test_empty_tables(spark):
     assert panel.abnormal_returns(e, 1).count() == 0
     assert reporting.traffic_summary(e.withColumnRenamed("trade_date", "ts"), dt.datetime(2024, 1, 1), error=F.lit(True)).first()[0:2] == (0, 0)
     assert events.title_duplicates(spark.createDataFrame([], "d string, t string, k int"), "d", "t", "k").count() == 0
+
+
+def test_lasso_moderation_finds_the_planted_moderator(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows = []
+    for k in range(400):
+        a, b, c = r.random(3)
+        d = float(r.random() > 0.5)
+        rows.append((k, k % 10, d, float(a), float(b), float(c), float(a) + 1e-4 * float(r.random()), 0.01 + 0.03 * d + 0.05 * float(a) + float(r.normal(0, 0.004))))
+    df = spark.createDataFrame(rows, "k int, day int, d double, real double, n1 double, n2 double, twin double, y double")
+    out = {x.name: x for x in explain.lasso_moderation(df, ["real", "n1", "n2", "twin"], "y", "day", ["k"], free=["d"], perms=40, subsamples=40).collect()}
+    assert [n for n, x in out.items() if x.selected] == ["real"]
+    assert abs(out["real"].coefficient - 0.05) < 0.005 and out["real"].p_value < 0.05 and out["real"].rank == 1
+    assert out["twin"].reason == "collinear with real" and out["twin"].p_value is None
+    noise = df.withColumn("y", 0.01 + 0.0001 * (F.xxhash64("k") % 100))
+    assert not any(x.selected for x in explain.lasso_moderation(noise, ["real", "n1", "n2"], "y", "day", ["k"], perms=40, subsamples=40).collect())
+    none = explain.lasso_moderation(df.limit(0), ["real"], "y", "day", ["k"]).collect()
+    assert [x.reason for x in none] == ["too few pairs"]
+
+
+def test_descent_is_the_lasso(spark):
+    """Coefficients from moments against a plain search over the objective, and least squares without a penalty."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x, e = r.random((80, 3)), r.normal(0, 0.1, 80)
+    y = x @ np.array([1.0, 0.0, -0.5]) + e
+    xc, yc = x - x.mean(0), y - y.mean()
+    free = np.zeros(3, bool)
+    assert np.allclose(explain._descend(xc.T @ xc, xc.T @ yc, 80, 0.0, free), np.linalg.lstsq(xc, yc, rcond=None)[0], atol=1e-6)
+    loss = lambda d: 0.5 * ((yc - xc @ d) ** 2).sum() + 0.02 * 80 * np.abs(d).sum()
+    d = explain._descend(xc.T @ xc, xc.T @ yc, 80, 0.02, free)
+    assert all(loss(d) <= loss(d + step) + 1e-9 for step in r.normal(0, 0.01, (500, 3)))
+
+
+def test_placebo_gates_the_trial(spark):
+    rows = [(e, k, f, 0.1 if (e == "bad" or not f) else (-1) ** k * 0.1) for e in ("good", "bad") for f in (True, False) for k in range(20)]
+    df = spark.createDataFrame([(e, k + 100 * f, f, y, 0.0, 1.0, 1.0) for e, k, f, y in rows], "event_type string, k int, is_placebo boolean, t_r double, c_r double, t_s double, c_s double")
+    out = {x.event_type: x for x in explain.placebo_trial(df, ["s"], ["k"], perms=200).collect()}
+    assert (out["good"].placebo_state, out["bad"].placebo_state) == ("PASSED", "FAILED")
+    assert abs(out["good"].att - 0.1) < 1e-9 and out["bad"].att is None and out["bad"].p_value is None
+    alone = explain.placebo_trial(df.where("NOT is_placebo"), ["s"], ["k"], perms=50).collect()
+    assert {x.placebo_state for x in alone} == {"UNMEASURED"} and all(x.att for x in alone)
+
+
+def test_triggers_pass_over_bars_without_a_price(spark):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 2, 9, m)
+    rows = [("d", 1, at(0), 100.0), ("d", 1, at(1), 0.0), ("d", 1, at(2), 104.0), ("d", 1, at(3), -1.0), ("d", 1, at(4), 100.0), ("d", 2, at(0), 0.0)]
+    bars = spark.createDataFrame(rows, "session string, symbol int, ts timestamp, close double")
+    base = spark.createDataFrame([("d", 1, 100.0), ("d", 2, 0.0)], "session string, symbol int, base double")
+    got = [(x.ts, x.event, x.anchor) for x in minute.price_trigger(bars, base).orderBy("ts").collect()]
+    assert got == [(at(2), "FIRE", 104.0), (at(4), "REVERT", 100.0)]
+
+
+def test_running_sums_meet_across_ranges(spark):
+    df = spark.createDataFrame([(float((k * 37) % 1000), 1 + k % 3) for k in range(1000)], "v double, n int")
+    got = [x.b for x in stats.running(df, "v", "n", "b").orderBy("v").collect()]
+    want, total = [], 0
+    for v, n in sorted((x.v, x.n) for x in df.collect()):
+        total += n
+        want.append(float(total))
+    assert got == want
+    assert stats.running(df.limit(0), "v", "n", "b").count() == 0
