@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import blocks, written
 
-HEAD = 1_000_000
+HEAD = 500_000
 #: Units of more code points go by a digest, never in the head; their substrings are taken from windows of so many.
 SHORT = 64
 #: Units that a task keeps count of, and those that it hands on.
-TASK_UNITS, TASK_HEAD = 600_000, 150_000
+TASK_UNITS, TASK_HEAD = 300_000, 150_000
 #: Text that is cut into units at once.
-CUT_BYTES = 8 << 20
+CUT_BYTES = 4 << 20
 #: The score of a character without a piece: below that of any path over the model's ordinary pieces.
 NO_PIECE = -1e8
 
@@ -111,6 +111,11 @@ class Pieces:
         return spark.createDataFrame(self.rows, "surface string, id int, score double")
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for units, whose lattices are much larger than they are: not to be joined for their small size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def lattice(found: DataFrame, pieces: Pieces) -> DataFrame:
     """name, ids (array of int) for the distinct names of found (name, long): the unit is long, or the name itself if that is null."""
     longest = max((len(s) for s, *_ in pieces.rows), default=1)
@@ -158,6 +163,7 @@ def frequent(docs: DataFrame, head: int, cut: Cut = _RUNS) -> DataFrame:
                 held = pa.concat_tables([held, more.filter(pc.and_(pc.greater(length, 0), pc.less_equal(length, SHORT)))]).group_by("unit").aggregate([("n", "sum")]).rename_columns(["unit", "n"])
                 held = top(TASK_HEAD) if len(held) > TASK_UNITS else held
         yield from top(TASK_HEAD).to_batches()
+        pa.default_memory_pool().release_unused()  # the worker stays, idle
 
     counted = written(docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
     # The least count of which there are at most head units: from the numbers of units by count, in powers of 1.1.
@@ -206,7 +212,7 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     cut = pieces.cut
-    top = lattice(frequent(docs, head, cut).select(F.col("unit").alias("name"), F.lit(None).cast("string").alias("long")), pieces).toArrow().combine_chunks()
+    top = lattice(frequent(docs, head, cut).select(F.col("unit").alias("name"), F.lit(None).cast("string").alias("long")).repartition(_tasks(docs), "name"), pieces).toArrow().combine_chunks()
     # The empty string, which stands for nothing, is known as well.
     names = pa.concat_arrays([pa.array([""]), *top.column("name").cast(pa.string()).chunks])
     found = pa.concat_arrays([pa.array([[]], pa.list_(pa.int32())), *(_plain(x) for x in top.column("ids").chunks)])
@@ -223,9 +229,10 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
                     digests = [None if x is None else "\n" + hashlib.blake2b(x.encode(), digest_size=16).hexdigest() for x in long.to_pylist()]
                     name = pc.coalesce(pa.array(digests, pa.string()), name)
                 yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(own.rows)), pa.array(own.numbers, pa.int32()), name, long], names=["key", "k", "name", "long"])
+        pa.default_memory_pool().release_unused()
 
     # Both sides of the join come from one exchange by name.
-    rest = docs.select("text", "key").mapInArrow(others, "key long, k int, name string, long string").repartition("name")
+    rest = docs.select("text", "key").mapInArrow(others, "key long, k int, name string, long string").repartition(_tasks(docs), "name")
     paths = lattice(rest.groupBy("name").agg(F.max("long").alias("long"), F.min("key"), F.min("k")).select("name", "long"), pieces)
     told = rest.join(paths, "name").groupBy("key").agg(F.collect_set(F.struct("k", "ids")).alias("rest"))
 
@@ -243,7 +250,7 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
         open_ = zstandard.ZstdDecompressor().decompress
         units_known, ids_known, surfaces = known.value
         for batch in batches:
-            for part in blocks(batch, 1, CUT_BYTES // 4):
+            for part in blocks(batch, 1, CUT_BYTES // 2):
                 texts = pa.array([None if x is None else open_(x).decode() for x in part.column(1).to_pylist()], pa.string())
                 own = _Split(texts, cut, units_known)
                 counts = pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy()
@@ -259,6 +266,7 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
                 flat = table.take(pa.array(places)).flatten()
                 out = [part.column(0), texts, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(np.diff(ends))]
                 yield pa.RecordBatch.from_arrays([*out, *([_joined(flat, ends, surfaces)] if decode else [])], names=columns)
+        pa.default_memory_pool().release_unused()
 
     return held.mapInArrow(run, "doc_id long, text string, ids array<int>, n_tokens long" + ", decoded string" * decode)
 
