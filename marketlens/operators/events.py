@@ -67,7 +67,8 @@ def link_indicator(pairs: DataFrame, edges: DataFrame, link_type: str, x: str =
 def spillover_treated(events: DataFrame, edges: DataFrame, event_type: str, link_type: str, entity: str = "entity_id", day: str = "d", at: str = "link_date") -> DataFrame:
     """(entity, day) of those linked, by that day, to one treated on it, and not treated themselves."""
     hit = events.where(F.col("event_type") == event_type).select(entity, day).distinct()
-    both = union_distinct_pairs(edges.where(F.col("link_type") == link_type))
+    # The first date of each pair decides, so a pair linked many times meets its events once.
+    both = union_distinct_pairs(edges.where(F.col("link_type") == link_type)).groupBy("src", "dst").agg(F.min(at).alias(at))
     near = hit.join(both, hit[entity] == both["src"]).where(F.col(at) <= F.col(day)).select(F.col("dst").alias(entity), day).distinct()
     return near.join(hit, [entity, day], "left_anti")
 

@@ -134,6 +134,6 @@ def loo_layers(returns: DataFrame, labels: DataFrame, value: str = "r", key: str
     m = j.groupBy(day).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
     c = j.groupBy(day, label).agg(F.sum(value).alias("_cs"), F.count("*").alias("_cn"))
     x = F.col(value)
-    out = j.join(m, day).join(c, [day, label]).withColumn("market", (F.col("_s") - x) / F.nullif(F.col("_n") - 1, F.lit(0)))
+    out = j.join(F.broadcast(m), day).join(c, [day, label]).withColumn("market", (F.col("_s") - x) / F.nullif(F.col("_n") - 1, F.lit(0)))
     out = out.withColumn("cluster", (F.col("_cs") - x) / F.nullif(F.col("_cn") - 1, F.lit(0)) - F.col("market"))
     return out.withColumn("idio", x - F.col("market") - F.col("cluster")).drop("_s", "_n", "_cs", "_cn")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from .events import join_date_broadcast
+
 
 def _by(key: str, order: str) -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
@@ -41,14 +43,16 @@ def cross_section_mean(returns: DataFrame, date_col: str = "trade_date", value:
     return returns.groupBy(date_col).agg(F.avg(value).alias("market_mean"), F.count(value).alias("n")).where(F.col("n") >= min_n)
 
 
-def abnormal_returns(returns: DataFrame, min_n: int = 50, date_col: str = "trade_date") -> DataFrame:
-    """returns with ar and alr: r and lr less their date's mean; null on dates of fewer than min_n names.
+def abnormal_returns(returns: DataFrame, min_n: int = 50, date_col: str = "trade_date", mean_as: str | None = None) -> DataFrame:
+    """returns with ar and alr: r and lr less their date's mean; null on dates of fewer than min_n names. mean_as: a column for r's mean.
 
-    Means are a row per date, far fewer than rows: aggregated first, then joined, so no date's rows meet in one task.
+    Means are a row per date, tens of thousands at most whatever the panel: aggregated first, then broadcast.
     """
     mean = returns.groupBy(date_col).agg(F.avg("r").alias("_m"), F.avg("lr").alias("_lm"), F.count("r").alias("_n"))
-    out = returns.join(mean, date_col, "left")
+    out = returns.join(F.broadcast(mean), date_col, "left")
     ok = F.col("_n") >= min_n
+    if mean_as:
+        out = out.withColumn(mean_as, F.when(ok, F.col("_m")))
     return out.withColumn("ar", F.when(ok, F.col("r") - F.col("_m"))).withColumn("alr", F.when(ok, F.col("lr") - F.col("_lm"))).drop("_m", "_lm", "_n")
 
 
@@ -162,12 +166,12 @@ def feature_panel(prices: DataFrame, sectors: DataFrame, macro: DataFrame, min_n
     """The point-in-time panel: outcomes in three layers (r, ar, ind_ar) and exposures known the day before.
 
     prices: symbol, trade_date, close, volume; sectors: symbol, sector; macro: trade_date, macro (a row a date). Each row's
-    exposures look at the rows before it only. One shuffle by symbol serves all rolling columns.
+    exposures look at the rows before it only. Means by date are broadcast, so the rows shuffle by symbol, and once by
+    (date, sector) if adaptive execution doesn't broadcast those means too.
     """
-    out = abnormal_returns(daily_returns(prices), min_n)
+    out = abnormal_returns(daily_returns(prices), min_n, mean_as="market_r")
     out = industry_demean(out.join(sectors, "symbol", "left"), "sector", min_n=min_industry)
-    market = cross_section_mean(daily_returns(prices), min_n=min_n).select("trade_date", F.col("market_mean").alias("market_r"))
-    out = out.join(market, "trade_date", "left").join(macro, "trade_date", "left")
+    out = join_date_broadcast(out, macro)
     out = rolling_features(out, short)
     out = volume_ratio(out, short, pit=True)
     out = lagged_levels(out, ["close"], far=short)

@@ -58,7 +58,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     b = right.where(F.col(right_on).isNotNull()).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col(right_on).alias("_t"), F.lit(tag_right).alias("_tag"), F.struct(*take).alias("_right"))
     keys = [f"_k{i}" for i in range(len(by))]
     both = a.unionByName(b, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("_t", "_tag", "_right")
+    # Rows with a null key match nothing: they are dealt to many tasks.
+    spread = F.when(F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull(), F.pmod(F.xxhash64("_t", "_left", "_right"), F.lit(1024))).otherwise(0)
+    order = Window.partitionBy(*keys, spread).orderBy("_t", "_tag", "_right")
     if forward:
         found = F.first("_right", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
     else:

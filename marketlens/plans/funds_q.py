@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marketlens.operators import funds as U
 from marketlens.operators import pit
 from marketlens.registry import query
+from marketlens.sources.sink import written
 
 from .bindings import DAY, HOLDINGS, MIN_N, RETURNS, SECTORS, holdings, returns, sectors
 from .panel_q import _NAV, nav_and_price
@@ -66,8 +67,13 @@ lay AS (SELECT px.fund, fund_return, 0.9 * market_return AS market, coalesce(0.5
 layers AS (SELECT *, fund_return - market - sector AS idio FROM lay)"""
 
 
-def _layers(spark, sf):
-    h, r = _hold(spark, sf), _ret(spark, sf)
+def _inputs(spark, sf):
+    """Holdings and returns, which the layers use several times, written once."""
+    return written(_hold(spark, sf)), written(_ret(spark, sf))
+
+
+def _layers(spark, sf, inputs=None):
+    h, r = inputs or _inputs(spark, sf)
     own = U.weighted_proxy(h, r).select("fund", F.col("proxy").alias("fund_return"))
     o = U.portfolio_overlap(h).withColumn("overlap", F.round("overlap", 12))
     overlaps = o.select(F.col("fund_a").alias("fund"), F.col("fund_b").alias("sector_fund"), "overlap").union(o.select("fund_b", "fund_a", "overlap"))
@@ -97,8 +103,8 @@ def _(spark, sf):
     SELECT fund, constituent, round(c, 6) AS contribution, CAST(row_number() OVER (PARTITION BY fund ORDER BY abs(c) DESC, constituent) AS INT) AS rank, n_halted, advancers, decliners FROM j JOIN n USING (fund) WHERE NOT halted AND c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fund ORDER BY abs(c) DESC, constituent) <= 5""",
 )
 def _(spark, sf):
-    r = _ret(spark, sf).withColumn("volume", F.col("volume") % 3)
-    return _r(U.idio_contributors(_hold(spark, sf), r, _layers(spark, sf), 5), "contribution", n=6)
+    h, r = _inputs(spark, sf)
+    return _r(U.idio_contributors(h, r.withColumn("volume", F.col("volume") % 3), _layers(spark, sf, (h, r)), 5), "contribution", n=6)
 
 
 @query(

@@ -197,7 +197,7 @@ def _(spark, sf):
     return Q.truncation_check(t(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), req, "c_custkey", "o_orderdate", "since").select("c_custkey", "reached", "truncated")
 
 
-@query("unfilled_days", "WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS trade_date FROM orders), p AS (SELECT CAST(l_shipdate AS DATE) AS trade_date, count(*) FILTER (l_returnflag <> 'N') AS f FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1) SELECT trade_date, CASE WHEN f IS NULL THEN 'MISSING' ELSE 'CONTESTED' END AS state FROM s LEFT JOIN p USING (trade_date) WHERE f IS NULL OR f > 0")
+@query("unfilled_days", "WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS trade_date FROM orders), p AS (SELECT CAST(l_shipdate AS DATE) AS trade_date, count(*) FILTER (l_returnflag <> 'N') AS f FROM lineitem GROUP BY 1) SELECT trade_date, CASE WHEN f IS NULL THEN 'MISSING' ELSE 'CONTESTED' END AS state FROM s LEFT JOIN p USING (trade_date) WHERE f IS NULL OR f > 0")
 def _(spark, sf):
     s = t(spark, sf, "orders").select(F.to_date("o_orderdate").alias("trade_date"))
     p = t(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("trade_date"), F.col("l_returnflag").alias("source_vendor"))

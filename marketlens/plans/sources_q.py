@@ -130,10 +130,10 @@ def _(spark, sf):
     return scan.scan_partitioned(spark, base, "event_id long, value double, trade_date date")
 
 
-@query("write_day_rebuild", f"SELECT event_id, value, 'own' AS source_vendor, trade_date FROM ({_DAILY}) WHERE trade_date < DATE '2024-01-05' OR (trade_date = DATE '2024-01-05' AND event_id % 2 = 0)")
+@query("write_day_rebuild", f"SELECT event_id, value, 'own' AS source_vendor, trade_date FROM ({_DAILY}) WHERE trade_date <> DATE '2024-01-05' OR event_id % 2 = 0")
 def _(spark, sf):
     base = _new(spark)
-    e = _daily(spark, sf).where("trade_date <= DATE '2024-01-05'").select("event_id", "value", F.lit("own").alias("source_vendor"), "trade_date")
+    e = _daily(spark, sf).select("event_id", "value", F.lit("own").alias("source_vendor"), "trade_date")
     sink.write_partition_overwrite(e, base, ["trade_date"])
     sink.write_day_rebuild(e.where("event_id % 2 = 0"), base, dt.date(2024, 1, 5), "own")
     return scan.scan_partitioned(spark, base, "event_id long, value double, source_vendor string, trade_date date")

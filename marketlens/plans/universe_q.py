@@ -11,8 +11,9 @@ from marketlens.operators import stats as S
 from marketlens.operators import universe as N
 from marketlens.registry import query
 
-from .bindings import BARS, DAY, HOLDINGS, PRICES, RETURNS, bars, holdings, prices, returns, t
+from .bindings import BARS, DAY, HOLDINGS, PRICES, RETURNS, SECTORS, bars, holdings, prices, returns, t
 from .events_q import CALIPERS, panel
+from .stats_q import flips
 
 _DECL = "decl AS (SELECT DISTINCT o_custkey % 50 AS fund FROM orders), refs AS (SELECT 120 + r_regionkey AS fund FROM region)"
 _MEM = f"{HOLDINGS}, {_DECL}, f AS (SELECT DISTINCT fund AS id FROM decl WHERE fund IN (SELECT fund FROM holdings)), m AS (SELECT DISTINCT constituent AS id FROM holdings WHERE fund IN (SELECT id FROM f) AND constituent NOT IN (SELECT fund FROM decl) AND constituent NOT IN (SELECT fund FROM refs)), u AS (SELECT id, 'FUND' AS kind FROM f UNION ALL SELECT id, 'CONSTITUENT' FROM m)"
@@ -24,7 +25,7 @@ def _universe(spark, sf):
     return holdings(spark, sf), decl, refs
 
 
-@query("universe_build", f"WITH {_MEM} SELECT id, kind, (SELECT sha256(array_to_string(list_sort(list(kind || ':' || id)), ',')) FROM u) AS version FROM u")
+@query("universe_build", f"WITH {_MEM} SELECT id, kind, (SELECT md5(count(*) || ':' || sum(('0x' || substr(md5(kind || ':' || id), 1, 12))::HUGEINT)) FROM u) AS version FROM u")
 def _(spark, sf):
     return N.universe_build(*_universe(spark, sf))
 
@@ -83,7 +84,16 @@ def _(spark, sf):
     return N.extract_html_fields(t(spark, sf, "pages"), ["title"]).select("page_id", "title_text")
 
 
-@query("spillover_att")
+@query(
+    "spillover_att",
+    f"""WITH {RETURNS}, {SECTORS}, ow AS (SELECT DISTINCT user_id AS symbol, CAST(ts AS DATE) AS trade_date FROM events WHERE event_type = 'purchase' AND value > 60), us AS (SELECT DISTINCT user_id AS u FROM events),
+    nb AS (SELECT DISTINCT dst AS symbol, trade_date FROM ow JOIN (SELECT u AS src, u + 1 AS dst FROM us UNION SELECT u + 1, u FROM us) ON src = symbol WHERE trade_date >= DATE '2024-01-01'), tn AS (SELECT * FROM nb ANTI JOIN ow USING (symbol, trade_date)),
+    pan AS (SELECT symbol, trade_date, close, r, sector, ln_size FROM abnormal JOIN sectors USING (symbol) WHERE r IS NOT NULL), tr AS (SELECT pan.* FROM pan JOIN tn USING (symbol, trade_date)), po AS (SELECT pan.* FROM pan ANTI JOIN tn USING (symbol, trade_date) ANTI JOIN ow USING (symbol, trade_date)),
+    cand AS (SELECT t.trade_date, t.sector, t.symbol AS t_symbol, c.symbol AS c_symbol, t.r AS t_r, c.r AS c_r, t.close AS t_close, c.close AS c_close, t.ln_size AS t_ln_size, c.ln_size AS c_ln_size, abs(t.ln_size - c.ln_size) / 0.5 + abs(t.close - c.close) / 15.0 AS distance FROM tr t JOIN po c ON t.trade_date = c.trade_date AND t.sector = c.sector AND abs(t.ln_size - c.ln_size) <= 0.5 AND abs(t.close - c.close) <= 15.0),
+    mt AS (SELECT *, concat_ws('|', t_symbol, c_symbol, trade_date) AS k, t_r - c_r AS diff FROM cand QUALIFY row_number() OVER (PARTITION BY trade_date, sector, t_symbol ORDER BY distance, c_symbol) <= 2), {flips("mt", "sector", 100)},
+    sm AS (SELECT sector, greatest(abs(avg(t_close) - avg(c_close)) / nullif(sqrt((var_samp(t_close) + var_samp(c_close)) / 2), 0), abs(avg(t_ln_size) - avg(c_ln_size)) / nullif(sqrt((var_samp(t_ln_size) + var_samp(c_ln_size)) / 2), 0)) AS m FROM mt GROUP BY 1)
+    SELECT sector, att, n_pairs, round(p_value, 6) AS p_value, round(m, 6) AS max_smd FROM flipped JOIN sm USING (sector)""",
+)
 def _(spark, sf):
     """Neighbours (the next user) of users with large purchases, matched with users that are neither."""
     e = t(spark, sf, "events").where("event_type = 'purchase' AND value > 60").select(F.col("user_id").alias("entity_id"), F.to_date("ts").alias("d"), "event_type")
