@@ -28,27 +28,28 @@ from pyspark.sql import functions as F
 
 from .common import blocks, written
 
-HEAD = 500_000
+HEAD = 300_000
+#: Documents that the head is taken from, at most or little more: it decides only how units reach the documents.
+SAMPLE = 100_000
 #: Units of more code points go by a digest, never in the head; their substrings are taken from windows of so many.
 SHORT = 64
 #: Units that a task keeps count of, and those that it hands on.
-TASK_UNITS, TASK_HEAD = 300_000, 150_000
+TASK_UNITS, TASK_HEAD = 200_000, 100_000
 #: Text that is cut into units at once.
-CUT_BYTES = 4 << 20
+CUT_BYTES = 2 << 20
 #: The score of a character without a piece: below that of any path over the model's ordinary pieces.
 NO_PIECE = -1e8
 
 
 class Cut(NamedTuple):
-    """How texts are cut: a pattern of units, and the same as replacements that put a NUL at each cut."""
+    """How texts are cut: a pattern of units, and the same, but for spaces, as replacements that put a NUL at each cut."""
 
     pattern: regex.Pattern
     marks: tuple[tuple[str, str], ...]
 
 
-_SPACES = (r"([^ ])( )", "\\1\0\\2")
-_WORDS = Cut(regex.compile(r" *[^ \n]+| +|\n"), (_SPACES,))
-_RUNS = Cut(regex.compile(r" *\p{L}+| *[^\p{L} \n]+| +|\n"), (_SPACES, (r"(\p{L})([^\p{L} \n\x00])", "\\1\0\\2"), (r"([^\p{L} \n\x00])(\p{L})", "\\1\0\\2")))
+_WORDS = Cut(regex.compile(r" *[^ \n]+| +|\n"), ())
+_RUNS = Cut(regex.compile(r" *\p{L}+| *[^\p{L} \n]+| +|\n"), ((r"(\p{L})([^\p{L} \n\x00])", "\\1\0\\2"), (r"([^\p{L} \n\x00])(\p{L})", "\\1\0\\2")))
 _CROSSED = regex.compile(r"\p{L}(?=\P{L})|\P{L}(?=\p{L})")
 _SPACE = "▁"
 
@@ -62,6 +63,11 @@ def _cut(texts: pa.Array, cut: Cut) -> pa.ListArray:
     """units() of each text, and empty strings, which stand for nothing."""
     texts = pc.fill_null(texts, "")
     marked = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise("", texts, " "))
+    runs = pc.match_substring(texts, "  ")
+    spaced = pc.replace_substring(marked, " ", "\0 ")
+    if pc.any(runs).as_py():  # only the first space of a run is a cut
+        spaced = pc.replace_with_mask(spaced, runs, pc.replace_substring_regex(marked.filter(runs), r"([^ ])( )", "\\1\0\\2"))
+    marked = spaced
     for pattern, by in cut.marks:
         marked = pc.replace_substring_regex(marked, pattern, by)
     lists = pc.split_pattern(pc.replace_substring(marked, "\n", "\0\n\0"), "\0")
@@ -147,7 +153,7 @@ def lattice(found: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def frequent(docs: DataFrame, head: int, cut: Cut = _RUNS) -> DataFrame:
-    """unit: some head or fewer of the most frequent short ones, by the tasks' counts. Which ones they are changes no result."""
+    """unit: some head or fewer of the most frequent short ones of a sample of documents, by the tasks' counts. Which ones they are changes no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.table({"unit": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
@@ -165,6 +171,7 @@ def frequent(docs: DataFrame, head: int, cut: Cut = _RUNS) -> DataFrame:
         yield from top(TASK_HEAD).to_batches()
         pa.default_memory_pool().release_unused()  # the worker stays, idle
 
+    docs = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
     counted = written(docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
     # The least count of which there are at most head units: from the numbers of units by count, in powers of 1.1.
     step = F.floor(F.log(1.1, "n")).cast("int")
@@ -234,7 +241,10 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
     # Both sides of the join come from one exchange by name.
     rest = docs.select("text", "key").mapInArrow(others, "key long, k int, name string, long string").repartition(_tasks(docs), "name")
     paths = lattice(rest.groupBy("name").agg(F.max("long").alias("long"), F.min("key"), F.min("k")).select("name", "long"), pieces)
-    told = rest.join(paths, "name").groupBy("key").agg(F.collect_set(F.struct("k", "ids")).alias("rest"))
+    # An answer is the unit's number and its ids, three bytes each.
+    answer = F.unhex(F.concat(F.lpad(F.hex("k"), 6, "0"), "hexed"))
+    hexed = paths.select("name", F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 6, "0")), "").alias("hexed"))
+    told = rest.join(hexed, "name").groupBy("key").agg(F.collect_set(answer).alias("rest"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=6).compress
@@ -256,9 +266,9 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
                 counts = pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy()
                 if (counts != own.counts).any():
                     raise ValueError("a text lacks the paths of some of its units")
-                k, ids = part.column(2).flatten().flatten()
-                order = np.lexsort((k.to_numpy(), np.repeat(np.arange(len(counts)), counts)))
-                table = pa.concat_arrays([ids_known, _plain(ids).take(pa.array(order))])
+                k, ids = _answers(part.column(2).flatten())
+                order = np.lexsort((k, np.repeat(np.arange(len(counts)), counts)))
+                table = pa.concat_arrays([ids_known, ids.take(pa.array(order))])
                 places = own.places.astype(np.int64)
                 places[own.unknown] = len(ids_known) + own.which
                 sizes = table.value_lengths().to_numpy()[places]
@@ -271,6 +281,16 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
     return held.mapInArrow(run, "doc_id long, text string, ids array<int>, n_tokens long" + ", decoded string" * decode)
 
 
+def _answers(flat: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+    """The units' numbers and ids of answers, as three bytes each."""
+    sizes = pc.binary_length(flat).to_numpy() // 3
+    numbers = np.frombuffer(b"".join(flat.to_pylist()), np.uint8).reshape(-1, 3).astype(np.int32) @ np.array([1 << 16, 1 << 8, 1], np.int32)
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    own = np.ones(len(numbers), bool)
+    own[upto[:-1]] = False
+    return numbers[upto[:-1]], pa.ListArray.from_arrays(pa.array(upto - np.arange(len(upto)), pa.int32()), pa.array(numbers[own]))
+
+
 def _plain(lists: pa.Array) -> pa.ListArray:
     """Lists of 32-bit ids whose elements and offsets are of plain kinds."""
     sizes = lists.value_lengths().to_numpy()
