@@ -16,7 +16,7 @@ def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media(table(spark, sf_dir, "documents")).drop("hash")
+    return media.media(table(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +39,8 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is labelled bad if the document that its path numbers is of no quality."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    number = F.expr("try_cast(regexp_extract(url, '://[^?#]*/([0-9]+)', 1) AS bigint)")
-    marks = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("bad"))
-    labels = pages.select("page_id", number.alias("doc_id")).join(marks, "doc_id").select("page_id", "bad")
-    return urls.judged(pages, labels).select("page_id", "host", "path", "rule", "verdict", "template")
+    """Pages that a rule decides are the labelled ones: the tables mark no other page."""
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """URL filter: stated rules, and a tree of path templates per host; DataFrame and SQL functions only.
 
-The tree grows depth by depth. At each node (a host and a template so far) the next segments are counted: where they are
-many and mostly different they become a wildcard, else they stay. Then, depth by depth, branches that differ in one
-segment only and whose labelled purity is statistically like that of all of them together are merged into a wildcard.
-What is left are templates; one is rejected if its smoothed share of bad labels exceeds a bound. Only rows of host and
-segments are joined, and counts are taken before they meet; a hot host's rows are split by adaptive skew handling.
+The tree grows depth by depth, over distinct paths and their counts. At each node (a host and a template so far) the next
+segments are counted: where they are many and mostly different they become a wildcard, else they stay. Then, depth by
+depth, branches that differ in one segment only and whose labelled purity is statistically like that of all of them
+together are merged into a wildcard. What is left are templates; one is rejected if its smoothed share of bad labels
+exceeds a bound.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import BROADCAST, ascii_lower, written
 
 #: (action, host, path): a rule fits its host and all subdomains of it, where the path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Segments beyond this depth count as one.
+#: A template has so many segments at most: the last one stands for all that follow.
 DEPTH = 6
+#: Tasks among which a hot host's rows are dealt.
+SALTS = 16
 #: A node's segments become a wildcard if more than CHILDREN differ, and they are more than DIFFERENT of its rows.
 CHILDREN, DIFFERENT = 20, 0.1
 #: Branches within so many standard errors of their pool are merged.
@@ -41,19 +43,28 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return name, action
 
 
-def _segments(path: Column) -> Column:
+def _segments(path: Column, depth: int) -> Column:
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    rest = F.array_join(F.slice(parts, DEPTH, F.greatest(F.size(parts) - (DEPTH - 1), F.lit(1))), "/")
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(rest))).otherwise(parts)
+    rest = F.array_join(F.slice(parts, depth, F.greatest(F.size(parts) - (depth - 1), F.lit(1))), "/")
+    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth - 1), F.array(rest))).otherwise(parts)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, bad and parts, the template's segments ("*" where they vary). pages: page_id, host, path, bad (1, 0 or null)."""
-    now = written(pages.withColumn("segs", _segments(F.col("path"))).withColumn("parts", F.expr("cast(array() AS array<string>)")))
+def _told(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """rows with few's columns (left join). few is broadcast up to a checked size; beyond it a hot key of rows is dealt to SALTS tasks."""
+    few = written(few)
+    if few.count() <= BROADCAST:
+        return rows.join(F.broadcast(few), on, "left")
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).join(spread, [*on, "_salt"], "left").drop("_salt")
+
+
+def templates(paths: DataFrame) -> DataFrame:
+    """paths (host, segs: an array; n: how many pages have them) with parts, the template's segments ("*" where they vary)."""
+    now = written(paths.withColumn("parts", F.expr("cast(array() AS array<string>)")))
     deepest = now.agg(F.max(F.size("segs"))).first()[0] or 0
     for d in range(deepest):
         seg = F.col("segs")[d]
-        counted = now.where(F.size("segs") > d).groupBy("host", "parts", seg.alias("seg")).agg(F.count("*").alias("n"))
+        counted = now.where(F.size("segs") > d).groupBy("host", "parts", seg.alias("seg")).agg(F.sum("n").alias("n"))
         varying = (
             counted.groupBy("host", "parts")
             .agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
@@ -61,10 +72,10 @@ def templates(pages: DataFrame) -> DataFrame:
             .select("host", "parts", F.lit(True).alias("varies"))
         )
         deeper = F.when(F.size("segs") > d, F.array_append("parts", F.when(F.col("varies"), F.lit("*")).otherwise(seg))).otherwise(F.col("parts"))
-        now = now.join(varying, ["host", "parts"], "left").withColumn("parts", deeper).drop("varies")
+        now = _told(now, varying, ["host", "parts"]).withColumn("parts", deeper).drop("varies")
         if d % 2:
             now = written(now)
-    return now.drop("segs")
+    return now
 
 
 def merged(counted: DataFrame, deepest: int) -> DataFrame:
@@ -82,27 +93,32 @@ def merged(counted: DataFrame, deepest: int) -> DataFrame:
     return now
 
 
-def judged(pages: DataFrame, labels: DataFrame | None = None, rules: tuple = RULES) -> DataFrame:
+def judged(pages: DataFrame, labels: DataFrame | None = None, rules: tuple = RULES, depth: int = DEPTH) -> DataFrame:
     """page_id, host, path, rule, template, purity, verdict of each row of pages (page_id, url).
 
-    labels: page_id and bad (1 or 0); a page labelled twice counts as bad if any label is. Without labels no template is
-    rejected. A null url, or one without ://, has an empty host and path, and so the empty template. Null page_ids have no
-    label; rows that repeat are judged alike. An empty table gives none. Other columns are ignored.
+    labels: page_id and bad (1 or 0); a page labelled twice counts as bad if any label is. Without labels, pages that a
+    rule decides are labelled by it. A null url, or one without ://, has an empty host and path, and so the empty template.
+    Null page_ids have no label of their own; rows that repeat are judged alike. Paths of any length are judged; from the
+    depth-th segment on they are one. An empty table gives none. Other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
     own = pages.select("page_id", host.alias("host"), path.alias("path"))
+    name, action = rule_of(F.col("host"), F.col("path"), rules)
+    own = own.withColumn("rule", name).withColumn("action", action).withColumn("segs", _segments(F.col("path"), depth))
     if labels is None:
-        own = own.withColumn("bad", F.lit(None).cast("int"))
+        own = own.withColumn("bad", (F.col("action") == "block").cast("int"))
     else:
         own = own.join(labels.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad")), "page_id", "left")
-    grown = written(templates(own))
-    counted = grown.groupBy("host", "parts").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    own = written(own)
+    # From here on a row stands for all pages of a host that share their segments.
+    paths = own.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    grown = written(templates(paths))
+    counted = grown.groupBy("host", "parts").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     totals = counted.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("bad"), F.max(F.size("parts")).alias("deepest")).first()
-    prior = ((totals.bad or 0) + 1) / ((totals.n or 0) + 2)
+    prior = min(((totals.bad or 0) + 1) / ((totals.n or 0) + 2), REJECT)  # without labels of its own no template is rejected
     final = written(merged(counted, totals.deepest or 0))
     pure = final.groupBy("host", "final").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("bad"))
     purity = (F.col("bad") + SMOOTH * prior) / (F.col("n") + SMOOTH)
     told = final.select("host", "parts", "final").join(pure, ["host", "final"]).select("host", "parts", F.concat(F.lit("/"), F.array_join("final", "/")).alias("template"), purity.alias("purity"))
-    out = grown.select("page_id", "host", "path", "parts").join(told, ["host", "parts"])
-    name, action = rule_of(F.col("host"), F.col("path"), rules)
-    return out.select("page_id", "host", "path", name.alias("rule"), "template", "purity", F.coalesce(action, F.when(F.col("purity") > REJECT, "block").otherwise("allow")).alias("verdict"))
+    out = _told(own, _told(grown.select("host", "segs", "parts"), told, ["host", "parts"]).drop("parts"), ["host", "segs"])
+    return out.select("page_id", "host", "path", "rule", "template", "purity", F.coalesce("action", F.when(F.col("purity") > REJECT, "block").otherwise("allow")).alias("verdict"))
