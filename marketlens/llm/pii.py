@@ -80,7 +80,7 @@ LABELERS = {
     "regex_key": "IF(x.m RLIKE '^[A-Z0-9]{16,}$' AND x.m RLIKE '[0-9A-Z][A-Z]' AND x.m RLIKE '[A-Z]{4}', 1, 0)",
     "gazetteer_prefix": "IF(" + " OR ".join(f"startswith(x.m, '{p}')" for p in PREFIXES) + ", 1, 0)",
     "context_cue": "IF(" + f"lower(concat(x.b, x.m)) RLIKE '(?:{'|'.join(CUES)})[\\\"\\\\x27 ]*[:=]', 1, 0)",
-    "plain_word": "IF(x.m RLIKE '^[A-Za-z-]+$' OR x.m RLIKE '^[=_/+-]+$', -1, 0)",
+    "numbered_words": "IF(x.m RLIKE '^[A-Za-z]?[a-z]{2,}(?:[-_/=+][A-Za-z]?[a-z]{2,})*[-_/=+]?[0-9]{1,4}$', -1, 0)",
     "plain_number": "IF(x.m RLIKE '^[0-9-]+$' AND NOT x.m RLIKE '[a-f]', -1, 0)",
 }
 
@@ -118,25 +118,15 @@ class Model:
         return f"1 / (1 + exp(-({total})))"
 
 
-def fit(docs: DataFrame, rounds: int = 50) -> Model:
-    """EM over vote patterns, then naive Bayes on the posteriors. What comes to the driver is counts of (votes, bins) rows, bounded by their number."""
-    seen = docs.select(F.expr(f"explode({_candidates('text')})").alias("x"))
-    votes, bins = list(LABELERS), list(FEATURES)
-    rows = seen.selectExpr(*(f"{LABELERS[v]} AS v_{v}" for v in votes), *(f"{FEATURES[b]} AS f_{b}" for b in bins)).groupBy(*(f"v_{v}" for v in votes), *(f"f_{b}" for b in bins)).count().collect()
-    counted = sorted((tuple(r[f"v_{v}"] for v in votes), tuple(r[f"f_{b}"] for b in bins), r["count"]) for r in rows)
-    if not counted:
-        return Model()
-    # P(vote | class) per labeler, started from a majority vote.
-    patterns: dict[tuple, float] = {}
-    for v, _, n in counted:
-        patterns[v] = patterns.get(v, 0) + n
+def reliabilities(patterns: dict[tuple[int, ...], float], rounds: int = 50) -> tuple[float, dict, dict]:
+    """EM over counts of vote patterns (1 for, -1 against, 0 none): the share of true ones, P(vote | class) as given[labeler, class, vote], and each pattern's posterior. Labelers are taken as independent given the class; it starts from a majority vote."""
+    width = len(next(iter(patterns)))
     post = {v: min(0.95, max(0.05, 0.4 + 0.3 * sum(v))) for v in patterns}
     total = sum(patterns.values())
-    prior = 0.5
-    given: dict = {}
+    prior, given = 0.5, {}
     for _ in range(rounds):
         prior = (sum(post[v] * n for v, n in patterns.items()) + 1) / (total + 2)
-        for j in range(len(votes)):
+        for j in range(width):
             for c in (0, 1):
                 mass = {x: 1.0 for x in (-1, 0, 1)}
                 for v, n in patterns.items():
@@ -147,6 +137,22 @@ def fit(docs: DataFrame, rounds: int = 50) -> Model:
         for v in patterns:
             odds = math.log(prior / (1 - prior)) + sum(math.log(given[j, 1, x] / given[j, 0, x]) for j, x in enumerate(v))
             post[v] = 1 / (1 + math.exp(-max(-40.0, min(40.0, odds))))
+    return prior, given, post
+
+
+def fit(docs: DataFrame, rounds: int = 50) -> Model:
+    """EM over vote patterns, then naive Bayes on the posteriors. What comes to the driver is counts of (votes, bins) rows, bounded by their number."""
+    seen = docs.select(F.expr(f"explode({_candidates('text')})").alias("x"))
+    votes, bins = list(LABELERS), list(FEATURES)
+    rows = seen.selectExpr(*(f"{LABELERS[v]} AS v_{v}" for v in votes), *(f"{FEATURES[b]} AS f_{b}" for b in bins)).groupBy(*(f"v_{v}" for v in votes), *(f"f_{b}" for b in bins)).count().collect()
+    counted = sorted((tuple(r[f"v_{v}"] for v in votes), tuple(r[f"f_{b}"] for b in bins), r["count"]) for r in rows)
+    if not counted:
+        return Model()
+    patterns: dict[tuple, float] = {}
+    for v, _, n in counted:
+        patterns[v] = patterns.get(v, 0) + n
+    prior, given, post = reliabilities(patterns, rounds)
+    total = sum(patterns.values())
     weights: dict[str, dict[int, float]] = {}
     yes = sum(post[v] * n for v, _, n in counted)
     no = total - yes

@@ -190,8 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, folds: in
         .limit(limit)
     )
     # limit rows of two numbers: small enough to broadcast, whatever the corpus.
-    rows = with_features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", "quality", "features").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.features))
+    found = with_features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    # Of rows that share an id one counts, so that no more than limit rows come to the driver.
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("features", "quality")).alias("x")).select("doc_id", "x.*").collect()
+    rows.sort(key=lambda r: r.doc_id)
     x = np.array([r.features for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r.quality for r in rows], dtype=float))
 

@@ -43,3 +43,21 @@ def test_stages_go_by_row(spark, tmp_path):
     spark.createDataFrame([(1, words("b", 12)), (2, words("d", 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()
     assert key(clean) == sorted([r for r in rows if r[1] not in (words("b", 40), words("d", 40))], key=str)
+
+
+def test_stages_take_odd_tables(spark, sf):
+    """Nulls, empty and long texts, repeated rows, columns whose names the stages use inside; then empty tables."""
+    texts = [(None, None), (None, None), (1, None), (2, ""), (3, "  \n"), (4, "x"), (5, "word " * 3000 + "."), (6, "mail me@example.com now"), (6, "mail me@example.com now"), (7, "plain words of a text.\n" * 40)]
+    rows = [(i, t, None, None, None, 1, 0.5, "k", None) for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, uid long, score double, key string, spans string"
+    own = spark.createDataFrame(rows, schema).repartition(3)
+    for df in (own, own.limit(0)):
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            out = written(stage(spark, df, sf))
+            assert out.columns == (pipeline.COLUMNS if k < 4 else ["doc_id", "n_tokens", "ids", "text"])
+            n, kept = df.count(), out.count()
+            assert kept == n if k in (2, 3, 4) else kept <= n
+            if n and k == 1:  # one without words, "x", the long one, one mail, the plain one
+                assert kept == 5
+            if n and k == 3:
+                assert {r.text for r in out.where("doc_id = 6").collect()} == {"mail <email> now"} and out.where("text IS NULL").count() == 3
