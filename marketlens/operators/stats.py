@@ -217,12 +217,45 @@ def identification_route(gates: DataFrame, point: str = "point", bounds: str = "
     return gates.withColumn("route", F.when(F.col(point), "POINT").when(F.col(bounds), "INTERVAL").when(F.col(exclusion), "EXCLUSION_ONLY").otherwise("REJECT"))
 
 
-def return_correlation(returns: DataFrame, min_days: int, key: str = "symbol", order: str = "trade_date", value: str = "r") -> DataFrame:
-    """Pairwise correlations of keys a < b over common days, from one self-join by day; at least min_days."""
-    ok = returns.where(F.col(value).isNotNull())
-    a = ok.select(order, F.col(key).alias("a"), F.col(value).alias("_x"))
-    b = ok.select(order, F.col(key).alias("b"), F.col(value).alias("_y"))
-    return a.join(b, order).where("a < b").groupBy("a", "b").agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n")).where(F.col("n") >= min_days)
+def return_correlation(returns: DataFrame, min_days: int, key: str = "symbol", order: str = "trade_date", value: str = "r", block: int = 512) -> DataFrame:
+    """a, b, rho, n: correlations of keys a < b over their common days, at least min_days; null where a side doesn't vary.
+
+    Keys go in blocks of about `block`; a task takes two blocks and multiplies their key-by-day matrices, so no rows are
+    paired by day. A key has one value a day.
+    """
+    kind = returns.schema[key].dataType
+    ok = returns.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(order).cast("string").alias("d"), F.col(value).cast("double").alias("v"))
+    rows = ok.groupBy("k").agg(F.collect_list("d").alias("ds"), F.collect_list("v").alias("vs"))
+    blocks = -(-rows.count() // block) or 1
+    own = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def run(pair: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        sizes = g["ds"].map(len).to_numpy()
+        days, col = np.unique(np.concatenate(g["ds"].to_list()), return_inverse=True)
+        row = np.repeat(np.arange(len(g)), sizes)
+        flat = np.concatenate(g["vs"].to_list()).astype(float)
+        x, m = np.zeros((len(g), len(days))), np.zeros((len(g), len(days)))
+        x[row, col] = flat - (np.bincount(row, flat) / sizes)[row]
+        m[row, col] = 1.0
+        lo = (g["own"] == pair[0]).to_numpy()
+        one = np.flatnonzero(lo)
+        two = one if pair[0] == pair[1] else np.flatnonzero(~lo)
+        xa, ma, xb, mb = x[one], m[one], x[two], m[two]
+        n = ma @ mb.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sx, sy, xx, yy = xa @ mb.T, ma @ xb.T, (xa * xa) @ mb.T, ma @ (xb * xb).T
+            vx, vy = xx - sx * sx / n, yy - sy * sy / n
+            rho = np.where((vx > 1e-12 * xx) & (vy > 1e-12 * yy), (xa @ xb.T - sx * sy / n) / np.sqrt(vx * vy), np.nan)
+        keys = g["k"].to_numpy()
+        i, j = np.nonzero(n >= min_days)
+        a, b = keys[one[i]], keys[two[j]]
+        keep = a < b if pair[0] == pair[1] else a != b
+        i, j, a, b = i[keep], j[keep], a[keep], b[keep]
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "rho": rho[i, j], "n": n[i, j].astype(np.int64)})
+
+    dealt = own.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "k", "ds", "vs")
+    out = dealt.groupBy("lo", "hi").applyInPandas(run, f"a {kind.simpleString()}, b {kind.simpleString()}, rho double, n long")
+    return out.withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
 
 
 def cluster_stability(a: DataFrame, b: DataFrame, key: str = "symbol", label: str = "label") -> DataFrame:

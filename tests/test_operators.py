@@ -237,3 +237,24 @@ def test_running_sums_meet_across_ranges(spark):
         want.append(float(total))
     assert got == want
     assert stats.running(df.limit(0), "v", "n", "b").count() == 0
+
+
+def test_correlations_by_blocks(spark):
+    """Blocks of any size give each pair's correlation over its common days; gaps, constants and single days."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    series = {k: {d: float(r.normal()) for d in range(30) if r.random() < 0.7} for k in range(25)}
+    series[25], series[26] = {d: 1.5 for d in range(30)}, {3: 1.0}
+    df = spark.createDataFrame([(k, d, v) for k, x in series.items() for d, v in x.items()] + [(1, 99, None)], "symbol long, trade_date int, r double").repartition(4)
+    want = {}
+    for a in series:
+        for b in series:
+            days = sorted(set(series[a]) & set(series[b]))
+            if a < b and len(days) >= 10:
+                x, y = ([series[k][d] for d in days] for k in (a, b))
+                want[a, b] = (None if len(set(x)) == 1 or len(set(y)) == 1 else round(float(np.corrcoef(x, y)[0, 1]), 9), len(days))
+    for block in (512, 7):
+        got = {(x.a, x.b): (None if x.rho is None else round(x.rho, 9), x.n) for x in stats.return_correlation(df, 10, block=block).collect()}
+        assert got == want
+    assert stats.return_correlation(df.limit(0), 10).count() == 0
