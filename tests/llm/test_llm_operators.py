@@ -111,6 +111,18 @@ def test_media(spark, docs):
         media.decode(png[:-12])
 
 
+def test_hash_is_of_the_lowest_cosine_frequencies():
+    from math import cos, pi, sqrt
+
+    samples = np.random.default_rng(6).integers(0, 256, (32, 192)).astype(np.uint8)
+    grey = samples.reshape(32, media.WIDTH, -1).mean(axis=2).reshape(32, 32, -1).mean(axis=2)
+    scale = lambda k: sqrt((1 if k == 0 else 2) / 32)
+    freq = [scale(u) * scale(v) * sum(grey[y, x] * cos(pi * (2 * y + 1) * u / 64) * cos(pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(freq[1:])[31]
+    bits = "".join(f"{b:08b}" for b in media.low_frequency_hash(samples))
+    assert bits == "".join(str(int(f > middle + 1e-6)) for f in freq)
+
+
 def test_all_png_filters_are_undone():
     r = np.random.default_rng(1)
     rows = r.integers(0, 256, (6, 12)).astype(np.uint8)
