@@ -8,7 +8,7 @@ keeping the best path to each place (Viterbi: the largest sum of piece scores; o
 is longest). Characters without a piece become byte pieces. Each distinct unit is worked on once.
 
 The HEAD most frequent units, a bounded table, reach the documents by broadcast, so no key of the joins is hot; the
-others are joined with the documents that hold them, by a number that stands for the unit in its document.
+others are sent with the keys of the documents that hold them, and their ids sent back to these.
 """
 
 from __future__ import annotations
@@ -23,16 +23,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, written
 
-HEAD = 300_000
+HEAD = 400_000
 #: Documents that the head is taken from, at most or little more: it decides only how units reach the documents.
 SAMPLE = 100_000
 #: Units of more code points go by a digest, never in the head; their substrings are taken from windows of so many.
 SHORT = 64
+#: Names by which a long unit goes, at most.
+SALTS = 256
 #: Units that a task keeps count of, and those that it hands on.
 TASK_UNITS, TASK_HEAD = 200_000, 100_000
 #: Text that is cut into units at once.
@@ -122,19 +124,20 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lattice(found: DataFrame, pieces: Pieces) -> DataFrame:
-    """name, ids (array of int) for the distinct names of found (name, long): the unit is long, or the name itself if that is null."""
+def lattice(found: DataFrame, pieces: Pieces, held: Column | None = None) -> DataFrame:
+    """name, ids (array of int), who for the distinct names of found (name, long): the unit is long, or the name itself if that is null. who: what held, an aggregate, gathers for each name."""
     longest = max((len(s) for s, *_ in pieces.rows), default=1)
     table = F.broadcast(pieces.table(found.sparkSession))  # a model's pieces: tens of thousands of rows
-    # Substrings are taken from windows, and rows carry the name only, so that a long unit costs in proportion to its length.
-    unit = found.groupBy("name").agg(F.coalesce(F.max("long"), "name").alias("unit"))
-    windows = unit.withColumn("w", F.explode(F.expr(f"sequence(0, char_length(unit) - 1, {SHORT})"))).select("name", "w", F.expr(f"substr(unit, w + 1, {SHORT + longest})").alias("x"))
-    starts = windows.withColumn("s", F.explode(F.expr(f"sequence(0, least({SHORT}, char_length(x)) - 1)")))
+    # Substrings are taken from windows, and rows carry the name only, so that a long unit costs in proportion to its
+    # length; its first substring carries who.
+    unit = found.groupBy("name").agg(F.coalesce(F.max("long"), "name").alias("unit"), (F.lit(None).cast("string") if held is None else held).alias("who"))
+    windows = unit.withColumn("w", F.explode(F.expr(f"sequence(0, char_length(unit) - 1, {SHORT})"))).select("name", "w", F.expr(f"substr(unit, w + 1, {SHORT + longest})").alias("x"), F.expr("IF(w = 0, who, NULL)").alias("who"))
     # Places between a window's first SHORT and its end belong to the next one, which begins there.
-    substrings = starts.withColumn("n", F.explode(F.expr(f"sequence(1, least({longest}, char_length(x) - s))"))).select("name", (F.col("w") + F.col("s")).alias("s"), "n", F.expr("substr(x, s + 1, n)").alias("surface"))
+    starts = windows.withColumn("s", F.explode(F.expr(f"sequence(0, least({SHORT}, char_length(x)) - 1)"))).withColumn("who", F.expr("IF(s = 0, who, NULL)"))
+    substrings = starts.withColumn("n", F.explode(F.expr(f"sequence(1, least({longest}, char_length(x) - s))"))).select("name", (F.col("w") + F.col("s")).alias("s"), "n", F.expr("substr(x, s + 1, n)").alias("surface"), F.expr("IF(n = 1, who, NULL)").alias("who"))
     edge = F.struct((F.col("s") + F.col("n")).alias("e"), "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(NO_PIECE)).alias("score"), F.when(F.col("id").isNull(), F.col("surface")).alias("b"))
-    edges = substrings.join(table, "surface", "left").where("id IS NOT NULL OR n = 1").select("name", edge.alias("edge"))
-    grouped = edges.groupBy("name").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    edges = substrings.join(table, "surface", "left").where("id IS NOT NULL OR n = 1").select("name", edge.alias("edge"), "who")
+    grouped = edges.groupBy("name").agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.first("who", ignorenulls=True).alias("who"))
     # done[k]: the last piece of the best path to place k; the other fields are of place e, whose edges come next to one
     # another. Edges come by their end, so what they start from is done.
     last = "struct<score: double, s: int, id: int, b: string>"
@@ -149,7 +152,7 @@ def lattice(found: DataFrame, pieces: Pieces) -> DataFrame:
     held = ",".join(map(str, pieces.byte_ids))
     ids = f"""flatten(transform(path, p -> IF(p.id >= 0, array(p.id),
         transform(sequence(1, octet_length(p.b)), j -> element_at(array({held}), cast(conv(substr(hex(p.b), 2 * j - 1, 2), 16, 10) AS int) + 1)))))"""
-    return grouped.withColumn("best", F.expr(best)).withColumn("path", F.expr(path)).select("name", F.expr(ids).alias("ids"))
+    return grouped.withColumn("best", F.expr(best)).withColumn("path", F.expr(path)).select("name", F.expr(ids).alias("ids"), "who")
 
 
 def frequent(docs: DataFrame, head: int, cut: Cut = _RUNS) -> DataFrame:
@@ -233,18 +236,20 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
                 over = pc.greater(pc.utf8_length(name), SHORT)
                 if pc.any(over).as_py():
                     long = pc.if_else(over, name, None)
-                    digests = [None if x is None else "\n" + hashlib.blake2b(x.encode(), digest_size=16).hexdigest() for x in long.to_pylist()]
+                    # Long ones may be frequent: each goes to SALTS tasks, by its texts.
+                    salts = (part.column(1).take(pa.array(own.rows)).to_numpy() % SALTS).tolist()
+                    digests = [None if x is None else f"\n{hashlib.blake2b(x.encode(), digest_size=16).hexdigest()}{k}" for x, k in zip(long.to_pylist(), salts, strict=True)]
                     name = pc.coalesce(pa.array(digests, pa.string()), name)
                 yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(own.rows)), pa.array(own.numbers, pa.int32()), name, long], names=["key", "k", "name", "long"])
         pa.default_memory_pool().release_unused()
 
-    # Both sides of the join come from one exchange by name.
+    # One exchange by name brings a unit's texts together; it is rare, as the head has the frequent ones.
     rest = docs.select("text", "key").mapInArrow(others, "key long, k int, name string, long string").repartition(_tasks(docs), "name")
-    paths = lattice(rest.groupBy("name").agg(F.max("long").alias("long"), F.min("key"), F.min("k")).select("name", "long"), pieces)
+    paths = lattice(rest, pieces, F.collect_list(F.struct("key", "k")))
     # An answer is the unit's number and its ids, three bytes each.
-    answer = F.unhex(F.concat(F.lpad(F.hex("k"), 6, "0"), "hexed"))
-    hexed = paths.select("name", F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 6, "0")), "").alias("hexed"))
-    told = rest.join(hexed, "name").groupBy("key").agg(F.collect_set(answer).alias("rest"))
+    hexed = F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 6, "0")), "")
+    each = paths.select(hexed.alias("hexed"), F.explode("who").alias("x"))
+    told = each.groupBy("x.key").agg(F.collect_set(F.unhex(F.concat(F.lpad(F.hex("x.k"), 6, "0"), "hexed"))).alias("rest"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=6).compress

@@ -281,16 +281,15 @@ def test_pieces(spark, docs):
         return ids[::-1]
 
     spaces = [(200, "a" + " " * 8 + "b\n\n   c" + " " * 21), (201, "    "), (202, "x1y2,, z\x00\x00 w   3.5"), (203, "kabel" * 30 + "\n" + "9" * 100), (204, "\n"), (205, " a")]
-    docs = [*docs, *spaces]
-    for head in (40, 100_000):
-        got = pieces.decoded(pieces.encoded(frame(spark, docs), model, head=head), model).collect()
-        assert len(got) == len(docs)
+    for rows, head in (([*docs, *spaces], 40), (spaces, 100_000)):
+        got = pieces.encoded(frame(spark, rows), model, head=head, decode=True).collect()
+        assert len(got) == len(rows)
         for r in got:
-            assert r.decoded == (r.text or "")
+            assert r.decoded == (r.text or "") and r.n_tokens == len(r.ids)
             assert "".join(pieces.units(r.text, model.cut)) == (" " + r.text if r.text else "")
             assert r.ids == (best(" " + r.text) if r.text else [])
-    same = pieces.encoded(frame(spark, docs), model, head=40, decode=True)
-    assert all(r.decoded == (r.text or "") and r.n_tokens == len(r.ids) for r in same.collect())
+    again = pieces.decoded(spark.createDataFrame([(r.text, r.ids) for r in got], "text string, ids array<int>"), model)
+    assert all(r.decoded == r.text for r in again.collect())
 
 
 def test_rules_and_hosts(spark):
