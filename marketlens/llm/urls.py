@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST, ascii_lower, written
+from .common import ascii_lower, written
 
 #: (action, host, path): a rule fits its host and all subdomains of it, where the path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 #: A template has so many segments at most: the last one stands for all that follow.
 DEPTH = 6
+#: Paths or templates that are broadcast, at most; beyond that a join shuffles.
+BROADCAST = 100_000
 #: Tasks among which a hot host's rows are dealt.
 SALTS = 16
 #: A node's segments become a wildcard if more than CHILDREN differ, and they are more than DIFFERENT of its rows.
