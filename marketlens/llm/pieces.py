@@ -246,8 +246,9 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
     # One exchange by name brings a unit's texts together; it is rare, as the head has the frequent ones.
     rest = docs.select("text", "key").mapInArrow(others, "key long, k int, name string, long string").repartition(_tasks(docs), "name")
     paths = lattice(rest, pieces, F.collect_list(F.struct("key", "k")))
-    # An answer is the unit's number and its ids, three bytes each.
-    hexed = F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 6, "0")), "")
+    # An answer is the unit's number in three bytes, and its ids.
+    width = 2 if len(pieces.surfaces) <= 1 << 16 else 3
+    hexed = F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 2 * width, "0")), "")
     each = paths.select(hexed.alias("hexed"), F.explode("who").alias("x"))
     told = each.groupBy("x.key").agg(F.collect_set(F.unhex(F.concat(F.lpad(F.hex("x.k"), 6, "0"), "hexed"))).alias("rest"))
 
@@ -271,7 +272,7 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
                 counts = pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy()
                 if (counts != own.counts).any():
                     raise ValueError("a text lacks the paths of some of its units")
-                k, ids = _answers(part.column(2).flatten())
+                k, ids = _answers(part.column(2).flatten(), width)
                 order = np.lexsort((k, np.repeat(np.arange(len(counts)), counts)))
                 table = pa.concat_arrays([ids_known, ids.take(pa.array(order))])
                 places = own.places.astype(np.int64)
@@ -286,14 +287,19 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
     return held.mapInArrow(run, "doc_id long, text string, ids array<int>, n_tokens long" + ", decoded string" * decode)
 
 
-def _answers(flat: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
-    """The units' numbers and ids of answers, as three bytes each."""
-    sizes = pc.binary_length(flat).to_numpy() // 3
-    numbers = np.frombuffer(b"".join(flat.to_pylist()), np.uint8).reshape(-1, 3).astype(np.int32) @ np.array([1 << 16, 1 << 8, 1], np.int32)
-    upto = np.concatenate(([0], np.cumsum(sizes)))
-    own = np.ones(len(numbers), bool)
-    own[upto[:-1]] = False
-    return numbers[upto[:-1]], pa.ListArray.from_arrays(pa.array(upto - np.arange(len(upto)), pa.int32()), pa.array(numbers[own]))
+def _answers(flat: pa.Array, width: int) -> tuple[np.ndarray, pa.ListArray]:
+    """The units' numbers and ids of answers: three bytes, then width bytes an id."""
+    sizes = pc.binary_length(flat).to_numpy().astype(np.int64)
+    data = np.frombuffer(b"".join(flat.to_pylist()), np.uint8).astype(np.int32)
+    starts = np.cumsum(sizes) - sizes
+    own = np.ones(len(data), bool)
+    for k in range(3):
+        own[starts + k] = False
+    ids = np.zeros(int(own.sum()) // width, np.int32)
+    for byte in data[own].reshape(-1, width).T:
+        ids = ids << 8 | byte
+    ends = np.concatenate(([0], np.cumsum((sizes - 3) // width)))
+    return data[starts] << 16 | data[starts + 1] << 8 | data[starts + 2], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
 
 
 def _plain(lists: pa.Array) -> pa.ListArray:
