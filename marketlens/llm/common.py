@@ -80,3 +80,24 @@ def blocks(batch: pa.RecordBatch, text_index: int, block_bytes: int = BLOCK_BYTE
         held += n
     if batch.num_rows > start:
         yield batch.slice(start)
+
+
+def raw(pattern: str) -> str:
+    """SQL: a pattern as a literal."""
+    return "r'" + pattern.replace("'", "\\x27") + "'"
+
+
+def matches(text: str, pattern: str) -> str:
+    """SQL: array of (s, e, m), each match's code point range and string, in order.
+
+    The pieces between matches give the places. They are summed up within blocks of 256 matches and over the blocks, so
+    that the lists that grow stay short. No match may be empty.
+    """
+    p, kind = raw(pattern), "array<struct<s: int, e: int, m: string>>"
+    found = f"""filter(zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1),
+        (m, before) -> named_struct('gap', char_length(before), 'size', char_length(m), 'm', m)), x -> x.m IS NOT NULL)"""
+    own = f"""aggregate(block, named_struct('at', a.at, 'out', cast(array() AS {kind})),
+        (c, x) -> named_struct('at', c.at + x.gap + x.size, 'out', array_append(c.out, named_struct('s', c.at + x.gap, 'e', c.at + x.gap + x.size, 'm', x.m))))"""
+    return f"""flatten(aggregate(flatten(transform(array({found}), all -> transform(sequence(0, cast(size(all) / 256 AS int)), j -> slice(all, 256 * j + 1, 256)))),
+        named_struct('at', 0, 'out', cast(array() AS array<{kind}>)),
+        (a, block) -> element_at(transform(array({own}), r -> named_struct('at', r.at, 'out', array_append(a.out, r.out))), 1), a -> a.out))"""
