@@ -177,14 +177,17 @@ def _(spark, sf):
     return V.event_contexts(a.select("event_id").distinct(), a, titles, spark.range(5).select(F.col("id").alias("entity_id")))
 
 
-_STAGES = {"view": 1, "click": 2, "signup": 3, "purchase": 4}
+STAGES = {"view": 1, "click": 2, "signup": 3, "purchase": 4}
 _NOV = """x AS (SELECT event_id, user_id, CASE WHEN event_id % 11 > 0 THEN CAST(floor(value) AS BIGINT) % 5 END AS topic, event_type, event_id % 13 = 0 AS is_correction, ts, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END AS k FROM events),
 nov AS (SELECT *, CASE WHEN topic IS NULL THEN 'UNKNOWN' WHEN row_number() OVER w = 1 THEN 'FIRST' WHEN is_correction THEN 'CORRECTION' WHEN k > max(k) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'FOLLOW_UP_STAGE' ELSE 'DUPLICATE_REBROADCAST' END AS novelty FROM x WINDOW w AS (PARTITION BY user_id, topic ORDER BY ts, event_id))"""
 
 
+def topics(spark, sf):
+    return t(spark, sf, "events").select("event_id", "user_id", F.when(F.col("event_id") % 11 > 0, F.floor("value") % 5).alias("topic"), F.col("event_type").alias("stage"), (F.col("event_id") % 13 == 0).alias("is_correction"), "ts")
+
+
 def novel(spark, sf):
-    e = t(spark, sf, "events").select("event_id", "user_id", F.when(F.col("event_id") % 11 > 0, F.floor("value") % 5).alias("topic"), F.col("event_type").alias("stage"), (F.col("event_id") % 13 == 0).alias("is_correction"), "ts")
-    return V.novelty(e, ["user_id", "topic"], _STAGES)
+    return V.novelty(topics(spark, sf), ["user_id", "topic"], STAGES)
 
 
 @query("novelty", f"WITH {_NOV} SELECT event_id, novelty FROM nov")

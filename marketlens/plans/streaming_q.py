@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,9 +11,11 @@ from marketlens.operators import pit
 from marketlens.registry import query
 from marketlens.sources.sink import shared_dir
 from marketlens.streaming import minute as M
+from marketlens.streaming import stateful as S
 
 from .bindings import BARS, DAY, bars, prices, t
-from .events_q import _NOV, novel
+from .events_q import _NOV, STAGES, novel, topics
+from .gates_q import _W, hours
 
 _SCHEMA = "symbol long, ts timestamp, open double, high double, low double, close double, volume long"
 
@@ -106,19 +109,46 @@ def _(spark, sf):
     return M.idempotent_fire(fires.unionByName(fires), done).select("session", "symbol", "ts", F.lit(1).alias("n"))
 
 
-_OBS = "ob AS (SELECT event_id AS seq, user_id AS item_id, CAST(floor(value / 30) AS BIGINT) AS hash, event_id - CASE WHEN event_id % 6 = 0 THEN 400 ELSE 0 END AS ts FROM events)"
+_OBS = "ob AS (SELECT event_id AS seq, user_id AS item_id, ts, CAST(floor(value / 30) AS BIGINT) AS hash, (event_id - CASE WHEN event_id % 6 = 0 THEN 400 ELSE 0 END) // 40 AS seen, CASE WHEN event_id % 9 = 0 THEN 'url:' || user_id WHEN event_id % 50 = 1 THEN 'url:b' END AS url_id FROM events)"
+_OUTCOMES = f"""WITH {_OBS}, a AS (SELECT *, first_value(url_id IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known, row_number() OVER (PARTITION BY item_id ORDER BY ts, seq) AS nth FROM ob),
+b AS (SELECT *, coalesce(url_id <> known, false) AS clash, url_id IS NOT NULL AND known IS NULL AND nth > 1 AS promoted FROM a),
+c AS (SELECT *, max(seen) FILTER (NOT clash) OVER (PARTITION BY item_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM b),
+d AS (SELECT c.*, (SELECT arg_min(x.hash, (x.ts, x.seq)) FROM b x WHERE x.item_id = c.item_id AND NOT x.clash AND x.seen = c.newest AND x.seq < c.seq) AS last FROM c),
+o AS (SELECT *, CASE WHEN nth = 1 THEN 'NEW' WHEN clash THEN 'IDENTITY_CONFLICT' WHEN seen < newest THEN 'STALE' WHEN hash <> last AND seen = newest THEN 'CHECKSUM_CONFLICT' WHEN hash <> last THEN 'CONTENT_CHANGED' WHEN promoted THEN 'ID_PROMOTED' ELSE 'UNCHANGED' END AS observation FROM d)
+SELECT seq, item_id, observation, promoted, CAST(sum(CASE WHEN observation IN ('NEW', 'CONTENT_CHANGED') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY ts, seq) AS INT) AS generation, coalesce(known, url_id, 'item:' || item_id) AS article_id FROM o"""
 
 
-@query(
-    "news_observe",
-    f"""WITH {_OBS}, x AS (SELECT *, max(ts) OVER (PARTITION BY item_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest, arg_max(hash, (ts, seq)) OVER (PARTITION BY item_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM ob),
-    y AS (SELECT *, CASE WHEN newest IS NULL THEN 'NEW' WHEN ts < newest THEN 'STALE' WHEN hash IS NOT DISTINCT FROM last THEN 'UNCHANGED' ELSE 'CONTENT_CHANGED' END AS observation FROM x)
-    SELECT seq, item_id, observation, CAST(sum(CASE WHEN observation IN ('NEW', 'CONTENT_CHANGED') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY seq) AS BIGINT) AS generation FROM y""",
-)
-def _(spark, sf):
+def _observations(spark, sf):
     k = F.col("event_id")
-    o = t(spark, sf, "events").select(k.alias("seq"), F.col("user_id").alias("item_id"), F.floor(F.col("value") / 30).alias("hash"), (k - F.when(k % 6 == 0, 400).otherwise(0)).alias("ts"))
-    return M.news_observe(o).select("seq", "item_id", "observation", "generation")
+    url = F.when(k % 9 == 0, F.concat(F.lit("url:"), F.col("user_id").cast("string"))).when(k % 50 == 1, F.lit("url:b"))
+    seen = F.floor((k - F.when(k % 6 == 0, 400).otherwise(0)) / 40)
+    return t(spark, sf, "events").select(k.alias("seq"), F.col("user_id").alias("item_id"), "ts", F.floor(F.col("value") / 30).alias("hash"), seen.alias("seen"), url.alias("url_id"))
+
+
+def _told(spark, stream, path, schema):
+    """What a stream with state said of all that is there."""
+    with S.rocksdb(spark):
+        M.run_available(stream, path)
+    return spark.read.schema(schema).parquet(f"{path}/data")
+
+
+def _in_turns(spark, df, turns=3):
+    """df as a stream in some three batches that don't follow the rows' times, and the stream's folder."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = _folder(spark, df.repartition(max(n, turns), *df.columns[:1]))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-max(n, turns) // turns)).parquet(f"{path}/in"), path
+
+
+@query("news_observe", _OUTCOMES)
+def _(spark, sf):
+    stream, path = _in_turns(spark, _observations(spark, sf))
+    out = S.stream_news_observe(stream, "60 days")
+    return S.last_revisions(_told(spark, out, path, out.schema), ["item_id", "seq"]).drop("revision")
+
+
+@query("news_observe_batch", _OUTCOMES)
+def _(spark, sf):
+    return M.news_observe(_observations(spark, sf)).select("seq", "item_id", "observation", "promoted", "generation", "article_id")
 
 
 @query(
@@ -130,10 +160,41 @@ def _(spark, sf):
     return M.overlap_poll_dedup(p, p.where("item_id = 13").select("item_id").distinct())
 
 
-@query("thread_events", f"WITH {_NOV} SELECT user_id, topic, min(ts) AS opened_at, max(ts) AS last_state_at, arg_max(event_type, (ts, event_id)) AS current_stage, count(*) AS n_events, count(*) FILTER (novelty = 'FOLLOW_UP_STAGE') AS n_follow_ups FROM nov WHERE topic IS NOT NULL GROUP BY 1, 2")
+_THREADS = f"""WITH {_NOV} SELECT user_id, topic, min(ts) AS opened_at, max(ts) AS last_state_at, arg_min(event_type, (-k, ts, event_id)) FILTER (k > 0) AS current_stage, count(*) AS n_events, count(*) FILTER (novelty = 'FOLLOW_UP_STAGE') AS n_follow_ups FROM nov WHERE topic IS NOT NULL GROUP BY 1, 2"""
+
+
+@query("thread_events", _THREADS)
+def _(spark, sf):
+    e = topics(spark, sf)
+    stream, path = _in_turns(spark, e)
+    out = S.stream_thread_events(stream, ["user_id", "topic"], STAGES, "60 days")
+    said = S.last_revisions(_told(spark, out, path, out.schema), ["user_id", "topic", "event_id"]).join(e.select("event_id", "ts"), "event_id")
+    last = F.max_by(F.struct("current_stage", "prior_count"), F.struct("ts", "event_id"))
+    g = said.groupBy("user_id", "topic").agg(F.timestamp_micros(F.max("opened_at")).alias("opened_at"), F.max("ts").alias("last_state_at"), last.alias("x"), F.count_if(F.col("novelty") == "FOLLOW_UP_STAGE").alias("n_follow_ups"))
+    return g.select("user_id", "topic", "opened_at", "last_state_at", "x.current_stage", (F.col("x.prior_count") + 1).alias("n_events"), "n_follow_ups")
+
+
+@query("thread_events_batch", _THREADS)
 def _(spark, sf):
     n = novel(spark, sf).where("topic IS NOT NULL")
-    return n.groupBy("user_id", "topic").agg(F.min("ts").alias("opened_at"), F.max("ts").alias("last_state_at"), F.max_by("stage", F.struct("ts", "event_id")).alias("current_stage"), F.count("*").alias("n_events"), F.count_if(F.col("novelty") == "FOLLOW_UP_STAGE").alias("n_follow_ups"))
+    rank = F.coalesce(*[F.when(F.col("stage") == s, k) for s, k in STAGES.items()])
+    first = F.min_by(F.when(rank.isNotNull(), F.col("stage")), F.when(rank.isNotNull(), F.struct((-rank).alias("r"), "ts", "event_id")))
+    return n.groupBy("user_id", "topic").agg(F.min("ts").alias("opened_at"), F.max("ts").alias("last_state_at"), first.alias("current_stage"), F.count("*").alias("n_events"), F.count_if(F.col("novelty") == "FOLLOW_UP_STAGE").alias("n_follow_ups"))
+
+
+@query("stream_confirm_missing", f"WITH {_W} SELECT session_id, window_start, CASE WHEN status = 'DUE' THEN 'MISSING' ELSE status END AS status FROM w WHERE window_end <= TIMESTAMP '2024-01-15 00:00:00'")
+def _(spark, sf):
+    # The ledger up to some days after the sessions' end, then the rest, with another word on windows that were missing.
+    end, cut = F.lit(dt.datetime(2024, 1, 15)), F.lit(dt.datetime(2024, 1, 20))
+    w = hours(spark, sf).select("session_id", "window_start", "status", F.col("window_end").alias("scheduled_at"), end.alias("session_end"), F.lit(1).alias("version"), F.col("window_start").alias("ts"))
+    later = w.where(F.col("status") == "DUE").withColumn("status", F.lit("VALID")).withColumn("version", F.lit(2)).withColumn("ts", F.lit(dt.datetime(2024, 1, 25)))
+    path = _folder(spark, w.where(F.col("ts") < cut))
+    first, second = spark.readStream.schema(w.schema).parquet(f"{path}/in"), f"{path}/in"
+    out = S.stream_confirm_missing(first, "3 days")
+    _told(spark, out, path, out.schema)
+    w.where(F.col("ts") >= cut).unionByName(later).write.mode("append").parquet(second)
+    said = _told(spark, out, path, out.schema)
+    return said.select("session_id", F.timestamp_micros("window_start").alias("window_start"), "status")
 
 
 @query("revert_exposure", "WITH r AS (SELECT user_id, max(ts) AS x FROM events WHERE event_type = 'error' AND event_id % 50 = 0 GROUP BY 1) SELECT event_id, CASE WHEN event_type = 'purchase' AND x >= ts THEN 'WITHDRAWN' WHEN event_type = 'purchase' THEN 'PUBLISHED' ELSE 'DRAFT' END AS status FROM events LEFT JOIN r USING (user_id)")
@@ -145,7 +206,5 @@ def _(spark, sf):
 
 @query("nav_minute", "SELECT event_id, CAST(CAST(value AS DECIMAL(24,8)) AS DOUBLE) AS nav FROM events WHERE strftime(ts, '%H%M') = '0930'")
 def _(spark, sf):
-    import datetime as dt
-
     rows = t(spark, sf, "events").select("event_id", F.date_format("ts", "HHmm").alias("label"), F.col("value").alias("nav"))
     return M.nav_minute(rows, dt.datetime(2024, 1, 20, 9, 30)).select("event_id", F.col("nav").cast("double").alias("nav"))

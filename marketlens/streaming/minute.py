@@ -98,17 +98,35 @@ def idempotent_fire(fires: DataFrame, target: DataFrame | None = None, key: Sequ
     return out if target is None else out.join(target.select("trigger_id"), "trigger_id", "left_anti")
 
 
-def news_observe(items: DataFrame, key: str = "item_id", content: str = "hash", ts: str = "ts", tie: str = "seq") -> DataFrame:
-    """Each observation of an item, in order: NEW, UNCHANGED, CONTENT_CHANGED (generation + 1), or STALE (older than the last one)."""
-    w = Window.partitionBy(key).orderBy(tie)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    newest = F.max(ts).over(before)
-    # What was last accepted: the content of the newest observation before this one.
-    last = F.max_by(content, F.struct(ts, tie)).over(before)
-    out = items.withColumn("_newest", newest).withColumn("_last", last)
-    what = F.when(F.col("_newest").isNull(), "NEW").when(F.col(ts) < F.col("_newest"), "STALE").when(F.col(content).eqNullSafe(F.col("_last")), "UNCHANGED").otherwise("CONTENT_CHANGED")
+def news_observe(items: DataFrame, key: str = "item_id", content: str = "hash", seen: str = "seen", url: str = "url_id", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+    """Batch: observation, promoted, generation and article_id of each observation of an item, in order; see stateful.observe().
+
+    An address counts from its first observation on, whatever else that one is, so conflicts follow from it alone; the other
+    outcomes follow from the observations without a conflict.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    out = items.withColumn("_known", F.first(url, ignorenulls=True).over(before)).withColumn("_nth", F.row_number().over(w))
+    clash = F.col(url).isNotNull() & F.col("_known").isNotNull() & (F.col(url) != F.col("_known"))
+    out = out.withColumn("_clash", clash).withColumn("promoted", F.col(url).isNotNull() & F.col("_known").isNull() & (F.col("_nth") > 1))
+    out = out.withColumn("_newest", F.max(F.when(~F.col("_clash"), F.col(seen))).over(before))
+    # What is accepted last: of the newest observations the first, as others of that moment have the same content or conflict.
+    own = Window.partitionBy(key, "_clash", seen).orderBy(*order)
+    out = out.withColumn("_first", F.first(content).over(own)).withColumn("_last", F.max_by("_first", F.when(~F.col("_clash"), F.col(seen))).over(before))
+    changed = ~F.col(content).eqNullSafe(F.col("_last"))
+    what = (
+        F.when(F.col("_nth") == 1, "NEW")
+        .when(F.col("_clash"), "IDENTITY_CONFLICT")
+        .when(F.col(seen) < F.col("_newest"), "STALE")
+        .when(changed & (F.col(seen) == F.col("_newest")), "CHECKSUM_CONFLICT")
+        .when(changed, "CONTENT_CHANGED")
+        .when(F.col("promoted"), "ID_PROMOTED")
+        .otherwise("UNCHANGED")
+    )
     out = out.withColumn("observation", what)
-    return out.withColumn("generation", F.sum(F.col("observation").isin("NEW", "CONTENT_CHANGED").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_newest", "_last")
+    out = out.withColumn("generation", F.sum(F.col("observation").isin("NEW", "CONTENT_CHANGED").cast("int")).over(upto).cast("int"))
+    article = F.coalesce("_known", F.col(url), F.concat(F.lit("item:"), F.col(key).cast("string")))
+    return out.withColumn("article_id", article).drop("_known", "_nth", "_clash", "_newest", "_first", "_last")
 
 
 def overlap_poll_dedup(pages: DataFrame, anchors: DataFrame, key: str = "item_id", content: str = "hash", page: str = "page") -> DataFrame:
