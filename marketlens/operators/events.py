@@ -172,21 +172,6 @@ def tolerance_match(measures: DataFrame, facts: DataFrame, by: str, tol: float =
     return out.withColumn(fact, F.when(F.col("n") == 1, F.col("_f"))).drop("_f", "n")
 
 
-def dictionary_mentions(texts: DataFrame, names: DataFrame, doc: str = "doc_id", text: str = "text", name: str = "name", entity: str = "entity_id", min_len: int = 3) -> DataFrame:
-    """doc and entity for each name of the dictionary that a text holds as a run of whole words. Names of two entities are left out.
-
-    Texts are cut into runs of as many words as names have, and joined with the dictionary by equality; no text meets every name.
-    """
-    clean = F.trim(F.regexp_replace(F.lower(F.col(name)), r"[^\p{L}\p{N}]+", " "))
-    known = names.select(F.col(entity).alias("entity"), clean.alias("name")).where(F.char_length("name") >= min_len).groupBy("name").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("entity")).where("n = 1")
-    sizes = sorted(r[0] for r in known.select(F.size(F.split("name", " "))).distinct().collect())  # a handful of lengths
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    cut = texts.select(F.col(doc).alias("doc"), words.alias("w"))
-    runs = [F.expr(f"CASE WHEN size(w) >= {k} THEN array_distinct(transform(sequence(0, size(w) - {k}), i -> array_join(slice(w, i + 1, {k}), ' '))) ELSE array() END") for k in sizes]
-    grams = cut.select("doc", F.explode(F.concat(*runs)).alias("name")) if runs else cut.select("doc", F.lit("").alias("name")).limit(0)
-    return grams.join(known.select("name", "entity"), "name").select(F.col("doc").alias(doc), F.col("entity").alias(entity)).distinct()
-
-
 def resolve_entities(mentions: DataFrame, entities: DataFrame, mention: str = "mention", name: str = "name", entity: str = "entity_id") -> DataFrame:
     """mentions with entity and status: RESOLVED by exact name with white space normalised, AMBIGUOUS where two entities share it, else UNRESOLVED."""
     norm = lambda c: F.lower(F.regexp_replace(F.trim(F.col(c)), r"\s+", " "))

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marketlens.operators import events as V
+from marketlens.operators import mentions as N
 from marketlens.registry import query
 
 from .bindings import RETURNS, SECTORS, returns, sectors, t
@@ -287,18 +288,20 @@ def _(spark, sf):
 
 @query(
     "dictionary_mentions",
-    r"""WITH n AS (SELECT p_partkey AS e, trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', ' ', 'g')) AS name FROM part), k AS (SELECT name, min(e) AS e FROM n WHERE length(name) >= 3 GROUP BY 1 HAVING count(DISTINCT e) = 1),
-    d AS (SELECT c_custkey, ' ' || lower(p_name) || ' ' AS x FROM customer JOIN part ON p_partkey = c_custkey) SELECT c_custkey AS doc_id, e AS entity_id FROM d JOIN k ON contains(x, ' ' || name || ' ')
-    UNION ALL SELECT 100000 + user_id, user_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id > 1""",
+    """WITH w AS (SELECT unnest(string_split(p_name, ' ')) AS name, p_partkey AS e FROM part), n AS (SELECT name, min(e) AS e FROM w GROUP BY 1 UNION ALL SELECT lower(n_name), 1000000 + n_nationkey FROM nation UNION ALL SELECT 'zed zed' || user_id, 2000000 + user_id FROM events UNION ALL SELECT 'the', 1 UNION ALL SELECT 'the', 2),
+    k AS (SELECT name, min(e) AS e FROM n WHERE length(name) >= 3 GROUP BY 1 HAVING count(DISTINCT e) = 1),
+    d AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS x FROM documents UNION ALL SELECT DISTINCT -user_id, 'the zed zed' || user_id || 'rose' FROM events)
+    SELECT DISTINCT doc_id, e AS entity_id FROM d JOIN k ON contains(x, name)""",
 )
 def _(spark, sf):
-    parts = t(spark, sf, "part")
-    names = parts.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
-    users = t(spark, sf, "events").select("user_id").distinct().where("user_id > 1")
-    names = names.unionByName(users.select(F.col("user_id").alias("entity_id"), F.concat(F.lit("zed zed"), F.col("user_id").cast("string")).alias("name")))
-    texts = t(spark, sf, "customer").join(parts, F.col("c_custkey") == F.col("p_partkey")).select(F.col("c_custkey").alias("doc_id"), F.col("p_name").alias("text"))
-    texts = texts.unionByName(users.select((F.lit(100000) + F.col("user_id")).alias("doc_id"), F.concat(F.lit("the zed, ZED"), F.col("user_id").cast("string"), F.lit(" rose")).alias("text")))
-    return V.dictionary_mentions(texts, names)
+    words = t(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("name"), F.col("p_partkey").alias("entity_id")).groupBy("name").agg(F.min("entity_id").alias("entity_id"))
+    users = t(spark, sf, "events").select("user_id").distinct()
+    nations = t(spark, sf, "nation").select(F.lower("n_name").alias("name"), (F.lit(1000000) + F.col("n_nationkey")).alias("entity_id"))
+    names = words.unionByName(nations).unionByName(users.select(F.concat(F.lit("zed  zed"), F.col("user_id").cast("string")).alias("name"), (F.lit(2000000) + F.col("user_id")).alias("entity_id")))
+    names = names.unionByName(spark.createDataFrame([("the", 1), ("the", 2)], "name string, entity_id long"))
+    # A wide letter, and white space of other kinds.
+    texts = t(spark, sf, "documents").select("doc_id", "text").unionByName(users.select((-F.col("user_id")).alias("doc_id"), F.concat(F.lit("the \t\uff5aed\u3000zed"), F.col("user_id").cast("string"), F.lit("rose")).alias("text")))
+    return N.dictionary_mentions(texts, names)
 
 
 _MEN = "m AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') WHEN 1 THEN 'dup' WHEN 2 THEN ' Unknown  co ' ELSE 'customer#000000007' END AS mention, CASE event_id % 3 WHEN 0 THEN 'issuer' WHEN 1 THEN 'country' ELSE 'theme' END AS role FROM events), k AS (SELECT lower(c_name) AS k, c_custkey AS e FROM customer UNION ALL SELECT 'dup', 1 UNION ALL SELECT 'dup', 2)"
