@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import gap_return, window_return
+from .exact import quantiles
 from .stats import matched_att, slope_ci, stratified_permutation
 
 
@@ -90,7 +91,7 @@ def relation_test(panel: DataFrame, y: str, conditions: Sequence[tuple[str, str,
     """
     rows = panel.where(F.col(y).isNotNull())
     if conditions:
-        bounds = rows.groupBy(*by).agg(*[F.percentile(c, F.lit(share)).alias(f"_b{k}") for k, (c, _, share) in enumerate(conditions)])
+        bounds = quantiles(rows, by, [(f"_b{k}", c, share) for k, (c, _, share) in enumerate(conditions)])
         rows = rows.join(bounds, list(by))
     for k, (c, how, _) in enumerate(conditions):
         rows = rows.where(F.col(c) >= F.col(f"_b{k}") if how == ">=" else F.col(c) <= F.col(f"_b{k}"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ def _automaton(key: str, names: list[str]):
 
 def normalized(texts: pa.Array) -> pa.Array:
     """Unicode NFKC, with white space collapsed."""
-    return pc.binary_join(pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_normalize(texts.cast(pa.string()), form="NFKC"))), " ")
+    return pa.array([None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()) for x in texts.to_pylist()], pa.string())
 
 
 def _normal(df: DataFrame, column: str) -> DataFrame:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import date
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.operators.exact import drawn_sums, quantiles
+from marketlens.sources.sink import written
 
 #: P(a Poisson(1) count is below k) for k from 1.
 POISSON = np.cumsum(np.exp(-1) / np.concatenate(([1.0], np.cumprod(np.arange(1.0, 7.0))))).tolist()
-#: Names that rank_with_ties() ranks, at most.
-MAX_NAMES = 100_000
 
 
 def _key(key: Sequence[str]) -> Column:
@@ -43,7 +44,7 @@ def series_panel(panel: DataFrame, z: str, threshold: float, day: date, order: s
 def dose_response(panel: DataFrame, exposure: str, y: str, cut: float = 0.8, by: Sequence[str] = ("event_type",)) -> DataFrame:
     """Per group: mean of y among rows whose exposure is in the top share (1 - cut) less that of the others. The bound is the exposure's exact percentile."""
     ok = panel.where(F.col(exposure).isNotNull() & F.col(y).isNotNull())
-    bound = ok.groupBy(*by).agg(F.percentile(exposure, F.lit(cut)).alias("_q"))
+    bound = quantiles(ok, by, [("_q", exposure, cut)])
     high = F.col(exposure) > F.col("_q")
     g = ok.join(bound, list(by)).groupBy(*by).agg(F.count_if(high).alias("n_high"), F.count_if(~high).alias("n_low"), F.avg(F.when(high, F.col(y))).alias("_h"), F.avg(F.when(~high, F.col(y))).alias("_l"))
     return g.withColumn("effect", F.col("_h") - F.col("_l")).drop("_h", "_l")
@@ -53,15 +54,14 @@ def stratified_permutation(panel: DataFrame, label: str, y: str, stratum: str, k
     """Per group: mean difference of y between label 1 and 0, and its two-sided p under shuffling labels within strata.
 
     Only rows of strata with both labels count. A draw orders each stratum's rows by a hash and labels the first ones, as
-    many as are labelled. Rows are few columns wide; draws are blown up, then reduced to a sum per draw at once.
+    many as are labelled. A draw's mean difference follows from the sum over those, and the whole.
     """
     ok = panel.where(F.col(label).isNotNull() & F.col(y).isNotNull()).select(*by, stratum, F.col(label).cast("int").alias("_d"), F.col(y).cast("double").alias("_y"), _key(key).alias("_key"))
     n = ok.groupBy(*by, stratum).agg(F.sum("_d").alias("_k"), F.count("*").alias("_n")).where("_k > 0 AND _k < _n")
     rows = ok.join(n, [*by, stratum])
     real = rows.groupBy(*by).agg(F.sum("_d").alias("n_treated"), F.count("*").alias("n"), (F.avg(F.when(F.col("_d") == 1, F.col("_y"))) - F.avg(F.when(F.col("_d") == 0, F.col("_y")))).alias("effect"))
-    drawn = _drawn(rows, perms, seed, 4)
-    nth = F.row_number().over(Window.partitionBy(*by, "_p", stratum).orderBy("_x", "_key"))
-    one = drawn.withColumn("_x", nth <= F.col("_k")).groupBy(*by, "_p").agg((F.avg(F.when(F.col("_x"), F.col("_y"))) - F.avg(F.when(~F.col("_x"), F.col("_y")))).alias("_e"))
+    whole = rows.groupBy(*by).agg(F.sum("_d").alias("_k"), F.count("*").alias("_n"), F.sum("_y").alias("_t"))
+    one = drawn_sums(rows, by, stratum, perms, seed).join(whole, list(by)).withColumn("_e", F.col("_s") / F.col("_k") - (F.col("_t") - F.col("_s")) / (F.col("_n") - F.col("_k")))
     p = one.join(real.select(*by, "effect"), list(by)).groupBy(*by).agg(((F.count_if(F.abs("_e") >= F.abs("effect") - 1e-12) + 1) / (F.lit(perms) + 1)).alias("p_value"))
     return real.join(p, list(by), "left")
 
@@ -170,24 +170,38 @@ def moderator_panel(pairs: DataFrame, moderators: Sequence[str], max_missing: fl
 def rank_with_ties(draws: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
     """Names by mean, with 95 % intervals of their draws; a name whose interval overlaps that of the first of the current rank shares it.
 
-    Which name begins a rank follows from the one before, so names are walked in order: a bounded list (their number is
-    checked), however many draws there are.
+    Which name begins a rank follows from the one before. So names are cut into ranges by mean, and the ranges are walked in
+    order, each in a task of its own: a range takes the rank, and the lower bound that begins it, from the one before.
     """
-    g = draws.groupBy(name).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
-    rows = g.orderBy(F.desc("mean"), name).limit(MAX_NAMES + 1).collect()
-    if len(rows) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names")
-    out, rank, low = [], 0, None
-    for k, r in enumerate(rows, 1):
-        if low is None or r.high < low:
-            rank, low = k, r.low
-        out.append((str(r[name]), rank, r.mean, r.low, r.high))
-    return draws.sparkSession.createDataFrame(out, "name string, rank int, mean double, low double, high double")
+    q = quantiles(draws, [name], [("low", value, 0.025), ("high", value, 0.975)])
+    g = draws.groupBy(name).agg(F.avg(value).alias("mean")).join(q, name).select(F.col(name).cast("string").alias("name"), "mean", "low", "high")
+    order = [F.desc("mean"), F.col("name")]
+    ranged = written(g.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    schema, out, before, rank, head = "name string, rank int, mean double, low double, high double", None, 0, 0, None
+    for r in sorted(ranged.groupBy("_range").count().collect()):  # one row a range
+
+        def walk(batches: Iterator[pa.RecordBatch], before: int = before, rank: int = rank, head: float | None = head) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ranks = []
+                for low, high in zip(batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True):
+                    before += 1
+                    if head is None or high < head:
+                        rank, head = before, low
+                    ranks.append(rank)
+                yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(ranks, pa.int32()), *(batch.column(c) for c in ("mean", "low", "high"))], names=["name", "rank", "mean", "low", "high"])
+
+        own = written(ranged.where(F.col("_range") == r["_range"]).drop("_range").coalesce(1).sortWithinPartitions(*order).mapInArrow(walk, schema))
+        last = own.orderBy(F.desc("rank"), *order).first()  # the first name of the last rank that began, or one that shares an earlier one
+        if rank != last.rank:
+            rank, head = last.rank, last.low
+        before += r["count"]
+        out = own if out is None else out.unionByName(own)
+    return g.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def stability_split(panel: DataFrame, exposure: str, y: str, order: str = "trade_date", by: Sequence[str] = ("event_type",)) -> DataFrame:
     """dose_response() in the halves before and after each group's median date, and whether they agree in sign."""
-    mid = panel.groupBy(*by).agg(F.percentile(F.unix_date(order), F.lit(0.5)).alias("_m"))
+    mid = quantiles(panel.withColumn("_day", F.unix_date(order)), by, [("_m", "_day", 0.5)])
     half = panel.join(mid, list(by)).withColumn("half", F.when(F.unix_date(order) <= F.col("_m"), 1).otherwise(2))
     d = dose_response(half, exposure, y, by=[*by, "half"])
     g = d.groupBy(*by).agg(F.max(F.when(F.col("half") == 1, F.col("effect"))).alias("first"), F.max(F.when(F.col("half") == 2, F.col("effect"))).alias("second"))
