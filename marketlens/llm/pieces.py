@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, written
@@ -35,6 +35,8 @@ SAMPLE = 100_000
 SHORT = 64
 #: Names by which a long unit goes, at most.
 SALTS = 256
+#: Texts whose keys travel with one unit's lattice, at most.
+WHO = 4_096
 #: Units that a task keeps count of, and those that it hands on.
 TASK_UNITS, TASK_HEAD = 200_000, 100_000
 #: Text that is cut into units at once.
@@ -125,19 +127,20 @@ def _tasks(df: DataFrame) -> int:
 
 
 def lattice(found: DataFrame, pieces: Pieces, held: Column | None = None) -> DataFrame:
-    """name, ids (array of int), who for the distinct names of found (name, long): the unit is long, or the name itself if that is null. who: what held, an aggregate, gathers for each name."""
+    """name, ids (array of int), who for the distinct names of found (name, long): the unit is long, or the name itself if that is null. who: what held, an aggregate, gathers for each name, or for each (name, part) where found has part."""
+    by = ["name", *(["part"] if "part" in found.columns else [])]
     longest = max((len(s) for s, *_ in pieces.rows), default=1)
     table = F.broadcast(pieces.table(found.sparkSession))  # a model's pieces: tens of thousands of rows
     # Substrings are taken from windows, and rows carry the name only, so that a long unit costs in proportion to its
     # length; its first substring carries who.
-    unit = found.groupBy("name").agg(F.coalesce(F.max("long"), "name").alias("unit"), (F.lit(None).cast("string") if held is None else held).alias("who"))
-    windows = unit.withColumn("w", F.explode(F.expr(f"sequence(0, char_length(unit) - 1, {SHORT})"))).select("name", "w", F.expr(f"substr(unit, w + 1, {SHORT + longest})").alias("x"), F.expr("IF(w = 0, who, NULL)").alias("who"))
+    unit = found.groupBy(*by).agg(F.coalesce(F.max("long"), "name").alias("unit"), (F.lit(None).cast("string") if held is None else held).alias("who"))
+    windows = unit.withColumn("w", F.explode(F.expr(f"sequence(0, char_length(unit) - 1, {SHORT})"))).select(*by, "w", F.expr(f"substr(unit, w + 1, {SHORT + longest})").alias("x"), F.expr("IF(w = 0, who, NULL)").alias("who"))
     # Places between a window's first SHORT and its end belong to the next one, which begins there.
     starts = windows.withColumn("s", F.explode(F.expr(f"sequence(0, least({SHORT}, char_length(x)) - 1)"))).withColumn("who", F.expr("IF(s = 0, who, NULL)"))
-    substrings = starts.withColumn("n", F.explode(F.expr(f"sequence(1, least({longest}, char_length(x) - s))"))).select("name", (F.col("w") + F.col("s")).alias("s"), "n", F.expr("substr(x, s + 1, n)").alias("surface"), F.expr("IF(n = 1, who, NULL)").alias("who"))
+    substrings = starts.withColumn("n", F.explode(F.expr(f"sequence(1, least({longest}, char_length(x) - s))"))).select(*by, (F.col("w") + F.col("s")).alias("s"), "n", F.expr("substr(x, s + 1, n)").alias("surface"), F.expr("IF(n = 1, who, NULL)").alias("who"))
     edge = F.struct((F.col("s") + F.col("n")).alias("e"), "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(NO_PIECE)).alias("score"), F.when(F.col("id").isNull(), F.col("surface")).alias("b"))
-    edges = substrings.join(table, "surface", "left").where("id IS NOT NULL OR n = 1").select("name", edge.alias("edge"), "who")
-    grouped = edges.groupBy("name").agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.first("who", ignorenulls=True).alias("who"))
+    edges = substrings.join(table, "surface", "left").where("id IS NOT NULL OR n = 1").select(*by, edge.alias("edge"), "who")
+    grouped = edges.groupBy(*by).agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.first("who", ignorenulls=True).alias("who"))
     # done[k]: the last piece of the best path to place k; the other fields are of place e, whose edges come next to one
     # another. Edges come by their end, so what they start from is done.
     last = "struct<score: double, s: int, id: int, b: string>"
@@ -243,8 +246,11 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
                 yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(own.rows)), pa.array(own.numbers, pa.int32()), name, long], names=["key", "k", "name", "long"])
         pa.default_memory_pool().release_unused()
 
-    # One exchange by name brings a unit's texts together; it is rare, as the head has the frequent ones.
+    # One exchange by name brings a unit's texts together; it is rare, as the head has the frequent ones. Those of many
+    # texts go on in parts of bounded size.
     rest = docs.select("text", "key").mapInArrow(others, "key long, k int, name string, long string").repartition(_tasks(docs), "name")
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("key", "k"))
+    rest = rest.withColumn("part", F.floor((nth - 1) / WHO).cast("int"))
     paths = lattice(rest, pieces, F.collect_list(F.struct("key", "k")))
     # An answer is the unit's number in three bytes, and its ids.
     width = 2 if len(pieces.surfaces) <= 1 << 16 else 3

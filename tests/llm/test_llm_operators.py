@@ -531,3 +531,13 @@ def test_empty_tables(spark):
     assert quality.scored(none, quality.Model()).count() == 0
     assert simhash.near_duplicates(none).count() == 0
     assert pieces.encoded(none, model).count() == 0
+
+
+def test_pieces_of_units_in_many_texts(spark, monkeypatch):
+    """A unit outside the head that many texts hold travels in parts."""
+    model = pieces.Pieces.load(model_path("piece_bpe_32k.model"))
+    docs = spark.createDataFrame([(k, f"shared{'é' * (k % 2)} {'q' * 90} own{k}") for k in range(40)], "doc_id long, text string").repartition(3)
+    want = {r.doc_id: r.ids for r in pieces.encoded(docs, model, head=0).collect()}
+    monkeypatch.setattr(pieces, "WHO", 3)
+    got = pieces.encoded(docs, model, head=0, decode=True).collect()
+    assert {r.doc_id: r.ids for r in got} == want and all(r.decoded == r.text for r in got)
