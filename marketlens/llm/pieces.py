@@ -13,6 +13,8 @@ others are sent with the keys of the documents that hold them, and their ids sen
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -121,6 +123,14 @@ class Pieces:
         return spark.createDataFrame(self.rows, "surface string, id int, score double")
 
 
+def _idle() -> None:
+    """At a task's end: its worker stays, and what it doesn't use goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _tasks(df: DataFrame) -> int:
     """Tasks for units, whose lattices are much larger than they are: not to be joined for their small size."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -175,7 +185,7 @@ def frequent(docs: DataFrame, head: int, cut: Cut = _RUNS) -> DataFrame:
                 held = pa.concat_tables([held, more.filter(pc.and_(pc.greater(length, 0), pc.less_equal(length, SHORT)))]).group_by("unit").aggregate([("n", "sum")]).rename_columns(["unit", "n"])
                 held = top(TASK_HEAD) if len(held) > TASK_UNITS else held
         yield from top(TASK_HEAD).to_batches()
-        pa.default_memory_pool().release_unused()  # the worker stays, idle
+        _idle()
 
     docs = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
     counted = written(docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
@@ -244,7 +254,7 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
                     digests = [None if x is None else f"\n{hashlib.blake2b(x.encode(), digest_size=16).hexdigest()}{k}" for x, k in zip(long.to_pylist(), salts, strict=True)]
                     name = pc.coalesce(pa.array(digests, pa.string()), name)
                 yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(own.rows)), pa.array(own.numbers, pa.int32()), name, long], names=["key", "k", "name", "long"])
-        pa.default_memory_pool().release_unused()
+        _idle()
 
     # One exchange by name brings a unit's texts together; it is rare, as the head has the frequent ones. Those of many
     # texts go on in parts of bounded size.
@@ -261,8 +271,9 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
-            for part in blocks(batch, 1):
+            for part in blocks(batch, 1, CUT_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([None if t is None else squeeze(t.encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "key", "packed"])
+        _idle()
 
     # Texts travel compressed.
     held = docs.mapInArrow(packed, "doc_id long, key long, packed binary").join(told, "key", "left").select("doc_id", "packed", "rest")
@@ -288,7 +299,7 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
                 flat = table.take(pa.array(places)).flatten()
                 out = [part.column(0), texts, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(np.diff(ends))]
                 yield pa.RecordBatch.from_arrays([*out, *([_joined(flat, ends, surfaces)] if decode else [])], names=columns)
-        pa.default_memory_pool().release_unused()
+        _idle()
 
     return held.mapInArrow(run, "doc_id long, text string, ids array<int>, n_tokens long" + ", decoded string" * decode)
 

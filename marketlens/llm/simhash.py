@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed, written
+from .common import blocks, written
 
 RADIUS = 3
 #: Fingerprints on which the trees are fitted, at most.
@@ -211,21 +211,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links) for each row of docs.
 
-    Shingles of three words are the operator's: fingerprints within RADIUS are linked. Shingles of five words are those of
-    the near-duplicate stages: rows are linked that share 0.8 of them (see similar), whatever their fingerprints.
+    Fingerprints of shingles of size words are linked within RADIUS. The pipeline's stage goes by shared shingles: see similar.
 
     A null or empty text has fingerprint 0 and is linked as any other. Rows that share an id each get a row. A null id
     stays null and is never a component's id unless no other is there. An empty table gives none. Other columns of
     docs are ignored.
     """
-    if size == 5:
-        from . import similar
-
-        own = keyed(docs.select("doc_id", "text"))
-        rooted = written(similar.groups(own).join(own.select("uid", "doc_id"), "uid"))
-        lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        fps = fingerprints(own.select(F.col("uid").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "uid")
-        return rooted.join(lowest, "root").join(fps, "uid").select("doc_id", "fp", "component_id")
     own = written(fingerprints(docs, size))
     least = written(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
     joined = components(links(least.select("fp")))

@@ -255,7 +255,7 @@ def test_stage_links_all_that_share_four_fifths(spark):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, 5).collect()}
+    got = {x.doc_id: x.component_id for x in similar.near_duplicates(df).collect()}
     assert got == {k: root(k) for k in range(len(rows))}
     kept = [x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
     assert sorted(kept) == sorted({root(k) for k in range(len(rows))})
