@@ -43,12 +43,28 @@ def multi_treatment_flags(events: DataFrame, types: Sequence[str], key: Sequence
     return events.where(F.col(type_col).isin(list(types))).groupBy(*key).agg(*[F.max(F.when(F.col(type_col) == x, 1).otherwise(0)).alias(f"is_{x}") for x in types])
 
 
-def link_edges(arguments: DataFrame, rules: Sequence[tuple[str, str, str]], event: str = "event_id", role: str = "role", entity: str = "entity_id", at: str = "link_date") -> DataFrame:
-    """src, dst, link_type, link_date: entities with the two roles of a rule (role_a, role_b, type) in one event."""
-    a = arguments.select(event, F.col(role).alias("_ra"), F.col(entity).alias("src"), at)
-    b = arguments.select(event, F.col(role).alias("_rb"), F.col(entity).alias("dst"))
-    kind = F.coalesce(*[F.when((F.col("_ra") == x) & (F.col("_rb") == y), t) for x, y, t in rules])
-    return a.join(b, event).where(F.col("src") != F.col("dst")).withColumn("link_type", kind).where("link_type IS NOT NULL").select("src", "dst", "link_type", at).distinct()
+def link_edges(arguments: DataFrame, rules: Sequence[tuple[str, str, str]], event: str = "event_id", role: str = "role", entity: str = "entity_id", at: str = "link_date", *, first: bool = False) -> DataFrame:
+    """src, dst, link_type, link_date: entities with the two roles of a rule (role_a, role_b, type) in one event. With first, the first date of each link only.
+
+    Of rules for the same two roles the first counts. An argument meets those of its event by rule, so pairs without a rule
+    are not formed.
+    """
+    pairs = list({(x, y): t for x, y, t in reversed(rules)}.items())
+
+    def side(n: int, name: str) -> DataFrame:
+        takes = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(roles[n]).alias("role")) for k, (roles, _) in enumerate(pairs)])
+        rows = arguments.select(event, F.col(entity).alias(name), *([at] if n == 0 else []), F.explode(F.filter(takes, lambda x: x["role"] == F.col(role))).alias("_x"))
+        return rows.withColumn("_rule", F.col("_x.k")).drop("_x").distinct()
+
+    kind = F.element_at(F.array(*[F.lit(t) for _, t in pairs]), F.col("_rule") + 1)
+    met = side(0, "src").join(side(1, "dst"), [event, "_rule"]).where(F.col("src") != F.col("dst")).select("src", "dst", kind.alias("link_type"), at)
+    return met.groupBy("src", "dst", "link_type").agg(F.min(at).alias(at)) if first else met.distinct()
+
+
+def _first_links(edges: DataFrame, link_type: str, at: str) -> DataFrame:
+    """src, dst, at: the first date of each pair of a type, in both directions. One aggregation, which combines within tasks first."""
+    own = edges.where(F.col("link_type") == link_type)
+    return own.select("src", "dst", at).union(own.select("dst", "src", at)).groupBy("src", "dst").agg(F.min(at).alias(at))
 
 
 def union_distinct_pairs(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -59,8 +75,7 @@ def union_distinct_pairs(edges: DataFrame, a: str = "src", b: str = "dst") -> Da
 
 def link_indicator(pairs: DataFrame, edges: DataFrame, link_type: str, x: str = "x", y: str = "y", day: str = "d", at: str = "link_date") -> DataFrame:
     """pairs with linked: whether an edge of the type joins x and y, in either direction, by the pair's date. The first such date of each pair decides, so one equi-join does."""
-    both = union_distinct_pairs(edges.where(F.col("link_type") == link_type))
-    first = both.groupBy(F.col("src").alias(x), F.col("dst").alias(y)).agg(F.min(at).alias("_first"))
+    first = _first_links(edges, link_type, at).select(F.col("src").alias(x), F.col("dst").alias(y), F.col(at).alias("_first"))
     return pairs.join(first, [x, y], "left").withColumn("linked", F.coalesce(F.col("_first") <= F.col(day), F.lit(False))).drop("_first")
 
 
@@ -68,7 +83,7 @@ def spillover_treated(events: DataFrame, edges: DataFrame, event_type: str, link
     """(entity, day) of those linked, by that day, to one treated on it, and not treated themselves."""
     hit = events.where(F.col("event_type") == event_type).select(entity, day).distinct()
     # The first date of each pair decides, so a pair linked many times meets its events once.
-    both = union_distinct_pairs(edges.where(F.col("link_type") == link_type)).groupBy("src", "dst").agg(F.min(at).alias(at))
+    both = _first_links(edges, link_type, at)
     near = hit.join(both, hit[entity] == both["src"]).where(F.col(at) <= F.col(day)).select(F.col("dst").alias(entity), day).distinct()
     return near.join(hit, [entity, day], "left_anti")
 

@@ -8,6 +8,10 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.sources.sink import written
+
+#: Rows from which a key may be cut into SEGMENTS in as-of joins; no more than HOT_KEYS are.
+HOT, SEGMENTS, HOT_KEYS = 1_000_000, 64, 10_000
 #: Columns that date a row, the strictest first.
 CLAMP_COLUMNS = ("available_at", "fetched_at", "published_at", "trade_date", "as_of_date", "ts", "event_date")
 
@@ -43,12 +47,26 @@ def as_of_by_key(df: DataFrame, key: Sequence[str], order: Sequence[str | Column
     return latest_by_key(df.where(F.col(known) <= F.lit(as_of)), key, order)
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, take: Sequence[str], *, exact: bool = True, forward: bool = False) -> DataFrame:
+def _segments(both: DataFrame, keys: Sequence[str], hot: int) -> DataFrame | None:
+    """Keys, _bounds: times that cut the rows of each hot key into some SEGMENTS; None without any. Hot: more than `hot` rows, and more than one of HOT_KEYS of all, so they are HOT_KEYS at most."""
+    counts = written(both.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("_n")))
+    least = max(hot, (counts.agg(F.sum("_n")).first()[0] or 0) // HOT_KEYS)
+    many = counts.where(F.col("_n") > least).drop("_n")
+    if not many.limit(1).count():
+        return None
+    grid = [k / SEGMENTS for k in range(1, SEGMENTS)]
+    return written(both.select(*keys, "_t").join(F.broadcast(many), list(keys)).groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_t", grid)).alias("_bounds")))
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, take: Sequence[str], *, exact: bool = True, forward: bool = False, hot: int = HOT) -> DataFrame:
     """left with `take` of the latest right row at or before left_on (forward: the first at or after); left outer.
 
     One shuffle by key: both sides in one frame, ordered by time, the last right row carried along. With exact=False a
     right row of the same time doesn't count. Of right rows with equal key and time, the largest `take` counts (forward:
     the smallest). Null keys match nothing.
+
+    A key with very many rows is cut into segments of time, a task each; the last right row of each segment (forward: the
+    first) is carried into those after it (before it).
     """
     left_cols = left.columns
     mine = F.struct(*[F.col(c) for c in left_cols])
@@ -58,17 +76,41 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str
     b = right.where(F.col(right_on).isNotNull()).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col(right_on).alias("_t"), F.lit(tag_right).alias("_tag"), F.struct(*take).alias("_right"))
     keys = [f"_k{i}" for i in range(len(by))]
     both = a.unionByName(b, allowMissingColumns=True)
+    bounds = _segments(both.select(*keys, "_t"), keys, hot)
     # Rows with a null key match nothing: they are dealt to many tasks.
     spread = F.when(F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull(), F.pmod(F.xxhash64("_t", "_left", "_right"), F.lit(1024))).otherwise(0)
-    order = Window.partitionBy(*keys, spread).orderBy("_t", "_tag", "_right")
+    both = both.withColumn("_spread", spread)
+    place = [*keys, "_spread"]
+    if bounds is not None:
+        segment = F.coalesce(F.size(F.filter("_bounds", lambda x: x <= F.col("_t"))), F.lit(0))
+        cut = lambda df: df.join(F.broadcast(bounds), keys, "left").withColumn("_seg", F.when(F.col("_bounds").isNull(), 0).otherwise(segment))
+        both, place = cut(both).drop("_bounds"), [*place, "_seg"]
+    order = Window.partitionBy(*place).orderBy("_t", "_tag", "_right")
     if forward:
         found = F.first("_right", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
     else:
         found = F.last("_right", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("_found", found)
+    if bounds is not None:
+        out = out.join(_carried(cut(b).where("_bounds IS NOT NULL"), keys, forward), place, "left").withColumn("_found", F.coalesce("_found", "_carry"))
     ok = F.lit(True)
     for k in keys:
         ok = ok & F.col(k).isNotNull()
-    return both.withColumn("_found", F.when(ok & F.col("_t").isNotNull(), found)).where("_left IS NOT NULL").select("_left.*", *[F.col("_found")[c].alias(c) for c in take])
+    return out.withColumn("_found", F.when(ok & F.col("_t").isNotNull(), F.col("_found"))).where("_left IS NOT NULL").select("_left.*", *[F.col("_found")[c].alias(c) for c in take])
+
+
+def _carried(b: DataFrame, keys: Sequence[str], forward: bool) -> DataFrame:
+    """keys, _spread, _seg, _carry: what comes into each segment of a hot key: the last right row of the segments before it (forward: the first of those after it). SEGMENTS rows a hot key."""
+    edge = F.struct("_t", "_right")
+    own = b.groupBy(*keys, "_seg").agg((F.min_by("_right", edge) if forward else F.max_by("_right", edge)).alias("_carry"))
+    w = Window.partitionBy(*keys).orderBy("_seg")
+    if forward:
+        reach = F.sequence(F.coalesce(F.lag("_seg").over(w), F.lit(0)), F.col("_seg") - 1)
+        own = own.where("_seg > 0")
+    else:
+        reach = F.sequence(F.col("_seg") + 1, F.coalesce(F.lead("_seg").over(w), F.lit(SEGMENTS)))
+        own = own.where(F.col("_seg") < SEGMENTS)
+    return own.withColumn("_reach", reach).select(*keys, F.lit(0).cast("long").alias("_spread"), F.explode("_reach").alias("_seg"), "_carry")
 
 
 def asof_join_backward(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, take: Sequence[str], allow_exact: bool = True) -> DataFrame:

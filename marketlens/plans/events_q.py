@@ -69,7 +69,8 @@ def _treated(spark, sf):
     SELECT DISTINCT dst AS entity_id, d FROM hit JOIN both_ ON src = entity_id WHERE link_date <= d AND (dst, d) NOT IN (SELECT (entity_id, d) FROM hit)""",
 )
 def _(spark, sf):
-    return V.spillover_treated(_treated(spark, sf), _edges(spark, sf), "R", "PARTNERSHIP")
+    links = V.link_edges(_args(spark, sf), [("supplier", "supplier", "PARTNERSHIP")], first=True)
+    return V.spillover_treated(_treated(spark, sf), links, "R", "PARTNERSHIP")
 
 
 @query("typed_hop", f"WITH {_EDGES} SELECT DISTINCT dst AS entity_id FROM edges WHERE link_type = 'SUPPLY_CHAIN' AND src IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 9000)")
@@ -135,13 +136,14 @@ def _(spark, sf):
 
 @query(
     "relation_panel",
-    f"""WITH {RETURNS}, e AS (SELECT DISTINCT symbol AS x, trade_date AS d FROM returns WHERE symbol % 30 = 0), lk AS (SELECT a.symbol AS src, a.symbol + 1 AS dst, min(trade_date) + 10 AS link_date FROM returns a GROUP BY 1, 2)
+    f"""WITH {RETURNS}, e AS (SELECT DISTINCT user_id AS x, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'error' AND value > 250), lk AS (SELECT a.symbol AS src, a.symbol + 1 AS dst, min(trade_date) + 10 AS link_date FROM returns a GROUP BY 1, 2)
     SELECT x, symbol AS y, d, EXISTS (SELECT 1 FROM lk WHERE link_date <= d AND ((src = x AND dst = symbol) OR (src = symbol AND dst = x))) AS linked FROM e JOIN returns ON trade_date = d WHERE x <> symbol""",
 )
 def _(spark, sf):
     p = returns(spark, sf).select("symbol", "trade_date")
     edges = p.groupBy(F.col("symbol").alias("src"), (F.col("symbol") + 1).alias("dst")).agg(F.date_add(F.min("trade_date"), 10).alias("link_date"))
-    return V.relation_panel(p, p.where("symbol % 30 = 0"), edges).select("x", "y", "d", "linked")
+    large = t(spark, sf, "events").where("event_type = 'error' AND value > 250").select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("trade_date"))
+    return V.relation_panel(p, large, edges).select("x", "y", "d", "linked")
 
 
 @query("lineage_exists", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7))) AS used FROM customer")

@@ -194,6 +194,12 @@ def _(spark, sf):
     return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(lr, 9).alias("lr"), F.round(S.pct_of_log(lr / 10), 7).alias("pct"))
 
 
+@query("pct_of_log", "SELECT event_id, round(exp(ln(1 + value)) - 1, 6) AS pct FROM events WHERE value >= 0")
+def _(spark, sf):
+    e = t(spark, sf, "events").where("value >= 0")
+    return e.select("event_id", F.round(S.pct_of_log(F.log1p("value")), 6).alias("pct"))
+
+
 @query("revision", "WITH c AS (SELECT c_custkey, c_acctbal - 3000 AS a, c_custkey % 100 - 50.0 AS b FROM customer) SELECT c_custkey, round(CASE WHEN a > 0 AND b > 0 THEN ln(a / b) WHEN b <> 0 THEN (a - b) / abs(b) END, 6) AS rev FROM c")
 def _(spark, sf):
     return t(spark, sf, "customer").select("c_custkey", F.round(S.revision(F.col("c_acctbal") - 3000, F.col("c_custkey") % 100 - F.lit(50.0)), 6).alias("rev"))

@@ -93,10 +93,10 @@ def _(spark, sf):
     return scan.source_frontier(t(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")), t(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("d")), "d")
 
 
-@query("load_dimension_snapshot", "SELECT upper(trim(n_name)) AS n_name, min(n_regionkey) AS n_regionkey, DATE '2024-01-20' AS as_of_date FROM nation WHERE n_nationkey % 5 > 0 GROUP BY 1")
+@query("load_dimension_snapshot", "SELECT upper(trim(o_orderpriority)) AS priority, o_custkey, o_orderkey, DATE '2024-01-20' AS as_of_date FROM orders WHERE o_orderpriority <> '5-LOW' QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey, o_orderkey) = 1")
 def _(spark, sf):
-    n = t(spark, sf, "nation").select(F.when(F.col("n_nationkey") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), F.lower("n_name"))).alias("n_name"), "n_regionkey")
-    return scan.load_dimension_snapshot(n, "n_name", DAY)
+    priority = F.when(F.col("o_orderpriority") == "5-LOW", "  ").otherwise(F.concat(F.lit(" "), F.lower("o_orderpriority"))).alias("priority")
+    return scan.load_dimension_snapshot(t(spark, sf, "orders").select("o_custkey", priority, "o_orderkey"), "priority", DAY)
 
 
 @query("gate_partial_landing", "SELECT count(DISTINCT user_id) AS symbols, count(*) FILTER (user_id = 7) > 0 AS has_proxy, count(DISTINCT user_id) >= 50 AND count(*) FILTER (user_id = 7) > 0 AS landed FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-20' AND event_type IS DISTINCT FROM 'error'")

@@ -9,11 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
 ORACLE: dict[str, str] = {}
-#: Tables an operator needs: name -> least rows; see available().
-NEEDS: dict[str, dict[str, int]] = {}
 
 
-def query(name: str, sql: str | None = None, needs: dict[str, int] | None = None) -> Callable[[Build], Build]:
+def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
     """Registers a function (spark, sf_dir) -> DataFrame. A name stands once."""
 
     def put(f: Build) -> Build:
@@ -22,16 +20,6 @@ def query(name: str, sql: str | None = None, needs: dict[str, int] | None = None
         QUERIES[name] = f
         if sql:
             ORACLE[name] = sql
-        if needs:
-            NEEDS[name] = needs
         return f
 
     return put
-
-
-def available(spark: SparkSession, sf_dir: str, name: str) -> bool:
-    """Whether the tables a query needs have rows enough; counting stops at the need."""
-    for table, rows in NEEDS.get(name, {}).items():
-        if spark.read.parquet(f"{sf_dir}/{table}.parquet").limit(rows).count() < rows:
-            return False
-    return True

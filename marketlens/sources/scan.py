@@ -67,7 +67,7 @@ def scan_or_empty(spark: SparkSession, candidates: Sequence[str], schema: Struct
 def coverage_report(sources: Mapping[str, tuple[DataFrame, str]], needs: Mapping[str, tuple[int, int]]) -> DataFrame:
     """Per source: rows and days, counted up to its needs only, first and last day, and what is missing.
 
-    needs: source -> (rows, days). Counting stops at the need, so a large source costs no more than a small one.
+    needs: source -> (rows, days). Counting stops at the need; the first and last day take a scan of the day's column.
     """
     out = None
     for name, (df, day) in sources.items():
@@ -91,10 +91,10 @@ def source_frontier(a: DataFrame, b: DataFrame, day: str) -> DataFrame:
 
 
 def load_dimension_snapshot(df: DataFrame, key: str, as_of: date) -> DataFrame:
-    """A dated list as a dimension: keys trimmed and upper-cased, blank ones dropped, one row each, stamped as_of."""
+    """A dated list as a dimension: keys trimmed and upper-cased, blank ones dropped, one row each, stamped as_of. Of several rows of a key the least stays, whole, by its other columns in their order (nulls first)."""
     k = F.upper(F.trim(F.col(key).cast("string")))
     rest = [c for c in df.columns if c != key]
-    return df.withColumn(key, k).where(F.col(key) != "").groupBy(key).agg(*[F.min(c).alias(c) for c in rest]).withColumn("as_of_date", F.lit(as_of))
+    return df.withColumn(key, k).where(F.col(key) != "").groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*", F.lit(as_of).alias("as_of_date"))
 
 
 def gate_partial_landing(bars: DataFrame, day: date, min_symbols: int, proxy: object, exclude_vendor: str, symbol: str = "symbol", day_col: str = "trade_date", vendor: str = "vendor") -> DataFrame:

@@ -68,3 +68,20 @@ def test_ranks_over_ranges(spark):
     assert {x.name: x["rank"] for x in stats.rank_with_ties(df).collect()} == want
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert stats.rank_with_ties(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("exact_", [True, False])
+def test_as_of_joins_of_hot_keys(spark, forward, exact_):
+    """A key cut into segments of time gives what it gives whole, and its rows go to many tasks."""
+    from marketlens.operators import pit
+
+    r = random.Random(9)
+    key = lambda: r.choice(["hot"] * 8 + ["warm", "cold", None])
+    left = spark.createDataFrame([(k, key(), r.choice([None, *range(300)])) for k in range(900)], "id long, k string, t long").repartition(3)
+    right = spark.createDataFrame([(key(), r.randint(-20, 320), r.choice([None, "x", "y"])) for _ in range(150)] + [("hot", 100, "z")] * 40, "k string, u long, v string").repartition(3)
+    found = {hot: [tuple(x) for x in pit.asof_join(left, right, ["k"], "t", "u", ["u", "v"], exact=exact_, forward=forward, hot=hot).collect()] for hot in (10**6, 5)}
+    key = lambda x: tuple(map(str, x))
+    assert sorted(found[5], key=key) == sorted(found[10**6], key=key) and any(x[3] is not None for x in found[5])
+    plan = pit.asof_join(left, right, ["k"], "t", "u", ["u", "v"], hot=5)._jdf.queryExecution().toString()
+    assert "_seg" in plan

@@ -25,9 +25,3 @@ def test_entry(spark, sf):
 def test_names_stand_once():
     with pytest.raises(ValueError):
         registry.query("daily_returns")(lambda spark, sf: None)
-
-
-def test_availability_follows_needs(spark, sf):
-    registry.NEEDS["needs_many"] = {"region": 10**9}
-    assert not registry.available(spark, sf, "needs_many")
-    assert registry.available(spark, sf, "daily_returns")
