@@ -42,7 +42,7 @@ WHO = 4_096
 #: Units that a task keeps count of, and those that it hands on.
 TASK_UNITS, TASK_HEAD = 200_000, 100_000
 #: Text that is cut into units at once.
-CUT_BYTES = 1 << 20
+CUT_BYTES = 2 << 20
 #: The score of a character without a piece: below that of any path over the model's ordinary pieces.
 NO_PIECE = -1e8
 
