@@ -35,11 +35,31 @@ def fund_decomposition(holdings: DataFrame, returns: DataFrame, value: str = "r"
     )
 
 
-def portfolio_overlap(holdings: DataFrame, fund: str = "fund", member: str = "constituent", weight: str = "weight") -> DataFrame:
-    """fund_a < fund_b, overlap: the sum of the lesser weights of common members. Joined by member: work goes with common holdings."""
-    a = holdings.select(F.col(fund).alias("fund_a"), member, F.col(weight).alias("_wa"))
-    b = holdings.select(F.col(fund).alias("fund_b"), member, F.col(weight).alias("_wb"))
-    return a.join(b, member).where("fund_a < fund_b").groupBy("fund_a", "fund_b").agg(F.sum(F.least("_wa", "_wb")).alias("overlap"), F.count("*").alias("common"))
+def portfolio_overlap(holdings: DataFrame, fund: str = "fund", member: str = "constituent", weight: str = "weight", least: float = 0.0) -> DataFrame:
+    """fund_a < fund_b, overlap: the sum of the lesser weights of common members, common: their number; pairs of an overlap of at least `least`.
+
+    A member stands once in a fund; weights aren't negative. With least above 0, members are put in one order, rarest first,
+    and a fund is found only by its prefix: those members after which weights of less than `least` follow. Two funds that
+    overlap enough have their first common member in both prefixes. What that member and the lesser of the two rests can
+    add up to is checked, too, before holdings are compared. So a member that all funds hold forms no pairs.
+    """
+    h = holdings.select(F.col(fund).alias("fund"), F.col(member).alias("m"), F.col(weight).alias("w")).where("fund IS NOT NULL AND m IS NOT NULL AND w IS NOT NULL")
+    a, b = h.toDF("fund_a", "m", "_wa"), h.toDF("fund_b", "m", "_wb")
+    if least <= 0:
+        both = a.join(b, "m").where("fund_a < fund_b")
+    else:
+        near = least - 1e-9  # sums in another order differ a little
+        order = [F.col("n"), F.col("m")]
+        ranked = h.join(h.groupBy("m").agg(F.count("*").alias("n")), "m")
+        rest = F.sum("w").over(Window.partitionBy("fund").orderBy(F.desc("n"), F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
+        prefix = ranked.withColumn("rest", rest).where((F.col("rest") + F.col("w") >= near) & (F.col("w") > 0))
+        one, two = (prefix.select(F.col("fund").alias(f"fund_{x}"), "m", "n", F.col("w").alias(f"_w{x}"), F.col("rest").alias(f"_r{x}")) for x in "ab")
+        met = one.join(two, ["m", "n"]).where("fund_a < fund_b")
+        most = F.least("_wa", "_wb") + F.least("_ra", "_rb")
+        pairs = met.groupBy("fund_a", "fund_b").agg(F.min_by(most, F.struct(*order)).alias("_most")).where(F.col("_most") >= near).select("fund_a", "fund_b")
+        both = pairs.join(a, "fund_a").join(b, ["fund_b", "m"])
+    found = both.groupBy("fund_a", "fund_b").agg(F.sum(F.least("_wa", "_wb")).alias("overlap"), F.count("*").alias("common"))
+    return found.where(F.col("overlap") >= least) if least > 0 else found
 
 
 def layer_accounting(fund_returns: DataFrame, market_return: DataFrame, candidates: DataFrame, overlaps: DataFrame, betas: DataFrame, twin: float = 0.9, alien: float = 0.05, fund: str = "fund") -> DataFrame:

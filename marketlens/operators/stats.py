@@ -347,35 +347,3 @@ def local_level_em(bars: DataFrame, rounds: int = 20, key: str = "symbol", day:
 
     kind = dict(bars.dtypes)
     return bars.select(key, day, ts, price).groupBy(key, day).applyInPandas(fit, f"{key} {kind[key]}, {day} {kind[day]}, q double, h double, n long")
-
-
-def kalman_beta(rows: DataFrame, q: float, h: float, key: str = "symbol", order: str = "trade_date", y: str = "y", x: str = "x") -> DataFrame:
-    """Per symbol: the path of a time-varying slope of y on x (random walk of variance q, noise h), filtered in order by a fold over the sorted rows; with each row's contribution beta x."""
-    sorted_rows = rows.where(F.col(y).isNotNull() & F.col(x).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")))).alias("l"))
-    step = f"""aggregate(l, named_struct('b', 0D, 'p', 1D, 'out', cast(array() AS array<struct<t: {dict(rows.dtypes)[order]}, beta: double, contribution: double>>)),
-        (a, v) -> named_struct('b', a.b + (a.p + {q}D) * v.x / ((a.p + {q}D) * v.x * v.x + {h}D) * (v.y - a.b * v.x), 'p', (a.p + {q}D) * {h}D / ((a.p + {q}D) * v.x * v.x + {h}D),
-            'out', array_append(a.out, named_struct('t', v.t, 'beta', a.b + (a.p + {q}D) * v.x / ((a.p + {q}D) * v.x * v.x + {h}D) * (v.y - a.b * v.x),
-                'contribution', v.x * (a.b + (a.p + {q}D) * v.x / ((a.p + {q}D) * v.x * v.x + {h}D) * (v.y - a.b * v.x))))), a -> a.out)"""
-    return sorted_rows.select(key, F.explode(F.expr(step)).alias("x")).select(key, F.col("x.t").alias(order), "x.beta", "x.contribution")
-
-
-def correlation_clusters(correlations: DataFrame, k: int, min_size: int, rho: str = "rho") -> DataFrame:
-    """id, cluster: keys clustered by power iteration over positive correlations; clusters below min_size have label -1."""
-    from pyspark.ml.clustering import PowerIterationClustering
-
-    edges = correlations.where(F.col(rho) > 0).select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"), F.col(rho).alias("w"))
-    found = PowerIterationClustering(k=k, maxIter=20, weightCol="w", srcCol="src", dstCol="dst").assignClusters(edges)
-    size = found.groupBy("cluster").agg(F.count("*").alias("_n"))
-    return found.join(size, "cluster").select("id", F.when(F.col("_n") >= min_size, F.col("cluster")).otherwise(-1).alias("cluster"))
-
-
-def spectrum_noise(vectors: DataFrame, k: int, column: str = "features") -> DataFrame:
-    """The k largest eigenvalues of the standardised vectors' correlation, against the Marchenko-Pastur bound for noise. vectors: a row a day."""
-    from pyspark.ml.feature import PCA, StandardScaler
-
-    scaled = StandardScaler(withMean=True, withStd=True, inputCol=column, outputCol="_z").fit(vectors).transform(vectors)
-    n, p = vectors.count(), len(vectors.first()[column])
-    share = PCA(k=k, inputCol="_z", outputCol="_c").fit(scaled).explainedVariance.toArray()
-    bound = (1 + (p / n) ** 0.5) ** 2
-    rows = [(i, float(s * p), float(bound), bool(s * p > bound)) for i, s in enumerate(share)]
-    return vectors.sparkSession.createDataFrame(rows, "nth int, eigenvalue double, noise_bound double, is_signal boolean")

@@ -59,6 +59,11 @@ def _(spark, sf):
     return _r(U.portfolio_overlap(_hold(spark, sf)), "overlap")
 
 
+@query("portfolio_overlap_bound", f"WITH {_H} SELECT a.fund AS fund_a, b.fund AS fund_b, round(sum(least(a.weight, b.weight)), 9) AS overlap, count(*) AS common FROM hold a JOIN hold b USING (constituent) WHERE a.fund < b.fund GROUP BY 1, 2 HAVING sum(least(a.weight, b.weight)) >= 0.2")
+def _(spark, sf):
+    return _r(U.portfolio_overlap(written(_hold(spark, sf)), least=0.2), "overlap")
+
+
 _LAYERS = f"""{_H}, {_R}, px AS (SELECT fund, sum(weight * r) / sum(weight) FILTER (r IS NOT NULL) AS fund_return FROM hold LEFT JOIN ret USING (constituent) GROUP BY 1),
 ov AS (SELECT a.fund, b.fund AS sector_fund, sum(least(a.weight, b.weight)) AS overlap FROM hold a JOIN hold b USING (constituent) WHERE a.fund <> b.fund GROUP BY 1, 2),
 best AS (SELECT ov.fund, sector_fund, p.fund_return AS sector_return FROM ov JOIN px p ON p.fund = sector_fund WHERE overlap <= 0.9 AND overlap >= 0.05 QUALIFY row_number() OVER (PARTITION BY ov.fund ORDER BY round(overlap, 12) DESC, sector_fund) = 1),
@@ -75,7 +80,7 @@ def _inputs(spark, sf):
 def _layers(spark, sf, inputs=None):
     h, r = inputs or _inputs(spark, sf)
     own = U.weighted_proxy(h, r).select("fund", F.col("proxy").alias("fund_return"))
-    o = U.portfolio_overlap(h).withColumn("overlap", F.round("overlap", 12))
+    o = U.portfolio_overlap(h, least=0.05 - 1e-9).withColumn("overlap", F.round("overlap", 12))  # what the layers can use
     overlaps = o.select(F.col("fund_a").alias("fund"), F.col("fund_b").alias("sector_fund"), "overlap").union(o.select("fund_b", "fund_a", "overlap"))
     cand = overlaps.select("fund", "sector_fund").join(own.select(F.col("fund").alias("sector_fund"), F.col("fund_return").alias("sector_return")), "sector_fund")
     betas = own.select("fund", F.lit(0.9).alias("beta_market"), F.lit(0.5).alias("beta_sector"))

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from marketlens.operators import funds as U
 from marketlens.operators import panel as P
+from marketlens.operators import slopes as K
+from marketlens.operators import spectrum as N
 from marketlens.operators import stats as S
+from marketlens.operators import trees as T
 from marketlens.registry import query
+from marketlens.sources.sink import written
 
 from .bindings import DAY, MIN_N, RETURNS, SECTORS, prices, returns, sectors, t
 from .events_q import MATCH, matched
@@ -263,21 +267,72 @@ def _(spark, sf):
     return S.local_level_em(b).withColumns({c: F.round(c, 6) for c in ("q", "h")})
 
 
-@query("kalman_beta")
+@query(
+    "kalman_beta",
+    f"""WITH RECURSIVE {RETURNS}, o AS (SELECT symbol, trade_date, r AS y, market_mean AS x, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS k FROM returns JOIN market USING (trade_date) WHERE r IS NOT NULL),
+    f AS (SELECT symbol, trade_date, k, x, 1.01 * x / (1.01 * x * x + 0.1) * y AS b, 1.01 * 0.1 / (1.01 * x * x + 0.1) AS p FROM o WHERE k = 1
+        UNION ALL SELECT o.symbol, o.trade_date, o.k, o.x, f.b + (f.p + 0.01) * o.x / ((f.p + 0.01) * o.x * o.x + 0.1) * (o.y - f.b * o.x), (f.p + 0.01) * 0.1 / ((f.p + 0.01) * o.x * o.x + 0.1) FROM f JOIN o ON o.symbol = f.symbol AND o.k = f.k + 1)
+    SELECT symbol, trade_date, round(b, 6) AS beta, round(b * x, 6) AS contribution FROM f""",
+)
 def _(spark, sf):
     r = P.daily_returns(prices(spark, sf))
     m = P.cross_section_mean(r, min_n=1).select("trade_date", F.col("market_mean").alias("x"))
-    return S.kalman_beta(r.join(m, "trade_date").withColumnRenamed("r", "y"), 0.01, 0.1).withColumns({c: F.round(c, 6) for c in ("beta", "contribution")})
+    return _r(K.kalman_beta(r.join(m, "trade_date").withColumnRenamed("r", "y"), 0.01, 0.1), "beta", "contribution")
+
+
+def _session_returns(spark, sf):
+    """Daily log returns of symbols, of the market and of symbols' sectors, in sessions of a week."""
+    r = P.daily_returns(prices(spark, sf)).withColumn("lr", F.log(F.col("r") + 1)).join(sectors(spark, sf).select("symbol", "sector"), "symbol").where("lr IS NOT NULL")
+    m = r.groupBy("trade_date").agg(F.avg("lr").alias("market"))
+    s = r.groupBy("trade_date", "sector").agg(F.avg("lr").alias("s"))
+    return r.join(m, "trade_date").join(s, ["trade_date", "sector"]).select("symbol", F.to_date(F.date_trunc("week", "trade_date")).alias("session"), "trade_date", F.col("lr").alias("y"), "market", F.col("s").alias("sector"))
+
+
+@query(
+    "kalman_beta_sector",
+    f"""WITH RECURSIVE {RETURNS}, {SECTORS}, l AS (SELECT symbol, sector, trade_date, ln(r + 1) AS y FROM returns JOIN sectors USING (symbol) WHERE ln(r + 1) IS NOT NULL),
+    z AS (SELECT symbol, CAST(date_trunc('week', trade_date) AS DATE) AS session, trade_date, y, avg(y) OVER (PARTITION BY trade_date) AS m, avg(y) OVER (PARTITION BY trade_date, sector) AS s FROM l),
+    g AS (SELECT symbol, session, count(*) AS n, var_samp(m) AS vm, sum(y * y) AS yy, sum(m * m) AS mm, sum(s * s) AS ss, sum(y * m) AS ym, sum(y * s) AS ys, sum(m * s) AS ms FROM z GROUP BY 1, 2),
+    p0 AS (SELECT *, ms / mm AS gamma, ss - ms / mm * ms AS oo FROM g), p1 AS (SELECT *, ym / mm AS bm, (ys - gamma * ym) / oo AS bs FROM p0 WHERE oo > 1e-12 * ss),
+    d AS (SELECT symbol, CAST(date_trunc('week', trade_date) AS DATE) AS session, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol, date_trunc('week', trade_date) ORDER BY trade_date) AS d FROM prices),
+    v AS (SELECT symbol, session, greatest(var_pop(d) / 2, 1e-10) AS q FROM d GROUP BY 1, 2 HAVING count(*) > 2),
+    p2 AS (SELECT symbol, session, gamma, bm, bs, n, vm, greatest(yy - bm * bm * mm - bs * bs * oo, 0) / greatest(n - 2, 1) AS e, mm, oo, greatest(q - bm * bm * vm, 0.1 * q) + 2 * q AS h FROM p1 JOIN v USING (symbol, session) WHERE n >= 4),
+    nx AS (SELECT symbol, session, lead(session) OVER (PARTITION BY symbol ORDER BY session) AS nxt FROM g),
+    pr AS (SELECT p2.symbol, nxt AS session, gamma, bm, bs, e / mm AS pm, e / oo AS ps, h / (vm * n * n) AS q, h FROM p2 JOIN nx USING (symbol, session) WHERE nxt IS NOT NULL),
+    x AS (SELECT z.symbol, z.session, trade_date, y, m, s - gamma * m AS o, bm, bs, pm, ps, q, h, row_number() OVER (PARTITION BY z.symbol, z.session ORDER BY trade_date) AS k FROM z JOIN pr ON z.symbol = pr.symbol AND z.session = pr.session),
+    f AS (SELECT symbol, session, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS o, bm AS a, bs AS b, pm AS p, CAST(0 AS DOUBLE) AS c, ps AS r FROM x WHERE k = 1
+        UNION ALL SELECT symbol, session, k, m, o, a + (p * m + c * o) / t * (y - a * m - b * o), b + (c * m + r * o) / t * (y - a * m - b * o), p - (p * m + c * o) * (p * m + c * o) / t, c - (p * m + c * o) * (c * m + r * o) / t, r - (c * m + r * o) * (c * m + r * o) / t
+        FROM (SELECT *, m * (p * m + c * o) + o * (c * m + r * o) + h AS t FROM (SELECT x.symbol, x.session, x.k, x.m, x.o, x.y, x.h, f.a, f.b, f.p + x.q AS p, f.c, f.r + x.q AS r FROM f JOIN x ON x.symbol = f.symbol AND x.session = f.session AND x.k = f.k + 1)))
+    SELECT symbol, session, count(*) AS n, round(sum(a * m), 5) AS market_contribution, round(1.96 * sqrt(sum(p * m * m)), 5) AS market_ci, round(sum(b * o), 5) AS sector_contribution, round(1.96 * sqrt(sum(r * o * o)), 5) AS sector_ci FROM f WHERE k > 0 GROUP BY 1, 2 HAVING count(*) >= 3""",
+)
+def _(spark, sf):
+    rows = written(_session_returns(spark, sf))
+    closes = prices(spark, sf).withColumn("session", F.to_date(F.date_trunc("week", "trade_date")))
+    variances = S.local_level_em(closes, rounds=0, day="session", ts="trade_date")
+    paths = K.two_factor_beta(rows, written(K.session_priors(rows, variances, 4)), order="trade_date")
+    names = ["market_contribution", "market_ci", "sector_contribution", "sector_ci"]
+    return _r(K.path_contributions(paths).select("symbol", "session", "n", *names), *names, n=5)
 
 
 @query("correlation_clusters")
 def _(spark, sf):
     v = t(spark, sf, "embeddings").select(F.col("vec_id").alias("symbol"), F.posexplode("embedding").alias("trade_date", "r"))
-    return S.correlation_clusters(S.return_correlation(v, 10), 4, 3)
+    return T.correlation_clusters(S.return_correlation(v, 10), 4, 3)
 
 
 @query("spectrum_noise")
 def _(spark, sf):
-    from pyspark.ml.functions import array_to_vector
+    return N.spectrum_noise(t(spark, sf, "embeddings"), 5, "embedding").withColumn("eigenvalue", F.round("eigenvalue", 4))
+
 
-    return S.spectrum_noise(t(spark, sf, "embeddings").select(array_to_vector("embedding").alias("features")), 5).withColumn("eigenvalue", F.round("eigenvalue", 4))
+@query(
+    "spectrum_shrinkage",
+    """WITH r AS (SELECT row_number() OVER () AS i, embedding FROM embeddings WHERE embedding IS NOT NULL), x AS (SELECT i, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS j FROM r),
+    s AS (SELECT i, j, coalesce((v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0), 0) AS z FROM x WINDOW w AS (PARTITION BY j)),
+    k AS (SELECT count(DISTINCT i) AS n, count(DISTINCT j) AS p, sum(z * z) AS t FROM s), c AS (SELECT a.j AS a, b.j AS b, sum(a.z * b.z) AS c FROM s a JOIN s b USING (i) GROUP BY 1, 2),
+    g AS (SELECT sum(c * c) AS s, sum(c * c) FILTER (a = b) AS d FROM c), f AS (SELECT sum(q * q) AS f FROM (SELECT sum(z * z) AS q FROM s GROUP BY i)),
+    o AS (SELECT n, p, least((f / n - s / n / n) / n, s / n / n - t * t / n / n / p) / (s / n / n - t * t / n / n / p) AS share, (s - d) / n / n / (p * (p - 1)) AS raw FROM k, g, f)
+    SELECT n, p, round(share, 6) AS shrinkage, round(raw, 8) AS raw, round(raw * (1 - share) * (1 - share), 8) AS shrunk FROM o""",
+)
+def _(spark, sf):
+    return _r(_r(N.shrinkage(t(spark, sf, "embeddings"), "embedding"), "shrinkage"), "raw", "shrunk", n=8)

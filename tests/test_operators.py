@@ -152,18 +152,6 @@ def test_multi_att_recovers_coefficients(spark):
     assert abs(got["a"] - 2) < 1e-9 and abs(got["b"] + 1.5) < 1e-9
 
 
-def test_kalman_follows_a_constant_slope(spark):
-    r = spark.range(300).select(F.lit("s").alias("symbol"), F.col("id").alias("t"), F.sin(F.col("id")).alias("x")).withColumn("y", 0.7 * F.col("x"))
-    last = stats.kalman_beta(r, 1e-6, 0.01, order="t").orderBy(F.desc("t")).first()
-    assert abs(last.beta - 0.7) < 0.01
-
-
-def test_clusters_recover_planted_groups(spark):
-    e = [(a, b, 0.9 if a // 5 == b // 5 else 0.01) for a in range(10) for b in range(a + 1, 10)]
-    got = {r.id: r.cluster for r in stats.correlation_clusters(spark.createDataFrame(e, "a long, b long, rho double"), 2, 2).collect()}
-    assert len({got[k] for k in range(5)}) == 1 and len({got[k] for k in range(5, 10)}) == 1 and got[0] != got[9]
-
-
 def test_trigger_fires_moves_and_reverts_once(spark):
     t = lambda m: dt.datetime(2024, 1, 2, 9, m)
     b = spark.createDataFrame([("s", "u", t(k), c) for k, c in enumerate((100.0, 104.0, 105.0, 108.0, 100.5, 100.2, 96.0))], "session string, symbol string, ts timestamp, close double")
