@@ -3,8 +3,9 @@
 The tree grows depth by depth, over distinct paths and their counts. At each node (a host and a template so far) the next
 segments are counted: where they are many and mostly different they become a wildcard, else they stay. Then, depth by
 depth, branches that differ in one segment only and whose labelled purity is statistically like that of all of them
-together are merged into a wildcard. What is left are templates; one is rejected if its smoothed share of bad labels
-exceeds a bound.
+together are merged into a wildcard; how a branch is labelled on all hosts counts there, so hosts without labels keep
+branches apart that differ elsewhere. What is left are templates; one is rejected if its smoothed share of bad labels
+exceeds a bound. A template's share over all hosts is the prior of its share on each host.
 """
 
 from __future__ import annotations
@@ -81,17 +82,18 @@ def templates(paths: DataFrame) -> DataFrame:
 
 
 def merged(counted: DataFrame, deepest: int) -> DataFrame:
-    """host, parts, final: counted (host, parts, n, labelled, bad) with each template's segments after merging."""
+    """host, parts, final: counted (host, parts, n, labelled, bad, and all_labelled and all_bad of the parts on any host) with each template's segments after merging."""
     now = counted.withColumn("final", F.col("parts"))
     for d in range(deepest):
         pool = F.expr(f"transform(final, (x, i) -> IF(i = {d}, '*', x))")
-        own = now.groupBy("host", "final").agg(F.sum("labelled").alias("own_n"), F.sum("bad").alias("own_bad")).where(F.size("final") > d).withColumn("pool", pool)
+        own = now.groupBy("host", "final").agg(F.sum("all_labelled").alias("own_n"), F.sum("all_bad").alias("own_bad")).where(F.size("final") > d).withColumn("pool", pool)
         # Only templates that carry labels say what the pool is like.
         pools = own.groupBy("host", "pool").agg(F.sum("own_n").alias("pool_n"), F.sum("own_bad").alias("pool_bad"), F.count("*").alias("branches")).where("branches > 1")
         p = (F.col("pool_bad") + 1) / (F.col("pool_n") + 2)
         off = F.abs((F.col("own_bad") + p) / (F.col("own_n") + 1) - p) / F.sqrt(p * (1 - p) / (F.col("own_n") + 1))
         like = own.join(pools, ["host", "pool"]).where(off <= Z).select("host", "final", "pool")
-        now = now.join(like, ["host", "final"], "left").withColumn("final", F.coalesce("pool", "final")).drop("pool")
+        # Written, as each depth refers to the one before three times.
+        now = written(now.join(like, ["host", "final"], "left").withColumn("final", F.coalesce("pool", "final")).drop("pool"))
     return now
 
 
@@ -116,11 +118,14 @@ def judged(pages: DataFrame, labels: DataFrame | None = None, rules: tuple = RUL
     paths = own.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     grown = written(templates(paths))
     counted = grown.groupBy("host", "parts").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    shared = counted.groupBy("parts").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+    counted = written(_told(counted, shared, ["parts"]))
     totals = counted.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("bad"), F.max(F.size("parts")).alias("deepest")).first()
-    prior = min(((totals.bad or 0) + 1) / ((totals.n or 0) + 2), REJECT)  # without labels of its own no template is rejected
-    final = written(merged(counted, totals.deepest or 0))
+    prior = min(((totals.bad or 0) + 1) / ((totals.n or 0) + 2), REJECT)  # without labels on any host no template is rejected
+    final = merged(counted, totals.deepest or 0)
     pure = final.groupBy("host", "final").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("bad"))
-    purity = (F.col("bad") + SMOOTH * prior) / (F.col("n") + SMOOTH)
-    told = final.select("host", "parts", "final").join(pure, ["host", "final"]).select("host", "parts", F.concat(F.lit("/"), F.array_join("final", "/")).alias("template"), purity.alias("purity"))
+    like = pure.groupBy("final").agg(((F.sum("bad") + SMOOTH * prior) / (F.sum("n") + SMOOTH)).alias("prior"))
+    purity = (F.col("bad") + SMOOTH * F.col("prior")) / (F.col("n") + SMOOTH)
+    told = final.select("host", "parts", "final").join(_told(pure, like, ["final"]), ["host", "final"]).select("host", "parts", F.concat(F.lit("/"), F.array_join("final", "/")).alias("template"), purity.alias("purity"))
     out = _told(own, _told(grown.select("host", "segs", "parts"), told, ["host", "parts"]).drop("parts"), ["host", "segs"])
     return out.select("page_id", "host", "path", "rule", "template", "purity", F.coalesce("action", F.when(F.col("purity") > REJECT, "block").otherwise("allow")).alias("verdict"))

@@ -325,6 +325,18 @@ def templates_by_hand(rows):
         nodes = {k: (h, (*t, "*" if (h, t) in wild else segs[k][d])) if len(segs[k]) > d else (h, t) for k, (h, t) in nodes.items()}
     bad = {k: b for k, _, _, b in rows}
     final = {x: x for x in nodes.values()}
+    everywhere = {}  # labels of the same parts on any host
+    for k, (_, t) in nodes.items():
+        c = everywhere.setdefault(t, [0, 0])
+        if bad[k] is not None:
+            c[0], c[1] = c[0] + 1, c[1] + bad[k]
+
+    def alike(final):
+        out = {}
+        for x in set(nodes.values()):
+            c = out.setdefault(final[x], [0, 0])
+            c[0], c[1] = c[0] + everywhere[x[1]][0], c[1] + everywhere[x[1]][1]
+        return out
 
     def counts(of):
         out = {}
@@ -336,7 +348,7 @@ def templates_by_hand(rows):
         return out
 
     for d in range(max((len(t) for _, t in nodes.values()), default=0)):
-        own = {x: c for x, c in counts(final.get).items() if len(x[1]) > d}
+        own = {x: c for x, c in alike(final).items() if len(x[1]) > d}
         up = lambda x, d=d: (x[0], (*x[1][:d], "*", *x[1][d + 1 :]))
         pools = {}
         for x, c in own.items():
@@ -352,7 +364,11 @@ def templates_by_hand(rows):
     total = counts(lambda x: 0).get(0, [0, 0])
     prior = min((total[1] + 1) / (total[0] + 2), urls.REJECT)
     pure = counts(final.get)
-    share = lambda x: (pure[x][1] + urls.SMOOTH * prior) / (pure[x][0] + urls.SMOOTH)
+    over = {}  # a template on all hosts
+    for (_, t), (n, b) in pure.items():
+        c = over.setdefault(t, [0, 0])
+        c[0], c[1] = c[0] + n, c[1] + b
+    share = lambda x: (pure[x][1] + urls.SMOOTH * (over[x[1]][1] + urls.SMOOTH * prior) / (over[x[1]][0] + urls.SMOOTH)) / (pure[x][0] + urls.SMOOTH)
     return {k: ("/" + "/".join(final[x][1]), "block" if share(final[x]) > urls.REJECT else "allow") for k, x in nodes.items()}
 
 
@@ -389,6 +405,17 @@ def test_templates_generalise_merge_and_reject(spark):
     assert ("/spam/*", "block") in by and {v for t, v in by if t != "/spam/*"} == {"allow"}
     assert got.count() == 400
     assert urls.judged(pages.limit(0), labels).count() == 0
+    # A host without labels is judged by what its templates are like elsewhere.
+    more = spark.createDataFrame([(1000 + k, f"http://{h}.net/{('spam', 'news')[k % 2]}/{k}") for k in range(100) for h in ("x", "y")], pages.schema)
+    got = urls.judged(pages.union(more), labels).where("host LIKE '%.net' AND page_id >= 1000").select("template", "verdict").distinct().collect()
+    assert {tuple(r) for r in got} == {("/spam/*", "block"), ("/news/*", "allow")}
+
+
+def test_merging_is_planned_in_seconds(spark):
+    rows = [(f"h{k % 3}", [str(k * d % 5) for d in range(1, 9)], 1, 1, k % 2, 1, k % 2) for k in range(30)]
+    counted = spark.createDataFrame(rows, "host string, parts array<string>, n long, labelled long, bad long, all_labelled long, all_bad long").dropDuplicates(["host", "parts"])
+    plan = urls.merged(counted, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
 
 
 def test_warc(spark):
