@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import zstandard
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ WHO = 4_096
 #: Units that a task keeps count of, and those that it hands on.
 TASK_UNITS, TASK_HEAD = 200_000, 100_000
 #: Text that is cut into units at once.
-CUT_BYTES = 2 << 20
+CUT_BYTES = 1 << 20
 #: The score of a character without a piece: below that of any path over the model's ordinary pieces.
 NO_PIECE = -1e8
 
@@ -201,16 +202,28 @@ def frequent(docs: DataFrame, head: int, cut: Cut = _RUNS) -> DataFrame:
     return counted.where(step >= least).select("unit") if least is not None else counted.where("false").select("unit")
 
 
+def _hashes(names: pa.Array) -> np.ndarray:
+    return hash_array(names.to_numpy(zero_copy_only=False), categorize=False)
+
+
+def _places(flat: pa.Array, names: pa.Array, hashes: np.ndarray) -> np.ndarray:
+    """Where in names, which come by their hashes, flat's strings are; -1 where they aren't. Looking up costs what a block's distinct strings do, not what names do."""
+    coded = flat.dictionary_encode()
+    at = np.minimum(np.searchsorted(hashes, _hashes(coded.dictionary)), len(hashes) - 1)
+    same = pc.equal(names.take(pa.array(at)), coded.dictionary).to_numpy(zero_copy_only=False)
+    return np.where(same, at, -1)[coded.indices.to_numpy()]
+
+
 class _Split:
     """A block of texts in units: which are known (their places), and numbers for the others, by their first place in each text."""
 
-    def __init__(self, texts: pa.Array, cut: Cut, known: pa.Array):
+    def __init__(self, texts: pa.Array, cut: Cut, known: pa.Array, hashes: np.ndarray):
         lists = _cut(texts, cut)
         flat = lists.flatten()
         self.ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
-        at = pc.index_in(flat, value_set=known)
-        self.unknown = pc.is_null(at).to_numpy(zero_copy_only=False)
-        self.places = pc.fill_null(at, 0).to_numpy()
+        at = _places(flat, known, hashes)
+        self.unknown = at < 0
+        self.places = np.maximum(at, 0)
         coded = flat.filter(pa.array(self.unknown)).dictionary_encode()
         row = np.searchsorted(self.ends, np.flatnonzero(self.unknown), side="right")
         both = row * max(len(coded.dictionary), 1) + coded.indices.to_numpy().astype(np.int64)
@@ -239,12 +252,14 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
     # The empty string, which stands for nothing, is known as well.
     names = pa.concat_arrays([pa.array([""]), *top.column("name").cast(pa.string()).chunks])
     found = pa.concat_arrays([pa.array([[]], pa.list_(pa.int32())), *(_plain(x) for x in top.column("ids").chunks)])
-    known = spark.sparkContext.broadcast((names, found, pa.array(pieces.surfaces, pa.binary()) if decode else None))
+    # By hash; of names that share one the first is known, the others go the way of rare units.
+    hashes, first = np.unique(_hashes(names), return_index=True)
+    known = spark.sparkContext.broadcast((names.take(pa.array(first)), hashes, found.take(pa.array(first)), pa.array(pieces.surfaces, pa.binary()) if decode else None))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, 0, CUT_BYTES):
-                own = _Split(part.column(0), cut, known.value[0])
+                own = _Split(part.column(0), cut, *known.value[:2])
                 name, long = own.units, pa.nulls(len(own.units), pa.string())
                 over = pc.greater(pc.utf8_length(name), SHORT)
                 if pc.any(over).as_py():
@@ -281,11 +296,11 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
-        units_known, ids_known, surfaces = known.value
+        units_known, hashes, ids_known, surfaces = known.value
         for batch in batches:
-            for part in blocks(batch, 1, CUT_BYTES // 2):
+            for part in blocks(batch, 1, CUT_BYTES):
                 texts = pa.array([None if x is None else open_(x).decode() for x in part.column(1).to_pylist()], pa.string())
-                own = _Split(texts, cut, units_known)
+                own = _Split(texts, cut, units_known, hashes)
                 counts = pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy()
                 if (counts != own.counts).any():
                     raise ValueError("a text lacks the paths of some of its units")
