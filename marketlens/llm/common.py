@@ -16,6 +16,8 @@ LOWER = UPPER.lower()
 
 #: Text handled at once inside a Python task; bounds its memory whatever the length of the rows' batch.
 BLOCK_BYTES = 4 << 20
+#: A batch of rows on its way to a Python task.
+BATCH_BYTES = 2 << 20
 #: Ids that are broadcast, at most; beyond that a join shuffles.
 BROADCAST = 500_000
 
@@ -53,6 +55,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on batches that go to Python tasks hold BATCH_BYTES or so, where the session has Spark's default of 64 MB: they lie outside the heap, several copies of each."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == f"{64 << 20}b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with uid, a key of each row, written once so that it stays."""
     return written(docs.withColumn("uid", F.monotonically_increasing_id()))

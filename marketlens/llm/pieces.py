@@ -24,12 +24,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 import zstandard
-from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, written
+from .common import blocks, small_batches, written
 
 HEAD = 400_000
 #: Documents that the head is taken from, at most or little more: it decides only how units reach the documents.
@@ -203,7 +203,7 @@ def frequent(docs: DataFrame, head: int, cut: Cut = _RUNS) -> DataFrame:
 
 
 def _hashes(names: pa.Array) -> np.ndarray:
-    return hash_array(names.to_numpy(zero_copy_only=False), categorize=False)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, names.to_pylist()), np.uint64, len(names))
 
 
 def _places(flat: pa.Array, names: pa.Array, hashes: np.ndarray) -> np.ndarray:
@@ -246,6 +246,7 @@ def encoded(docs: DataFrame, pieces: Pieces, head: int = HEAD, decode: bool = Fa
     the text, whatever its characters. An empty table gives none. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     cut = pieces.cut
     top = lattice(frequent(docs, head, cut).select(F.col("unit").alias("name"), F.lit(None).cast("string").alias("long")).repartition(_tasks(docs), "name"), pieces).toArrow().combine_chunks()
