@@ -257,6 +257,8 @@ def test_stage_links_all_that_share_four_fifths(spark):
     df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = {x.doc_id: x.component_id for x in similar.near_duplicates(df).collect()}
     assert got == {k: root(k) for k in range(len(rows))}
+    dealt = {x.doc_id: x.component_id for x in similar.near_duplicates(df, most=7).collect()}  # large groups in blocks
+    assert dealt == got
     kept = [x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
     assert sorted(kept) == sorted({root(k) for k in range(len(rows))})
     assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").count() == 0
