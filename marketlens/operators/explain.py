@@ -147,6 +147,12 @@ def cluster_spikes(excess: DataFrame, spikes: DataFrame, labels: DataFrame, q: f
     )
 
 
+def _by_hour(spans: DataFrame, start: Column) -> DataFrame:
+    """spans with _hour: a row for each hour from start to a span's end, so that a join by time is one by equality. A span that ends before start has none."""
+    first, last = F.date_trunc("hour", start), F.date_trunc("hour", F.col("w_end"))
+    return spans.where(last >= first).withColumn("_hour", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 HOUR"))))
+
+
 def window_facts(bars: DataFrame, layers: DataFrame, members: DataFrame, events: DataFrame, windows: DataFrame, day: date, key: str = "fund", top: int = 3, ts: str = "ts") -> DataFrame:
     """The facts of each (key, window) of a day: how far it moved since the day before (gap + intraday), in the window, by layers, and what stood in it.
 
@@ -158,15 +164,15 @@ def window_facts(bars: DataFrame, layers: DataFrame, members: DataFrame, events:
     own = bars.where(F.to_date(ts) == F.lit(day))
     spans = windows.select("window_id", "w_start", "w_end")
     moved = window_return(own, spans, key, ts)
-    # Up to a window's end: the last close then.
-    until = own.join(F.broadcast(spans), own[ts] < F.col("w_end")).groupBy(key, "window_id").agg(F.max_by("close", ts).alias("_c"))
+    # Up to a window's end: the last close then. Windows meet bars and events by equal hours of the day.
+    until = own.withColumn("_hour", F.date_trunc("hour", ts)).join(_by_hour(spans, F.lit(day).cast("timestamp")), "_hour").where(F.col(ts) < F.col("w_end")).groupBy(key, "window_id").agg(F.max_by("close", ts).alias("_c"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.abs("contribution").desc_nulls_last(), "constituent"))
     named = members.withColumn("_k", rank).groupBy(key).agg(
         F.count_if(F.col("r") > 0).alias("advancers"),
         F.count_if(F.col("r") < 0).alias("decliners"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") <= top, F.struct("_k", F.col("constituent").cast("string").alias("c"))))), lambda x: x["c"]), ",").alias("contributors"),
     )
-    inside = events.join(F.broadcast(spans), (F.col("event_time") >= F.col("w_start")) & (F.col("event_time") <= F.col("w_end"))).groupBy(key, "window_id").agg(F.count("*").alias("n_events"), F.min("event_id").alias("first_event"))
+    inside = events.withColumn("_hour", F.date_trunc("hour", "event_time")).join(_by_hour(spans, F.col("w_start")), "_hour").where((F.col("event_time") >= F.col("w_start")) & (F.col("event_time") <= F.col("w_end"))).groupBy(key, "window_id").agg(F.count("*").alias("n_events"), F.min("event_id").alias("first_event"))
     out = moved.join(until, [key, "window_id"], "left").join(gap, key, "left").join(layers.select(key, "market", "sector", "idio"), key, "left").join(named, key, "left").join(inside, [key, "window_id"], "left")
     known = F.col("window_return").isNotNull()
     facts = {

@@ -32,9 +32,14 @@ def stream_tumbling_ohlcv(bars: DataFrame, minutes: int, watermark: str | None =
     return out.select(key, F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", F.col("w.end").alias("available_at"))
 
 
+#: Parts of a universe that windows meet one by one.
+BLOCKS = 64
+
+
 def classify_units(batch: DataFrame, universe: DataFrame, windows: DataFrame, unit: str = "symbol", window: str = "ts") -> DataFrame:
-    """Per window and expected unit: received, no_trade (flat, no volume), invalid (no OHLC that fits), or missing. A universe and a batch's windows are bounded lists."""
-    grid = windows.select(window).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(universe.select(unit).distinct().withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Per window and expected unit: received, no_trade (flat, no volume), invalid (no OHLC that fits), or missing. Every window meets every unit, as missing ones are found so; units are dealt in BLOCKS, so either list may be large."""
+    own = universe.select(unit).distinct().withColumn("_block", F.pmod(F.xxhash64(unit), F.lit(BLOCKS)).cast("int"))
+    grid = windows.select(window).distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).join(own, "_block").drop("_block")
     j = grid.join(batch, [unit, window], "left")
     bad = (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.least("open", "high", "low", "close") <= 0) | (F.col("volume") < 0)
     flat = (F.col("volume") == 0) & (F.col("open") == F.col("close")) & (F.col("high") == F.col("low"))

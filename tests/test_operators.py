@@ -1,6 +1,8 @@
 """Small frames with expected rows: ties, nulls, empty tables, single rows."""
 
 import datetime as dt
+import math
+import random
 
 import numpy as np
 import pytest
@@ -259,3 +261,43 @@ def test_correlations_by_blocks(spark):
         got = {(x.a, x.b): (None if x.rho is None else round(x.rho, 9), x.n) for x in stats.return_correlation(df, 10, block=block).collect()}
         assert got == want
     assert stats.return_correlation(df.limit(0), 10).count() == 0
+
+
+def test_units_meet_every_window_once(spark):
+    """More units than blocks, and a window and a unit that stand twice."""
+    t0 = dt.datetime(2024, 1, 2, 9)
+    bar = lambda s, k, o, h, lo, c, v: (s, t0 + dt.timedelta(minutes=k), o, h, lo, c, v)
+    batch = spark.createDataFrame([bar(0, 0, 1.0, 2.0, 0.5, 1.5, 10.0), bar(1, 0, 1.0, 1.0, 1.0, 1.0, 0.0), bar(2, 1, 1.0, 0.5, 0.5, 1.5, 10.0)], "symbol int, ts timestamp, open double, high double, low double, close double, volume double")
+    units = spark.createDataFrame([(k,) for k in [*range(200), 7]], "symbol int")
+    windows = spark.createDataFrame([(t0 + dt.timedelta(minutes=k),) for k in (0, 1, 1)], "ts timestamp")
+    got = {(r.symbol, r.ts): r.status for r in minute.classify_units(batch, units, windows).collect()}
+    want = {(s, t0 + dt.timedelta(minutes=k)): "missing" for s in range(200) for k in (0, 1)}
+    want |= {(0, t0): "received", (1, t0): "no_trade", (2, t0 + dt.timedelta(minutes=1)): "invalid"}
+    assert got == want
+    assert minute.classify_units(batch, units, windows).count() == 400
+    assert minute.classify_units(batch, units.limit(0), windows).count() == 0
+
+
+def test_window_facts_by_hours(spark):
+    """Windows within an hour, over several, over hours' ends and outside the day, against each bar and event by itself."""
+    r, day = random.Random(3), dt.datetime(2024, 1, 2)
+    at = lambda s: day + dt.timedelta(seconds=s)
+    bars = [(f, at(s), p, p, p, p + 0.5, 1.0) for f in (1, 2) for s in sorted(r.sample(range(-90_000, 80_000), 60)) for p in [r.uniform(5, 9)]]
+    events = [(f, k, at(s)) for f in (1, 2) for k, s in enumerate([*r.sample(range(86_400), 80), 3600, 7200, 7199])]
+    windows = [(0, at(3600), at(7200)), (1, at(3599), at(7201)), (2, at(100), at(200)), (3, at(0), at(86_399)), (4, at(5000), at(60_000)), (5, at(-7200), at(-3600)), (6, at(9000), at(8000))]
+    df = spark.createDataFrame(bars, "fund int, ts timestamp, open double, high double, low double, close double, volume double")
+    layers = spark.createDataFrame([(1, 0.1, 0.2, 0.3)], "fund int, market double, sector double, idio double")
+    members = spark.createDataFrame([(1, 5, 0.1, 0.2)], "fund int, constituent int, contribution double, r double")
+    e = spark.createDataFrame(events, "fund int, event_id int, event_time timestamp")
+    w = spark.createDataFrame(windows, "window_id int, w_start timestamp, w_end timestamp")
+    df = df.withColumn("trade_date", F.to_date("ts"))
+    rows = explain.window_facts(df, layers, members, e, w, day.date()).where("error IS NULL").collect()
+    assert {x.window_id for x in rows} >= {3, 4}
+    for x in rows:
+        _, a, b = windows[x.window_id]
+        inside = [k for f, k, s in events if f == x.fund and a <= s <= b]
+        assert x.n_events == len(inside) and x.first_event == (min(inside) if inside else None)
+        own = sorted((s, o, c) for f, s, o, *_, c, _ in bars if f == x.fund)
+        before = [c for s, _, c in own if s < day][-1]
+        until = [c for s, _, c in own if day <= s < b][-1]
+        assert math.isclose(x.header_return, math.log(until / before), rel_tol=1e-9)
