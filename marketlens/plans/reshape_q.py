@@ -62,7 +62,7 @@ def _(spark, sf):
 @query("pivot_items", "SELECT user_id, CAST(ts AS DATE) AS d, max(value) FILTER (event_type = 'view') AS view, max(value) FILTER (event_type = 'purchase') AS purchase, round(max(value) FILTER (event_type = 'purchase') / max(value) FILTER (event_type = 'view'), 6) AS ratio FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2")
 def _(spark, sf):
     e = t(spark, sf, "events").withColumn("d", F.to_date("ts"))
-    return R.pivot_items(e, ["user_id", "d"], ["view", "purchase"], item="event_type", derived={"ratio": F.round(F.col("purchase") / F.col("view"), 6)})
+    return R.pivot_items(e, ["user_id", "d"], ["view", "purchase"], item="event_type", derived={"ratio": F.round(S.ratio(F.col("purchase"), F.col("view")), 6)})
 
 
 @query("assemble_wide", "WITH a AS (SELECT o_custkey AS k, max(o_totalprice) AS spend FROM orders GROUP BY 1), b AS (SELECT user_id AS k, max(value) AS activity FROM events GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, spend, activity FROM a FULL JOIN b ON a.k = b.k")
