@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.functions.scalar import log_ratio
+
 from .stats import running
 
 
@@ -61,7 +63,7 @@ def item_series_rank(wide: DataFrame, year: str = "fiscal_year") -> DataFrame:
 
 
 def window_shares(bars: DataFrame, cuts: DataFrame, day: date, key: str = "symbol", ts: str = "ts", price: str = "close", day_col: str = "trade_date") -> DataFrame:
-    """A day split at each symbol's cuts (symbol, cut): log return of each span, from the last price before it; shares add up to the day's.
+    """A day split at each symbol's cuts (symbol, cut): log return of each span, from the last price before it; shares add up to the day's. A price of 0 gives an infinite return.
 
     Spans come from the cuts themselves (a running count over bars and cuts in one window), so no ranges are joined.
     """
@@ -71,7 +73,7 @@ def window_shares(bars: DataFrame, cuts: DataFrame, day: date, key: str = "symbo
     both = own.unionByName(marks).withColumn("span", F.count_if(F.col("_p").isNull()).over(w)).where("_p IS NOT NULL")
     ends = both.groupBy(key, "span").agg(F.max_by("_p", "_t").alias("_end"), F.min_by("_p", "_t").alias("_first"))
     prev = F.lag("_end").over(Window.partitionBy(key).orderBy("span"))
-    out = ends.withColumn("span_return", F.log(F.col("_end") / F.coalesce(prev, F.col("_first"))))
+    out = ends.withColumn("span_return", log_ratio(F.col("_end"), F.coalesce(prev, F.col("_first"))))
     total = out.groupBy(key).agg(F.sum("span_return").alias("day_return"))
     return out.join(total, key).select(key, "span", "span_return", "day_return", (F.col("span_return") / F.nullif(F.col("day_return"), F.lit(0.0))).alias("share"))
 

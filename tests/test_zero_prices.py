@@ -26,6 +26,7 @@ def zeros(sf, tmp_path_factory):
 NAMES = [
     "overnight_moves",
     "pivot_items",
+    "window_shares",
 ]
 
 
