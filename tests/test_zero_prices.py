@@ -25,6 +25,7 @@ def zeros(sf, tmp_path_factory):
 
 NAMES = [
     "consensus_revision",
+    "daily_returns",
     "overnight_moves",
     "pivot_items",
     "window_shares",
