@@ -24,6 +24,7 @@ def zeros(sf, tmp_path_factory):
 
 
 NAMES = [
+    "abnormal_returns",
     "consensus_revision",
     "daily_returns",
     "overnight_moves",
