@@ -56,7 +56,7 @@ def _(spark, sf):
 
 @query(
     "classify_units",
-    "WITH b AS (SELECT user_id AS symbol, date_trunc('day', ts) AS ts, max(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1, 2), w AS (SELECT DISTINCT ts FROM b), u AS (SELECT DISTINCT user_id AS symbol FROM events) SELECT w.ts, u.symbol, CASE WHEN v IS NULL THEN 'missing' WHEN u.symbol % 7 = 0 THEN 'invalid' WHEN u.symbol % 5 = 0 THEN 'no_trade' ELSE 'received' END AS status FROM w CROSS JOIN u LEFT JOIN b ON b.ts = w.ts AND b.symbol = u.symbol",
+    "WITH b AS (SELECT user_id AS symbol, date_trunc('day', ts) AS ts, max(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1, 2), w AS (SELECT DISTINCT ts FROM b), u AS (SELECT DISTINCT user_id AS symbol FROM events) SELECT w.ts, u.symbol, CASE WHEN v IS NULL THEN 'missing' WHEN u.symbol % 7 = 0 OR v <= 0 THEN 'invalid' WHEN u.symbol % 5 = 0 THEN 'no_trade' ELSE 'received' END AS status FROM w CROSS JOIN u LEFT JOIN b ON b.ts = w.ts AND b.symbol = u.symbol",
 )
 def _(spark, sf):
     e = t(spark, sf, "events")

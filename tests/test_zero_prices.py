@@ -25,6 +25,7 @@ def zeros(sf, tmp_path_factory):
 
 NAMES = [
     "abnormal_returns",
+    "classify_units",
     "consensus_revision",
     "daily_returns",
     "overnight_moves",
