@@ -10,7 +10,7 @@ from marketlens.operators import bars as B
 from marketlens.operators import pit
 from marketlens.registry import query
 
-from .bindings import AS_OF, BARS, DAY, HOLDINGS, PRICES, bars, holdings, prices, t
+from .bindings import AS_OF, BARS, DAY, HOLDINGS, PRICES, bars, holdings, ln_ratio, prices, t
 
 D = f"DATE '{DAY}'"
 TS = f"TIMESTAMP '{AS_OF}'"
@@ -147,7 +147,7 @@ def _(spark, sf):
 @query(
     "rollup_daily",
     f"""WITH {PRICES} SELECT symbol, trade_date, open, high, low, close, CASE WHEN trade_date >= DATE '2024-01-10' THEN volume END AS volume,
-    round(close / nullif(lag(close) OVER w, 0) - 1, 9) AS simple_return, round(ln(close / lag(close) OVER w), 9) AS log_return FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)""",
+    round(close / nullif(lag(close) OVER w, 0) - 1, 9) AS simple_return, round(ln(CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN close / lag(close) OVER w END), 9) AS log_return FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)""",
 )
 def _(spark, sf):
     return B.rollup_daily(bars(spark, sf), dt.date(2024, 1, 10)).withColumn("simple_return", F.round("simple_return", 9)).withColumn("log_return", F.round("log_return", 9))
@@ -161,7 +161,7 @@ def _(spark, sf):
     return B.slice_clock(bars(spark, sf), DAY, "09:00:00", "15:30:00").select("event_id", "symbol", "ts", "close")
 
 
-@query("clock_return", f"WITH {BARS} SELECT symbol, round(ln(arg_max(close, ts) / arg_min(open, ts)), 9) AS clock_return, CAST(sum(volume) AS BIGINT) AS volume FROM bars WHERE {_CLOCK} GROUP BY 1")
+@query("clock_return", f"WITH {BARS} SELECT symbol, round({ln_ratio('arg_max(close, ts)', 'arg_min(open, ts)')}, 9) AS clock_return, CAST(sum(volume) AS BIGINT) AS volume FROM bars WHERE {_CLOCK} GROUP BY 1")
 def _(spark, sf):
     return B.clock_return(bars(spark, sf), DAY, "09:00:00", "15:30:00").withColumn("clock_return", F.round("clock_return", 9))
 
@@ -176,7 +176,7 @@ def _(spark, sf):
 
 @query(
     "gap_return",
-    f"""WITH {PRICES} SELECT symbol, trade_date, open AS day_open, close AS day_close, lag(close) OVER w AS prev_close, round(ln(open / lag(close) OVER w), 9) AS gap FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)""",
+    f"""WITH {PRICES} SELECT symbol, trade_date, open AS day_open, close AS day_close, lag(close) OVER w AS prev_close, round({ln_ratio('open', 'lag(close) OVER w')}, 9) AS gap FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)""",
 )
 def _(spark, sf):
     return B.gap_return(bars(spark, sf)).withColumn("gap", F.round("gap", 9))
@@ -186,7 +186,7 @@ def _(spark, sf):
     "window_return",
     f"""WITH {BARS}, w AS (SELECT 0 AS window_id, TIMESTAMP '2024-01-20 00:00:00' AS w_start, TIMESTAMP '2024-01-20 08:00:00' AS w_end UNION ALL SELECT 1, TIMESTAMP '2024-01-20 08:00:00', TIMESTAMP '2024-01-20 23:00:00'),
     s AS (SELECT DISTINCT symbol FROM bars WHERE trade_date = {D})
-    SELECT s.symbol, window_id, round(ln(arg_max(close, ts) / arg_min(open, ts)), 9) AS window_return, count(ts) AS n_bars FROM s CROSS JOIN w LEFT JOIN bars b ON b.symbol = s.symbol AND ts >= w_start AND ts < w_end GROUP BY 1, 2""",
+    SELECT s.symbol, window_id, round({ln_ratio('arg_max(close, ts)', 'arg_min(open, ts)')}, 9) AS window_return, count(ts) AS n_bars FROM s CROSS JOIN w LEFT JOIN bars b ON b.symbol = s.symbol AND ts >= w_start AND ts < w_end GROUP BY 1, 2""",
 )
 def _(spark, sf):
     rows = [(0, dt.datetime(2024, 1, 20, 0), dt.datetime(2024, 1, 20, 8)), (1, dt.datetime(2024, 1, 20, 8), dt.datetime(2024, 1, 20, 23))]

@@ -26,10 +26,14 @@ def zeros(sf, tmp_path_factory):
 NAMES = [
     "abnormal_returns",
     "classify_units",
+    "clock_return",
     "consensus_revision",
     "daily_returns",
+    "gap_return",
     "overnight_moves",
     "pivot_items",
+    "rollup_daily",
+    "window_return",
     "window_shares",
 ]
 
