@@ -29,10 +29,14 @@ NAMES = [
     "clock_return",
     "consensus_revision",
     "daily_returns",
+    "gap_covariate",
     "gap_return",
+    "gap_series",
+    "market_reduction",
     "overnight_moves",
     "pivot_items",
     "rollup_daily",
+    "window_facts",
     "window_return",
     "window_shares",
 ]
