@@ -45,3 +45,11 @@ def test_indicator_either_way_and_without_ends(spark):
 def test_pairs_are_made_distinct_before_they_meet(spark, sf):
     plan = events_q._pairs(spark, sf)._jdf.queryExecution().optimizedPlan()
     assert "Aggregate" not in plan.toString().split("Join")[0]
+
+
+def test_union_both_ways_shuffles_once(spark):
+    rows = [(1, 2, "L"), (2, 1, "L"), (1, 2, "L"), (3, 3, "L"), (None, 4, "L"), (5, None, "L"), (None, None, "L"), (1, 2, "M")]
+    out = V.union_distinct_pairs(spark.createDataFrame(rows, "src long, dst long, link_type string"))
+    found = [tuple(r) for r in out.collect()]
+    assert len(found) == len(set(found)) and set(found) == {*rows, *((b, a, k) for a, b, k in rows)}
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
