@@ -3,6 +3,7 @@
 import numpy as np
 
 from marketlens.operators import stats, trees
+from marketlens.plans import bindings
 
 
 def test_spanning_correlations_hold_every_forest(spark):
@@ -18,3 +19,8 @@ def test_spanning_correlations_hold_every_forest(spark):
     for k, least in ((1, 1), (4, 1), (9, 2)):
         want, got = ({tuple(r) for r in trees.correlation_clusters(c, k, least).collect()} for c in (full, some))
         assert got == want
+
+
+def test_holdings_join_lines_once(spark, sf):
+    """What reads holdings, however often, doesn't read lines or orders again."""
+    assert not [f for f in bindings.holdings(spark, sf).inputFiles() if "lineitem" in f or "orders" in f]
