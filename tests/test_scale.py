@@ -1,8 +1,11 @@
 """Steps that a query's growth hangs on: they keep to what is needed, and give what the plain form gives."""
 
+import hashlib
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from marketlens.operators import stats, trees
+from marketlens.operators import events, exact, stats, trees
 from marketlens.plans import bindings
 
 
@@ -24,3 +27,36 @@ def test_spanning_correlations_hold_every_forest(spark):
 def test_holdings_join_lines_once(spark, sf):
     """What reads holdings, however often, doesn't read lines or orders again."""
     assert not [f for f in bindings.holdings(spark, sf).inputFiles() if "lineitem" in f or "orders" in f]
+
+
+def _least(rows, k, draw, seed):
+    def x(key):
+        h = hashlib.md5(f"{seed}|{(draw - 1) // 4}|{key}".encode()).hexdigest()
+        return h[(draw - 1) % 4 * 8 :][:8]
+
+    return sum(y for _, y in sorted((x(key) + key, y) for key, y in rows)[:k])
+
+
+def test_rare_labels_are_drawn_below_a_bound(spark):
+    """Of a large stratum with few labels only what can be labelled is ordered; draws that find too few below the bound look at all."""
+    rows = [("s", f"k{i}", float(i % 37)) for i in range(900)]
+    df = spark.createDataFrame([("g", s, 900, 6, key, y) for s, key, y in rows], "g string, s string, _n long, _k long, _key string, _y double").repartition(3)
+    want = {p: _least([(key, y) for _, key, y in rows], 6, p, 3) for p in range(1, 11)}
+    assert {r._p: r._s for r in exact.drawn_sums(df, ["g"], "s", 10, 3, 50).collect()} == want
+    sizes = df.groupBy("g", "s").agg(F.first("_k").alias("_k"), F.first("_n").alias("_n"))
+    for share in (0.3, 0.006, 0.0):
+        got = exact._below(df, sizes, F.lit(share), ["g"], "s", 10, 3, 50).groupBy("_p").agg(F.sum("_s").alias("_s"))
+        assert {r._p: r._s for r in got.collect()} == want
+
+
+def test_relation_panel_takes_links_along(spark):
+    """Links go with the event, either way round and from their date on; events of two types on a day count twice."""
+    panel = spark.createDataFrame([(s, d) for s in range(40) for d in (1, 2)], "symbol long, trade_date int")
+    e = spark.createDataFrame([(3, 1, "a"), (3, 1, "b"), (3, 2, "a"), (7, 2, "a"), (3, 2, "a")], "symbol long, trade_date int, event_type string")
+    edges = [(3, 4, 1), (9, 3, 2), (3, 9, 5), (7, 7, 1), (5, 7, 3), *((7, k, 2) for k in range(10, 30))]
+    got = events.relation_panel(panel, e, spark.createDataFrame(edges, "src long, dst long, link_date int"), take=["event_type"])
+    first = {}
+    for a, b, t in edges:
+        first[frozenset((a, b))] = min(t, first.get(frozenset((a, b)), t))
+    want = [(x, d, t, y, first.get(frozenset((x, y)), 9) <= d) for x, d, t in {tuple(r) for r in e.collect()} for y in range(40) if y != x]
+    assert sorted(tuple(r) for r in got.select("x", "d", "event_type", "y", "linked").collect()) == sorted(want)
