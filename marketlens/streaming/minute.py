@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,11 +78,15 @@ def stream_price_trigger(bars: DataFrame, revert: float = REVERT, fire: float =
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         anchor, seen = state.get if state.exists else (None, None)
         found = []
-        rows = pd.concat(list(frames)).sort_values(ts)
-        for t, close, base in zip(rows[ts], rows["close"], rows["base"], strict=True):
-            if (seen is not None and t.value <= seen) or not (base > 0 and close > 0):
+        # A frame costs more than the few rows of a key: one is made only of what fires.
+        parts = [tuple(rows[c].to_numpy() for c in (ts, "close", "base")) for rows in frames]
+        times, closes, bases = (np.concatenate(c) for c in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+        at = times.astype("datetime64[ns]").astype(np.int64)
+        for i in np.argsort(at, kind="stable").tolist():
+            t, now, close, base = times[i], int(at[i]), float(closes[i]), float(bases[i])
+            if (seen is not None and now <= seen) or not (base > 0 and close > 0):
                 continue
-            seen = t.value
+            seen = now
             anchor = base if anchor is None else anchor
             if abs(close / base - 1) <= revert:
                 if anchor != base:
@@ -92,7 +97,8 @@ def stream_price_trigger(bars: DataFrame, revert: float = REVERT, fire: float =
                 found.append((*k, t, close, "FIRE", anchor))
         if seen is not None:
             state.update((float(anchor), int(seen)))
-        yield pd.DataFrame(found, columns=[*key, ts, "close", "event", "anchor"])
+        if found:
+            yield pd.DataFrame(found, columns=[*key, ts, "close", "event", "anchor"])
 
     return bars.groupBy(*key).applyInPandasWithState(step, out, "anchor double, seen long", "append", GroupStateTimeout.NoTimeout)
 
