@@ -8,9 +8,10 @@ loses no link. Rows with equal
 sets count as one.
 
 Rows that meet are compared in two rounds, so that a large group of copies doesn't give all its pairs. First each is
-paired with a leader; pairs that hold make components. Then come all pairs that meet across components. Both rounds leave
-out only pairs that can't reach 0.8, by their sizes and by their parities: sets differ in at least as many shingles as
-their parity bits differ. What is left is decided by the sets themselves.
+paired with a leader; pairs that hold make components. Then rows are compared across components, inside tasks that tell
+only links which join components, fewer than there are rows. Both rounds leave out only pairs that can't reach 0.8, by
+their sizes and by their parities: sets differ in at least as many shingles as their parity bits differ. What is left is
+decided by the sets themselves.
 
 No group meets in one task: one of more than GROUP rows is dealt in blocks. Its first row goes to every block, where it is
 the first leader; in a round between the two, one row of each component stands for it in its group, so that components that
@@ -39,6 +40,8 @@ FREQUENT, HELD, BLOOM_BITS = 3, 100_000, 26
 PARITY = 512
 #: Rows of a group that one task compares with one another, or with as many, about.
 GROUP = 2_048
+#: Shingles of rows that one task compares by their sets, or twice as many, about.
+HELD_SHINGLES = 1 << 20
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -148,30 +151,88 @@ def _dealt(met: DataFrame, across: bool, most: int) -> DataFrame:
     return dealt.withColumn("other", F.explode(all_)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
 
-def _pairs(met: DataFrame, across: bool, most: int = GROUP) -> DataFrame:
-    """a, b (a < b): pairs of rows of a group (met: g, size, low, uid, n, parity, root) that can share 0.8. Each with a leader of its block, or all across roots. size: the group's rows, low: the least uid."""
+def _led(met: DataFrame, most: int = GROUP) -> DataFrame:
+    """a, b (a < b): rows of a group (met: g, size, low, uid, n, parity) that can share 0.8 with a leader of their block, and the leader. size: the group's rows, low: the least uid."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("uid").to_numpy())
-        uid, n, root, own = (rows.column(c).to_numpy()[order] for c in ("uid", "n", "root", "own"))
+        uid, n = (rows.column(c).to_numpy()[order] for c in ("uid", "n"))
         bits = np.frombuffer(b"".join(rows.column("parity").to_pylist()), dtype=np.uint64).reshape(len(uid), -1)[order]
-        one, two = [], []
+        one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         left = np.arange(len(uid))
-        two_blocks = key[1].as_py() != key[2].as_py()
         while len(left) > 1:
             first, left = left[0], left[1:]
-            near = left[root[left] != root[first]] if across else left
-            near = near[own[near] != own[first]] if two_blocks else near
-            near = near[_may(n, bits, first, near)]
+            near = left[_may(n, bits, first, left)]
             one.append(np.full(len(near), uid[first], np.int64))
             two.append(uid[near])
-            if not across:
-                left = np.setdiff1d(left, near, assume_unique=True)
-        none = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(one or none), "b": np.concatenate(two or none)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            left = np.setdiff1d(left, near, assume_unique=True)
+        return pa.table({"a": np.concatenate(one), "b": np.concatenate(two)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return _dealt(met, False, most).select("g", "i", "j", "uid", "n", "parity").groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def _joining(uid: np.ndarray, root: np.ndarray, n: np.ndarray, values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Ends of links that join roots of rows whose sets (n values each, one after the other) share 0.8: fewer links than roots, and any two roots with a link between their rows are connected."""
+    _, codes = np.unique(values, return_inverse=True)
+    _, label = np.unique(root, return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(n)))
+    mark = np.zeros(len(codes), np.int32)
+    one, two = [], []
+    for a in range(len(uid) - 1):
+        if (label[a + 1 :] == label[a]).all():
+            continue
+        mark[codes[starts[a] : starts[a + 1]]] = 1
+        both = np.add.reduceat(mark[codes[starts[a + 1] :]], starts[a + 1 : -1] - starts[a + 1])
+        mark[codes[starts[a] : starts[a + 1]]] = 0
+        b = a + 1 + np.flatnonzero((9 * both >= 4 * (n[a] + n[a + 1 :])) & (label[a + 1 :] != label[a]))
+        for other, k in zip(*np.unique(label[b], return_index=True), strict=True):
+            one.append(uid[a])
+            two.append(uid[b[k]])
+            label[label == other] = label[a]
+    return one, two
+
+
+def _across(own: DataFrame, met: DataFrame, most: int = GROUP, most_held: int = HELD_SHINGLES) -> DataFrame:
+    """a, b: links between rows of a group (met, with root) that join all roots between which there are links; no pairs leave a task.
+
+    By their parities first: a row that can't share 0.8 with one of another root is left out. The others' sets then go to a
+    task for each set of rows, whichever groups they meet in.
+    """
+
+    def near(key: tuple, rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("uid").to_numpy())
+        uid, n, root, block = (rows.column(c).to_numpy()[order] for c in ("uid", "n", "root", "own"))
+        bits = np.frombuffer(b"".join(rows.column("parity").to_pylist()), dtype=np.uint64).reshape(len(uid), -1)[order]
+        two_blocks = key[1].as_py() != key[2].as_py()
+        some = np.zeros(len(uid), bool)
+        for k in range(len(uid) - 1):
+            other = k + 1 + np.flatnonzero(root[k + 1 :] != root[k])
+            other = other[block[other] != block[k]] if two_blocks else other
+            other = other[_may(n, bits, k, other)]
+            some[other] = True
+            some[k] |= len(other) > 0
+        rest = np.flatnonzero(some)
+        part = (np.cumsum(n[rest]) - n[rest]) // most_held
+        parts = np.unique(part)
+        out = []
+        for x in range(len(parts)):
+            for y in range(x + 1, len(parts)) if len(parts) > 1 else [x]:
+                here = rest[(part == parts[x]) | (part == parts[y])]
+                k = np.array([xxhash.xxh3_64_intdigest(uid[here].tobytes())], np.uint64).view(np.int64)[0]
+                out.append(pa.table({"k": np.full(len(here), k), "uid": uid[here], "root": root[here]}))
+        return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("k", "uid", "root")})
+
+    def linked(rows: pa.Table) -> pa.Table:
+        uid, at = np.unique(rows.column("uid").to_numpy(), return_index=True)
+        sets = rows.column("w").combine_chunks().take(pa.array(at))
+        n = sets.value_lengths().to_numpy().astype(np.int64)
+        one, two = _joining(uid, rows.column("root").to_numpy()[at], n, sets.flatten().to_numpy())
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
 
     columns = ["g", "i", "j", "own", "uid", "n", "parity", "root"]
-    return _dealt(met, across, most).select(columns).groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    few = written(_dealt(met, True, most).select(columns).groupBy("g", "i", "j").applyInArrow(near, "k long, uid long, root long").distinct())
+    sets = written(_mapped(of_ids(own, few, "left_semi"), "uid long, w array<long>", ["uid", "w"], lambda s: (s.view(np.int64),)))
+    return few.join(sets, "uid").groupBy("k").applyInArrow(linked, "a long, b long").distinct()
 
 
 def alike(own: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -216,17 +277,14 @@ def groups(own: DataFrame, most: int = GROUP) -> DataFrame:
     def rooted(edges: DataFrame) -> DataFrame:
         return met.join(components(edges).withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
 
-    led = written(_pairs(met.withColumn("root", F.col("uid")), False, most))
-    edges = written(alike(own, led))
+    edges = written(alike(own, written(_led(met, most))))
     if met.where(F.col("size") > most).limit(1).count():
         stand = written(rooted(edges).where(F.col("size") > most).groupBy("g", "root").agg(F.min(F.struct("uid", "n", "parity")).alias("x")).select("g", "root", "x.*"))
         sizes = stand.groupBy("g").agg(F.count("*").alias("size"), F.min("uid").alias("low")).where("size > 1")
-        more = written(_pairs(stand.join(sizes, "g"), True, most).join(led, ["a", "b"], "left_anti"))
-        edges, led = written(edges.union(alike(own, more))), led.union(more)
+        edges = written(edges.union(_across(own, stand.join(sizes, "g"), most)))
     parts = written(rooted(edges))
     mixed = parts.groupBy("g").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("g")
-    rest = written(_pairs(parts.join(mixed, "g", "left_semi"), True, most).join(led, ["a", "b"], "left_anti"))
-    found = components(edges.union(alike(own, rest)))
+    found = components(edges.union(_across(own, parts.join(mixed, "g", "left_semi"), most)))
     low = least.join(found, least.low == found.node, "left").select("digest", F.coalesce("root", "low").alias("root"))
     return seen.select("uid", "digest").join(low, "digest").select("uid", "root")
 

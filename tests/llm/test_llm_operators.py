@@ -220,6 +220,55 @@ def test_parities_never_exceed_the_difference():
             assert similar.apart(similar.wide_parity(a), similar.wide_parity(b)) <= len(np.setxor1d(a, b))
 
 
+def test_a_large_group_gives_no_pairs(spark, monkeypatch):
+    """Of copies that share about 0.8, some more and some less, tasks tell no more links than rows, however they meet; in blocks and parts too."""
+    r, base = random.Random(8), prose(3000, 150).split()
+    texts = []
+    for k in range(160):
+        near = list(base)
+        for _ in range(2 + k % 3):
+            near[r.randrange(len(near))] = f"edit{r.randrange(40)}"
+        texts.append(" ".join(near))
+    told = []
+
+    def counted(f):
+        def run(own, rows, *more):
+            out = f(own, rows, *more)
+            told.append(rows.count() if f is alike else out.count())
+            return out
+
+        return run
+
+    alike = similar.alike
+    monkeypatch.setattr(similar, "alike", counted(alike))
+    if hasattr(similar, "_across"):
+        monkeypatch.setattr(similar, "_across", counted(similar._across))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in similar.near_duplicates(df).collect()}
+    assert max(told) <= 8 * len(texts)
+    cut = [similar.shingles(t) for t in texts]
+    label = np.arange(len(texts))
+    simhash._joined(label, *np.array([(a, b) for b in range(len(cut)) for a in range(b) if 9 * len(np.intersect1d(cut[a], cut[b])) >= 4 * (len(cut[a]) + len(cut[b]))]).T)
+    assert got == dict(enumerate(label.tolist())) and 1 < len(set(got.values())) < len(texts)
+
+
+def test_links_join_roots_in_parts(spark):
+    """Sets that go to tasks in parts of any size, from groups in blocks of any size, join the same rows."""
+    r, base = random.Random(9), prose(3100, 90).split()
+    rows = [(k, " ".join(f"x{k}" if r.random() < 0.02 else w for w in base)) for k in range(60)]
+    own = spark.createDataFrame(rows, "uid long, text string")
+    sets = [similar.shingles(t) for _, t in rows]
+    met = spark.createDataFrame([(g, 60, 0, k, len(s), similar.parity(s), k // 2 * 2) for g in (1, 2) for k, s in enumerate(sets)], "g long, size long, low long, uid long, n long, parity binary, root long")
+    want = np.arange(60) // 2 * 2
+    simhash._joined(want, *np.array([(want[a], want[b]) for b in range(60) for a in range(b) if 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))]).T)
+    for most, held in ((2048, 1 << 20), (2048, 400), (9, 1 << 20), (9, 150)):
+        links = similar._across(own, met, most, held).collect()
+        label = np.arange(60) // 2 * 2
+        simhash._joined(label, np.array([label[x.a] for x in links]), np.array([label[x.b] for x in links]))
+        assert (label == want).all() and len(set(want.tolist())) < 30
+        assert most < 2048 or held < 1 << 20 or len(links) < 30
+
+
 def test_stage_links_all_that_share_four_fifths(spark):
     """Edits of a few words and lines, chains, subsets, a large group of near copies and a passage that all share."""
     import corpus_pipeline
