@@ -7,8 +7,12 @@ has a fixed size: counts of the most frequent, and a Bloom filter of all; one th
 loses no link. Rows with equal
 sets count as one.
 
+First come the links of SimHash fingerprints of the same shingles, by the vantage-point trees of op4 (see simhash): rows of
+equal or linked fingerprints are candidates, and the sets decide. Fingerprints alone would lose most pairs of just 0.8, so
+what they don't link is found by the prefixes.
+
 Rows that meet are compared in two rounds, so that a large group of copies doesn't give all its pairs. First each is
-paired with a leader; pairs that hold make components. Then rows are compared across components, inside tasks that tell
+paired with a leader; pairs that hold, of these and of the fingerprints, make components. Then rows are compared across components, inside tasks that tell
 only links which join components, fewer than there are rows. Both rounds leave out only pairs that can't reach 0.8, by
 their sizes and by their parities: sets differ in at least as many shingles as their parity bits differ. What is left is
 decided by the sets themselves.
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, keyed, of_ids, small_batches, written
-from .simhash import components, shingle_hashes
+from .simhash import components, links, shingle_hashes
 
 SIZE = 5
 #: Shingles are counted for the order in one of so many rows.
@@ -49,6 +53,14 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, SIZE), dtype=np.uint64))
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed number: bits set in over half of their hashes; 0 of none."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(own), 1 << 16):
+        ones += np.unpackbits(own[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view("<i8")[0])
+
+
 def _mapped(df: DataFrame, schema: str, names: list[str], f) -> DataFrame:
     """Rows (uid, *f(shingles of text)) for df's uid and text."""
 
@@ -171,6 +183,15 @@ def _led(met: DataFrame, most: int = GROUP) -> DataFrame:
     return _dealt(met, False, most).select("g", "i", "j", "uid", "n", "parity").groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _printed(least: DataFrame) -> DataFrame:
+    """a, b (a < b): rows (low, fp) whose fingerprints are equal, or linked over vantage-point trees, with one that stands for each. Fewer pairs than rows connect them all."""
+    prints = written(least.groupBy("fp").agg(F.min("low").alias("first")))
+    same = least.join(prints, "fp").where("low > first").select(F.col("first").alias("a"), F.col("low").alias("b"))
+    one, two = (prints.select(F.col("fp").alias(c), F.col("first").alias(f"first{c}")) for c in "ab")
+    near = links(prints.select("fp")).join(one, "a").join(two, "b")
+    return same.union(near.select(F.least("firsta", "firstb"), F.greatest("firsta", "firstb")))
+
+
 def _joining(uid: np.ndarray, root: np.ndarray, n: np.ndarray, values: np.ndarray) -> tuple[list[int], list[int]]:
     """Ends of links that join roots of rows whose sets (n values each, one after the other) share 0.8: fewer links than roots, and any two roots with a link between their rows are connected."""
     _, codes = np.unique(values, return_inverse=True)
@@ -263,10 +284,10 @@ def groups(own: DataFrame, most: int = GROUP) -> DataFrame:
     order = own.sparkSession.sparkContext.broadcast(frequent(own))
 
     def row(s: np.ndarray) -> tuple:
-        return len(s), xxhash.xxh3_128_digest(s.tobytes()), parity(s), prefix(s, order.value).view(np.int64)
+        return len(s), xxhash.xxh3_128_digest(s.tobytes()), fingerprint(s), parity(s), prefix(s, order.value).view(np.int64)
 
-    seen = written(_mapped(own, "uid long, n long, digest binary, parity binary, prefix array<long>", ["uid", "n", "digest", "parity", "prefix"], row))
-    least = written(seen.groupBy("digest").agg(F.min("uid").alias("low")))
+    seen = written(_mapped(own, "uid long, n long, digest binary, fp long, parity binary, prefix array<long>", ["uid", "n", "digest", "fp", "parity", "prefix"], row))
+    least = written(seen.groupBy("digest", "fp").agg(F.min("uid").alias("low")))
     firsts = seen.join(least.select(F.col("low").alias("uid")), "uid", "left_semi")
     # Rows that meet by several shingles are one group: it goes by two hashes of its rows, of which none gathers them.
     h = Window.partitionBy("h")
@@ -277,7 +298,9 @@ def groups(own: DataFrame, most: int = GROUP) -> DataFrame:
     def rooted(edges: DataFrame) -> DataFrame:
         return met.join(components(edges).withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
 
-    edges = written(alike(own, written(_led(met, most))))
+    # The fingerprints' links first; those of other pairs that share 0.8 follow from the shingles they have in common.
+    printed = _printed(least)
+    edges = written(alike(own, written(printed.union(_led(met, most)).distinct())))
     if met.where(F.col("size") > most).limit(1).count():
         stand = written(rooted(edges).where(F.col("size") > most).groupBy("g", "root").agg(F.min(F.struct("uid", "n", "parity")).alias("x")).select("g", "root", "x.*"))
         sizes = stand.groupBy("g").agg(F.count("*").alias("size"), F.min("uid").alias("low")).where("size > 1")

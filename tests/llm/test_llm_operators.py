@@ -220,36 +220,20 @@ def test_parities_never_exceed_the_difference():
             assert similar.apart(similar.wide_parity(a), similar.wide_parity(b)) <= len(np.setxor1d(a, b))
 
 
-def test_a_large_group_gives_no_pairs(spark, monkeypatch):
-    """Of copies that share about 0.8, some more and some less, tasks tell no more links than rows, however they meet; in blocks and parts too."""
-    r, base = random.Random(8), prose(3000, 150).split()
-    texts = []
-    for k in range(160):
-        near = list(base)
-        for _ in range(2 + k % 3):
-            near[r.randrange(len(near))] = f"edit{r.randrange(40)}"
-        texts.append(" ".join(near))
-    told = []
-
-    def counted(f):
-        def run(own, rows, *more):
-            out = f(own, rows, *more)
-            told.append(rows.count() if f is alike else out.count())
-            return out
-
-        return run
-
-    alike = similar.alike
-    monkeypatch.setattr(similar, "alike", counted(alike))
-    if hasattr(similar, "_across"):
-        monkeypatch.setattr(similar, "_across", counted(similar._across))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {x.doc_id: x.component_id for x in similar.near_duplicates(df).collect()}
-    assert max(told) <= 8 * len(texts)
-    cut = [similar.shingles(t) for t in texts]
-    label = np.arange(len(texts))
-    simhash._joined(label, *np.array([(a, b) for b in range(len(cut)) for a in range(b) if 9 * len(np.intersect1d(cut[a], cut[b])) >= 4 * (len(cut[a]) + len(cut[b]))]).T)
-    assert got == dict(enumerate(label.tolist())) and 1 < len(set(got.values())) < len(texts)
+def test_fingerprints_give_candidates(spark):
+    """Rows of equal fingerprints, and of those that differ by 3 bits, are connected by fewer pairs than rows; others aren't."""
+    r = np.random.default_rng(4)
+    fps = r.integers(0, 1 << 63, 40).tolist()
+    fps += [fps[k % 40] ^ sum(1 << int(b) for b in r.choice(62, k % 5, replace=False)) for k in range(120)]
+    pairs = similar._printed(spark.createDataFrame([(bytes([k]), f, 10 * k) for k, f in enumerate(fps)], "digest binary, fp long, low long")).collect()
+    want, got = np.arange(len(fps)), np.arange(len(fps))
+    simhash._joined(want, *np.array([(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 3]).T)
+    simhash._joined(got, *(np.array([x[k] // 10 for x in pairs]) for k in (0, 1)))
+    assert (got == want).all() and len(pairs) < len(fps) and all(x.a < x.b for x in pairs)
+    for words in (1, 5, 80):
+        own = similar.shingles(prose(words, words))
+        assert similar.fingerprint(own) % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in own) > len(own))
+    assert similar.fingerprint(similar.shingles(None)) == 0
 
 
 def test_links_join_roots_in_parts(spark):
