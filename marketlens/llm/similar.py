@@ -216,8 +216,8 @@ def _joining(uid: np.ndarray, root: np.ndarray, n: np.ndarray, values: np.ndarra
 def _across(own: DataFrame, met: DataFrame, most: int = GROUP, most_held: int = HELD_SHINGLES) -> DataFrame:
     """a, b: links between rows of a group (met, with root) that join all roots between which there are links; no pairs leave a task.
 
-    By their parities first: a row that can't share 0.8 with one of another root is left out. The others' sets then go to a
-    task for each set of rows, whichever groups they meet in.
+    By their parities first, then by wide ones: a row that can't share 0.8 with one of another root is left out. What is
+    left goes to a task for each set of rows, whichever groups they meet in; so few sets travel.
     """
 
     def near(key: tuple, rows: pa.Table) -> pa.Table:
@@ -243,6 +243,20 @@ def _across(own: DataFrame, met: DataFrame, most: int = GROUP, most_held: int =
                 out.append(pa.table({"k": np.full(len(here), k), "uid": uid[here], "root": root[here]}))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("k", "uid", "root")})
 
+    def nearer(rows: pa.Table) -> pa.Table:
+        uid, at = np.unique(rows.column("uid").to_numpy(), return_index=True)
+        root, n = (rows.column(c).to_numpy()[at] for c in ("root", "n"))
+        wide = [x.as_py() for x in rows.column("w").take(pa.array(at))]
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, PARITY // 64), axis=0) for x in wide])
+        some = np.zeros(len(uid), bool)
+        for a in range(len(uid) - 1):
+            b = a + 1 + np.flatnonzero((root[a + 1 :] != root[a]) & ~(some[a] & some[a + 1 :]))
+            for k in b[_may(n, bits, a, b)]:
+                if not (some[a] and some[k]) and 9 * apart(wide[a], wide[k]) <= n[a] + n[k]:
+                    some[a] = some[k] = True
+        k = np.array([xxhash.xxh3_64_intdigest(uid[some].tobytes())], np.uint64).view(np.int64)[0]
+        return pa.table({"k": np.full(int(some.sum()), k), "uid": uid[some], "root": root[some]})
+
     def linked(rows: pa.Table) -> pa.Table:
         uid, at = np.unique(rows.column("uid").to_numpy(), return_index=True)
         sets = rows.column("w").combine_chunks().take(pa.array(at))
@@ -252,6 +266,8 @@ def _across(own: DataFrame, met: DataFrame, most: int = GROUP, most_held: int =
 
     columns = ["g", "i", "j", "own", "uid", "n", "parity", "root"]
     few = written(_dealt(met, True, most).select(columns).groupBy("g", "i", "j").applyInArrow(near, "k long, uid long, root long").distinct())
+    wide = written(_mapped(of_ids(own, few, "left_semi"), "uid long, n long, w binary", ["uid", "n", "w"], lambda s: (len(s), wide_parity(s))))
+    few = written(few.join(wide, "uid").groupBy("k").applyInArrow(nearer, "k long, uid long, root long").distinct())
     sets = written(_mapped(of_ids(own, few, "left_semi"), "uid long, w array<long>", ["uid", "w"], lambda s: (s.view(np.int64),)))
     return few.join(sets, "uid").groupBy("k").applyInArrow(linked, "a long, b long").distinct()
 
