@@ -42,6 +42,8 @@ SALTS = 256
 WHO = 4_096
 #: Units that a task keeps count of, and those that it hands on.
 TASK_UNITS, TASK_HEAD = 200_000, 100_000
+#: Tasks for units, for each of the session's shuffle partitions.
+SPREAD = 4
 #: Text that is cut into units at once.
 CUT_BYTES = 1 << 20
 #: The score of a character without a piece: below that of any path over the model's ordinary pieces.
@@ -133,8 +135,8 @@ def _idle() -> None:
 
 
 def _tasks(df: DataFrame) -> int:
-    """Tasks for units, whose lattices are much larger than they are: not to be joined for their small size."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Tasks for units, whose lattices are much larger than they are: not to be joined for their small size, and more than the texts themselves would need, as what a task sorts and folds stays in memory."""
+    return SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def lattice(found: DataFrame, pieces: Pieces, held: Column | None = None) -> DataFrame:

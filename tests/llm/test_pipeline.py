@@ -3,8 +3,8 @@
 import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontaminate, pii, quality
-from marketlens.llm.common import table, written
+from marketlens.llm import decontaminate, pieces, pii, quality
+from marketlens.llm.common import model_path, table, written
 
 
 def first_of_each(texts):
@@ -73,3 +73,12 @@ def test_stages_take_odd_tables(spark, sf):
                 assert kept == 5
             if n and k == 3:
                 assert {r.text for r in out.where("doc_id = 6").collect()} == {"mail <email> now"} and out.where("text IS NULL").count() == 3
+
+
+def test_units_spread_over_more_tasks_than_texts(spark):
+    """What a task of the lattice sorts and folds stays in memory, so tasks are several times the session's shuffle partitions, and none has many units more than its share."""
+    model = pieces.Pieces.load(model_path("piece_bpe_32k.model"))
+    found = spark.range(4000).select(F.concat(F.lit(" w"), F.col("id").cast("string")).alias("name"), F.lit(None).cast("string").alias("long"))
+    own = pieces.lattice(found.repartition(pieces._tasks(found), "name"), model).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in own) == 4000
+    assert max(r["count"] for r in own) < 4000 / int(spark.conf.get("spark.sql.shuffle.partitions")) / 2
