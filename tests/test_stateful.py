@@ -127,3 +127,56 @@ def test_mentions(spark, most):
     got = mentions.dictionary_mentions(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(names, "entity_id long, name string"), max_names=most)
     assert sorted(tuple(x) for x in got.collect()) == want and len(want) > 50
     assert mentions.dictionary_mentions(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([], "entity_id long, name string"), max_names=most).collect() == []
+
+
+def test_a_key_costs_few_calls():
+    """A fold asks for a key's state once and puts it back once; a timer is set only where none is, as each is a call to the JVM."""
+    from pyspark.sql import Row
+
+    class State:
+        def __init__(self, calls):
+            self.calls, self.value = calls, None
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls.append(name)
+                if name in ("update", "put"):
+                    (self.value,) = args
+                return self.value is not None if name == "exists" else self.value
+
+            return call
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.timers = [], []
+
+        def getValueState(self, *_):
+            return State(self.calls)
+
+        getListState = getValueState
+
+        def listTimers(self):
+            self.calls.append("listTimers")
+            return list(self.timers)
+
+        def deleteTimer(self, t):
+            self.calls.append("deleteTimer")
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.calls.append("registerTimer")
+            self.timers.append(t)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    row = Row("k", "ts", "_at", "_id", "x")
+    fold = stateful.OrderedFold(lambda s, r: ({"n": (s or {"n": 0})["n"] + r["x"]}, {"n": (s or {"n": 0})["n"] + r["x"]}), ["k"], "id", ["x"], ["n"])
+    handle = Handle()
+    fold.init(handle)
+    said = [tuple(x) for x in fold.handleInputRows((1,), iter([row(1, None, 5000, 1, 3), row(1, None, 2000, 2, 4)]), Now())]
+    assert said == [(1, 2, 4, 1), (1, 1, 7, 1)] and len(handle.calls) <= 3
+    handle.calls.clear()
+    said = [tuple(x) for x in fold.handleInputRows((1,), iter([row(1, None, 3000, 3, 1), row(1, None, 9000, 4, 1)]), Now())]
+    assert said == [(1, 3, 5, 1), (1, 1, 8, 2), (1, 4, 9, 1)] and len(handle.calls) <= 2 and handle.timers == [6]
