@@ -1,6 +1,7 @@
 """Small frames with expected rows: ties, nulls, empty tables, single rows."""
 
 import datetime as dt
+import hashlib
 import math
 import random
 
@@ -154,6 +155,32 @@ def test_multi_att_recovers_coefficients(spark):
     assert abs(got["a"] - 2) < 1e-9 and abs(got["b"] + 1.5) < 1e-9
 
 
+def test_multi_att_draws_signs_and_compares_with_each_alone(spark):
+    """Each draw flips whole pairs and fits all flags anew; a treatment alone takes what the other one does."""
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 2, 300), rng.integers(0, 2, 300)
+    y = 0.4 * a + rng.normal(size=300)
+    y[b == 1] += 0.05
+    rows = [(f"k{i}", int(a[i]), int(b[i]), float(y[i])) for i in range(300)] + [("none", 1, 1, None)]
+    out = stats.multi_att(spark.createDataFrame(rows, "k string, a int, b int, diff double"), ["a", "b"], "diff", ["k"], 200)
+    got = {r.flag: r for r in out.collect()}
+    x = np.stack([a, b], 1).astype(float)
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    signs = [np.where([hashlib.md5(f"7|{(p - 1) // 32}|k{i}".encode()).hexdigest()[(p - 1) % 32] < "8" for i in range(300)], 1, -1) for p in range(1, 201)]
+    null = np.array([np.linalg.lstsq(x, y * s, rcond=None)[0] for s in signs])
+    for j, (f, flag) in enumerate((("a", a), ("b", b))):
+        r, own = got[f], flag == 1
+        assert abs(r.att - beta[j]) < 1e-9 and r.n == 300 and r.n_treated == r.solo_n == own.sum()
+        assert r.p_value == (sum(abs(null[:, j]) >= abs(beta[j]) - 1e-12) + 1) / 201
+        assert abs(r.solo_att - y[own].mean()) < 1e-9
+        assert r.solo_p == (sum(abs((y * s)[own].mean()) >= abs(y[own].mean()) - 1e-12 for s in signs) + 1) / 201
+    own = spark.createDataFrame([(f"o{i}", 3.0) for i in range(9)], "k string, diff double")
+    some = spark.createDataFrame(rows, "k string, a int, b int, diff double")
+    got = {r.flag: r for r in stats.multi_att(some, ["a", "b"], "diff", ["k"], 20, solo={"a": own, "b": own.limit(0)}).collect()}
+    assert (got["a"].solo_att, got["a"].solo_n) == (3.0, 9) and got["a"].solo_att != got["a"].att
+    assert (got["b"].solo_att, got["b"].solo_p, got["b"].solo_n) == (None, None, 0)
+
+
 def test_trigger_fires_moves_and_reverts_once(spark):
     t = lambda m: dt.datetime(2024, 1, 2, 9, m)
     b = spark.createDataFrame([("s", "u", t(k), c) for k, c in enumerate((100.0, 104.0, 105.0, 108.0, 100.5, 100.2, 96.0))], "session string, symbol string, ts timestamp, close double")
