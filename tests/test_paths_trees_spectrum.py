@@ -1,12 +1,15 @@
 """Slopes, clusters, spectra, overlaps and local levels against plain versions of them."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marketlens import plans, registry  # noqa: F401
 from marketlens.operators import funds, slopes, spectrum, stats, trees
+from marketlens.plans import bindings
 
 
 def plain_filter(y, x, b, p, q, h):
@@ -177,3 +180,29 @@ def test_local_level_by_joint_normals(spark):
     rows = spark.createDataFrame([("s", 1, t, float(np.exp(v))) for t, v in enumerate(y)], "symbol string, trade_date int, ts int, close double")
     got = stats.local_level_em(rows, rounds=4).first()
     assert np.allclose([got.q, got.h], [q, h], rtol=1e-9)
+
+
+def test_sector_slopes_start_from_fitted_variances(spark, sf, monkeypatch):
+    """The query's variances are those that EM fits, not where it starts."""
+    told = []
+    monkeypatch.setattr(slopes, "session_priors", lambda rows, variances, *a, real=slopes.session_priors: told.append(variances) or real(rows, variances, *a))
+    registry.QUERIES["kalman_beta_sector"](spark, sf)
+    closes = {}
+    for r in bindings.prices(spark, sf).where("close > 0").orderBy("trade_date").collect():
+        closes.setdefault((r.symbol, r.trade_date - dt.timedelta(r.trade_date.weekday())), []).append(math.log(r.close))
+    found = {(r.symbol, r.session): r for r in told[0].collect()}
+    assert found.keys() == closes.keys() and max(len(y) for y in closes.values()) > 3
+    for at, y in closes.items():
+        r, n, y = found[at], len(y), np.array(y)
+        assert r.n == n
+        if n <= 2:
+            assert r.q is None or math.isnan(r.q)
+            continue
+        q = h = max(float(np.var(np.diff(y))) / 2, 1e-10)
+        for _ in range(20):
+            prior = q * np.minimum.outer(np.arange(n), np.arange(n)) + h
+            gain = prior @ np.linalg.inv(prior + h * np.eye(n))
+            mean, cov = y[0] + gain @ (y - y[0]), prior - gain @ prior
+            v, c = np.diag(cov), np.diag(cov, 1)
+            q, h = np.mean(np.diff(mean) ** 2 + v[1:] + v[:-1] - 2 * c), np.mean((y - mean) ** 2 + v)
+        assert np.allclose([r.q, r.h], [q, h], rtol=1e-6)
