@@ -453,6 +453,22 @@ def test_merging_is_planned_in_seconds(spark):
     assert plan.count("Relation") == 1
 
 
+def test_templates_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch):
+    """Beyond the checked bounds, of rows or bytes, no join broadcasts, however small the files are that Spark sees."""
+    host = lambda i: f"http://{'abc'[i % 3]}.example.{('com', 'org', 'net')[i % 2]}"
+    pages = spark.createDataFrame([(i, f"{host(i)}/{('de', 'en', 'fr')[i % 3]}/{i}") for i in range(400)], "page_id long, url string")
+    want = sorted(map(tuple, urls.judged(pages).collect()))
+    for bounds in ((-1, 1 << 30), (100_000, -1)):
+        plans = []
+        plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df  # noqa: E731, B023
+        with monkeypatch.context() as m:
+            m.setattr(urls, "BROADCAST", bounds[0])
+            m.setattr(urls, "BROADCAST_BYTES", bounds[1])
+            m.setattr(urls, "written", lambda df, real=urls.written, plan=plan: real(plan(df)))
+            assert sorted(map(tuple, plan(urls.judged(pages)).collect())) == want
+        assert len(plans) > 5 and not any("Broadcast" in p for p in plans) and any("SortMergeJoin" in p for p in plans)
+
+
 def test_warc(spark):
     rows = [(5, "http://a", "same"), (3, "http://b", "same"), (9, None, None), (2, "http://c\r\nX: y", ""), (7, "u", "ünï" * 9), (None, "u", "same"), (11, "u", "big" * 200000)]
     pages = spark.createDataFrame([(*r, 1, "q") for r in rows], "page_id long, url string, html string, low int, key string").repartition(2)
