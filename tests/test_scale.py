@@ -24,6 +24,30 @@ def test_spanning_correlations_hold_every_forest(spark):
         assert got == want
 
 
+def test_correlations_send_keys_a_bounded_number_of_times(spark, monkeypatch):
+    """Keys go in PARTS, however many blocks they make; what comes out is what one block gives. One day of many keys is missing, or none."""
+    monkeypatch.setattr(stats, "PARTS", 3, raising=False)
+    rng = np.random.default_rng(8)
+    shape = rng.integers(0, 4, (14, 9)).astype(float)
+    for share in (0.9, 1.0):
+        rows = [(f"k{k}", d, float(shape[k % 14, d]) + (k // 70) * (d % 2) if k % 9 else 2.0) for k in range(150) for d in range(9) if rng.random() < share]
+        df = spark.createDataFrame(rows, "symbol string, trade_date int, r double")
+        full = {(r.a, r.b): (r.rho and round(r.rho, 9), r.n) for r in stats.return_correlation(df, 4).collect()}
+        out = stats.return_correlation(df, 4, block=4)
+        assert ", 42), 3)" in out._jdf.queryExecution().optimizedPlan().toString()
+        got = out.collect()
+        assert len(got) == len(full) and {(r.a, r.b): (r.rho and round(r.rho, 9), r.n) for r in got} == full
+        some = stats.spanning_correlations(df, 4, block=4)
+        assert ", 42), 3)" in some._jdf.queryExecution().optimizedPlan().toString()
+        own = some.collect()
+        assert len(own) <= 3 * 150 + 6 * 40 and all(full[r.a, r.b] == (r.rho and round(r.rho, 9), r.n) for r in own)
+        for k, least in ((6, 2),):
+            want, found = ({tuple(r) for r in trees.correlation_clusters(spark.createDataFrame([(a, b, rho) for (a, b), rho in c], "a string, b string, rho double"), k, least).collect()} for c in (((x, v[0]) for x, v in full.items()), (((r.a, r.b), r.rho and round(r.rho, 9)) for r in own)))
+            assert found == want
+    keys = stats.return_correlation(spark.createDataFrame([("a", d, d * 1.0) for d in range(5)] + [("b", d, d % 2 * 1.0) for d in range(5)], "symbol string, trade_date int, r double"), 4, block=1)
+    assert [(r.a, r.b, r.n) for r in keys.collect()] == [("a", "b", 5)]
+
+
 def test_holdings_join_lines_once(spark, sf):
     """What reads holdings, however often, doesn't read lines or orders again."""
     assert not [f for f in bindings.holdings(spark, sf).inputFiles() if "lineitem" in f or "orders" in f]
