@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,32 +70,62 @@ def price_trigger(bars: DataFrame, baselines: DataFrame, revert: float = REVERT,
     return rows.select(*key, F.explode(F.expr(fold)).alias("x")).select(*key, F.col("x.t").alias(ts), "x.close", "x.event", "x.anchor")
 
 
+#: Groups that the units of a session go in, for their state.
+GROUPS = 256
+
+
 def stream_price_trigger(bars: DataFrame, revert: float = REVERT, fire: float = FIRE, key: Sequence[str] = ("session", "symbol"), ts: str = "ts") -> DataFrame:
-    """The same on a stream of bars with their base (column base). State is the anchor and its window; windows no later than the last one seen never fire, nor do those without a positive close or base."""
+    """The same on a stream of bars with their base (column base). State is the anchor and its window; windows no later than the last one seen never fire, nor do those without a positive close or base.
+
+    A call for a key costs far more than its rows, so keys of one first column go in GROUPS, by hash of the whole key. A group's
+    state has the anchors and windows of its keys, in the order of the keys, and its keys are stepped through at once: the
+    first rows of all, then the second ones.
+    """
     kinds = dict(bars.dtypes)
     out = ", ".join([*(f"{k} {kinds[k]}" for k in key), f"{ts} {kinds[ts]}", "close double", "event string", "anchor double"])
+    by = [key[0], "_group"]
+    names = [*key, ts, "close", "base"]
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor, seen = state.get if state.exists else (None, None)
-        found = []
-        rows = pd.concat(list(frames)).sort_values(ts)
-        for t, close, base in zip(rows[ts], rows["close"], rows["base"], strict=True):
-            if (seen is not None and t.value <= seen) or not (base > 0 and close > 0):
-                continue
-            seen = t.value
-            anchor = base if anchor is None else anchor
-            if abs(close / base - 1) <= revert:
-                if anchor != base:
-                    anchor = base
-                    found.append((*k, t, close, "REVERT", anchor))
-            elif abs(close / anchor - 1) >= fire:
-                anchor = close
-                found.append((*k, t, close, "FIRE", anchor))
-        if seen is not None:
-            state.update((float(anchor), int(seen)))
-        yield pd.DataFrame(found, columns=[*key, ts, "close", "event", "anchor"])
-
-    return bars.groupBy(*key).applyInPandasWithState(step, out, "anchor double, seen long", "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(frames), ignore_index=True)
+        close, base = rows["close"].to_numpy(float), rows["base"].to_numpy(float)
+        with np.errstate(invalid="ignore"):
+            rows = rows[(base > 0) & (close > 0)]
+        held = pd.DataFrame(dict(zip((*key[1:], "_anchor", "_seen"), map(list, state.get), strict=True)) if state.exists else {}, columns=[*key[1:], "_anchor", "_seen"])
+        at = rows[ts].to_numpy("datetime64[ns]").astype(np.int64)
+        units = pd.concat([held[list(key[1:])], rows[list(key[1:])]], ignore_index=True).astype({c: rows[c].dtype for c in key[1:]})
+        unit = units.groupby(list(key[1:]), sort=False, dropna=False).ngroup().to_numpy()
+        n = int(unit.max()) + 1 if len(unit) else 0
+        anchor, seen = np.full(n, np.nan), np.full(n, -(2**63), np.int64)
+        known, own = unit[: len(held)], unit[len(held) :]
+        anchor[known], seen[known] = held["_anchor"].to_numpy(float), held["_seen"].to_numpy(np.int64)
+        order = np.lexsort((np.arange(len(at)), at, own))
+        starts = np.flatnonzero(np.diff(own[order], prepend=-1))
+        nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        rounds = np.argsort(nth, kind="stable")
+        close, base = rows["close"].to_numpy(float), rows["base"].to_numpy(float)
+        event, moved = np.zeros(len(rows), np.int8), np.empty(len(rows))
+        for now in np.split(order[rounds], np.flatnonzero(np.diff(nth[rounds])) + 1):
+            now = now[at[now] > seen[own[now]]]
+            u, c, b = own[now], close[now], base[now]
+            seen[u] = at[now]
+            a = np.where(np.isnan(anchor[u]), b, anchor[u])
+            near = np.abs(c / b - 1) <= revert
+            far = ~near & (np.abs(c / a - 1) >= fire)
+            event[now] = np.where(near & (a != b), 1, np.where(far, 2, 0))
+            anchor[u] = np.where(near, b, np.where(far, c, a))
+            moved[now] = anchor[u]
+        if n:
+            first = units[~pd.Series(unit).duplicated()]  # units go by their first rows
+            state.update((*(first[c].tolist() for c in key[1:]), anchor.tolist(), seen.tolist()))
+        told = order[event[order] > 0]
+        found = rows.iloc[told][[*key, ts, "close"]].copy()
+        found["event"], found["anchor"] = np.where(event[told] == 1, "REVERT", "FIRE"), moved[told]
+        yield found
+
+    grouped = bars.select(*names).withColumn("_group", F.pmod(F.xxhash64(*key), F.lit(GROUPS)).cast("int"))
+    kept = ", ".join([*(f"{c} array<{kinds[c]}>" for c in key[1:]), "anchor array<double>", "seen array<long>"])
+    return grouped.groupBy(*by).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def idempotent_fire(fires: DataFrame, target: DataFrame | None = None, key: Sequence[str] = ("session", "symbol", "ts")) -> DataFrame:
