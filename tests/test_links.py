@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+from marketlens import plans, registry  # noqa: F401
 from marketlens.operators import events as V
 from marketlens.plans import events_q
 
@@ -28,6 +29,35 @@ def test_spillover_in_blocks(spark, monkeypatch):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_spillover_tells_of_a_cell_in_parts(spark, monkeypatch):
+    """Links that come in many pieces, and what they give told before a cell is done, add up; a link may stand often."""
+    monkeypatch.setattr(V, "LINKS", 16, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        test_spillover_in_blocks(spark, monkeypatch)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_undirected_links_are_those_of_both_ways(spark):
+    """Two entities of an event stand once; the first date of each pair is that of both ways together."""
+    draw = random.Random(6)
+    rows = [(draw.randrange(40), draw.choice(["s", "s", "p"]), draw.randrange(25), D0 + dt.timedelta(draw.randrange(60)) if draw.random() < 0.9 else None) for _ in range(400)] + [(1, "s", None, D0)]
+    args = spark.createDataFrame(rows, "event_id long, role string, entity_id long, link_date date")
+    rules = [("s", "s", "L")]
+    both = V._first_links(V.link_edges(args, rules), "L", "link_date")
+    own = V.link_edges(args, rules, undirected=True)
+    assert own.where("src >= dst").count() == 0 and own.count() < V.link_edges(args, rules, distinct=False).count()
+    assert {tuple(r) for r in V._first_links(own, "L", "link_date").collect()} == {tuple(r) for r in both.collect()}
+
+
+def test_spillover_does_not_make_pairs_distinct(spark, sf):
+    """Pairs of an event go once to the cell that passes days along them: no shuffle of pairs before that."""
+    plan = registry.QUERIES["spillover_treated"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    pairs = plan[plan.index("MapInArrow") :]
+    assert "CoGroup" not in plan and "Aggregate" not in pairs.split("Join")[0] and "src" in pairs
+
+
 def test_spillover_without_links_or_events(spark):
     events = spark.createDataFrame([("a", D0, "R")], "entity_id string, d date, event_type string")
     links = spark.createDataFrame([("a", "b", "L", D0)], "src string, dst string, link_type string, link_date date")
